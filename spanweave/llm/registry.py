@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .byte_bpe import op3_byte_bpe
 from .line_dedup import op5_line_dedup
+from .packing import op2_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op4_secret_scan
 
@@ -17,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_packing": op2_packing,
+        "op3_byte_bpe": op3_byte_bpe,
         "op4_secret_scan": op4_secret_scan,
         "op5_line_dedup": op5_line_dedup,
     }
