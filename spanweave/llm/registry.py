@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .byte_bpe import op3_byte_bpe
+from .html_text import op8_html_text
+from .knn_quality import op9_knn_quality
 from .line_dedup import op5_line_dedup
+from .matroska import op7_media
 from .packing import op2_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op4_secret_scan
+from .simhash import op6_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +27,10 @@ def queries() -> dict[str, Query]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_secret_scan": op4_secret_scan,
         "op5_line_dedup": op5_line_dedup,
+        "op6_simhash": op6_simhash,
+        "op7_media": op7_media,
+        "op8_html_text": op8_html_text,
+        "op9_knn_quality": op9_knn_quality,
     }
 
 
