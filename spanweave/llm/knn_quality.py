@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table, text_of
 
-SCHEMA = "doc_id long, score double"
+#: Documents compared at once.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -156,21 +158,24 @@ def train(docs: DataFrame, labelled: DataFrame, label: str, fit: Fit = Fit()) ->
     return fit_model([t for t, _ in rows], [y for _, y in rows], fit)
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) for every row."""
+def score_documents(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:
+    """Every column of ``docs`` and the score; a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    own = [c for c in docs.columns if c != into]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        fitted = held.value
         for batch in batches:
             texts = batch.column(1)
             scores = np.full(len(texts), 0.5)
-            for at in range(0, len(texts), 512) if own else ():
-                rows = np.stack([features(t.as_py(), own.fit.buckets) for t in texts[at : at + 512]])
-                scores[at : at + 512] = np.where(rows.any(axis=1), vote(own, rows), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+            for at in range(0, len(texts), BLOCK) if fitted else ():
+                block = np.stack([features(t.as_py(), fitted.fit.buckets) for t in texts[at : at + BLOCK]])
+                scores[at : at + BLOCK] = np.where(block.any(axis=1), vote(fitted, block), 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    found = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in own), F.col("score").alias(into))
 
 
 def is_held_out():
@@ -183,7 +188,8 @@ def trained_on(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model |
 
 def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, trained_on(docs, table(spark, sf_dir, "labels")))
+    model = trained_on(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )

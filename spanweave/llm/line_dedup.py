@@ -88,7 +88,8 @@ def _unset(bits: Column, i: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Every column of ``docs``, with ``text`` after the loss of frequent lines, and ``_lines``, ``_lost``.
 
-    ``text`` of a document that loses nothing stays as it is, null included.
+    ``text`` of a document that loses nothing stays as it is, null included;
+    columns of ``docs`` that are called ``_lines`` or ``_lost`` are replaced.
     """
     marks = drop_bitmaps(docs, min_docs, min_chars)
     # The caller's columns travel as one struct, so no name of theirs can clash.
@@ -98,7 +99,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     both = both.withColumn("kept", kept_lines(F.col("lines"), F.col("words")))
     text = F.when(F.col("words").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     return both.select(
-        *((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns),
+        *((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in ("_lines", "_lost")),
         F.size("lines").cast("long").alias("_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("_lost"),
     )

@@ -170,10 +170,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+def digests(pieces: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id",
         "start",
@@ -183,3 +180,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return digests(pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))

@@ -116,7 +116,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every column of ``docs`` and ``secrets``, an array of (start, order, end, kind) by start, then rule."""
+    """Every column of ``docs`` and ``secrets``, an array of (start, order, end, kind) by start, then rule.
+
+    A column of ``docs`` that is called ``secrets`` is replaced.
+    """
     known = spool(candidates(docs, rules), "candidates")
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _digest().alias("its")
@@ -130,7 +133,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if trigram_query(rule.pattern) is None:
             to_check = text.rlike(rule.java)
         each.append(F.when(F.coalesce(to_check, F.lit(False)), _spans(text, rule, order)).otherwise(none))
-    return both.select("row.*", F.sort_array(F.concat(*each)).alias("secrets"))
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "secrets"]
+    return both.select(*own, F.sort_array(F.concat(*each)).alias("secrets"))
 
 
 def masked(text: Column, secrets: Column) -> Column:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import spool, table, text_of
 from .components import components
@@ -59,15 +60,19 @@ def fingerprint(text: str, width: int) -> int:
     return int(np.packbits(2 * ones > len(every), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row; with ``keep`` also ``row``, a struct of all columns of ``docs``."""
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
+            rest = [batch.column(2)] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, *rest], names=["doc_id", "fp", "row"][: 2 + keep])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kinds = [StructField("doc_id", LongType()), StructField("fp", LongType()), *rows.schema.fields[2:]]
+    return rows.mapInArrow(run, StructType(kinds))
 
 
 def _cells(fp: Column) -> Column:
@@ -120,18 +125,38 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(spokes).distinct()
 
 
+def _roots(each: DataFrame) -> DataFrame:
+    """(fp, root) for each fingerprint of ``each``: equal roots are one component."""
+    nodes = spool(each.select("fp").distinct(), "nodes")
+    roots = components(links(nodes)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest id reachable over links of at most 2 bits."""
     each = spool(fingerprints(docs, width), "fingerprints")
-    nodes = spool(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("root", F.coalesce("root", "fp"))
+    named = _roots(each).join(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    named = spool(named, "named")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(names, "root").select(F.col("fp").alias("its_fp"), "component_id")
     return each.join(by_fp, F.col("fp") == F.col("its_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of each component, whole: that with the smallest id, null ids last, and any one of repeated rows.
+
+    The rows are written once with their fingerprint and a number; winners are
+    found on numbers alone, and only the last join moves rows.
+    """
+    each = fingerprints(docs, width, keep=True).withColumn("number", F.monotonically_increasing_id())
+    each = spool(each, "numbered")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("number").alias("number"))
+    least = each.groupBy("fp").agg(F.min(order).alias("first"))
+    winners = _roots(each).join(least, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = each.join(winners.select(F.col("first.number").alias("number")), "number", "left_semi")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
