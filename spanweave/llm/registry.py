@@ -16,6 +16,7 @@ from .packing import op2_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op4_secret_scan
 from .simhash import op6_simhash
+from .suffix_dedup import op10_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op7_media": op7_media,
         "op8_html_text": op8_html_text,
         "op9_knn_quality": op9_knn_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
