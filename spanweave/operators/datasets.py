@@ -14,6 +14,11 @@ def _span(a: Column, b: Column) -> Column:
     return F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
 
 
+def _place(part: Column, text: Column) -> Column:
+    """Where ``part`` begins, from 1; 0 if nowhere."""
+    return F.call_function("locate", part, text)
+
+
 def trivial(docs: DataFrame, chars: int = 200) -> DataFrame:
     """One question a document, answered by its start; an empty one gets (0, 1) and is skipped later."""
     end = F.greatest(F.least(F.length("content"), F.lit(chars)), F.lit(1))
@@ -30,7 +35,7 @@ def anchored(docs: DataFrame, anchors: list[tuple[str, str, str]], before: int =
     """A question for the first hit, in any case, of each anchor (key, phrase, question); the anchors are a literal array."""
     literal = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(p.lower()).alias("phrase"), F.lit(q).alias("question")) for k, p, q in anchors))
     rows = docs.select("doc_id", "content", F.lower("content").alias("low"), F.explode(literal).alias("x"))
-    at = F.locate(F.col("x.phrase"), F.col("low")) - 1
+    at = _place(F.col("x.phrase"), F.col("low")) - 1
     rows = rows.withColumn("at", at).where("at >= 0")
     start = F.greatest(F.lit(0), F.col("at") - before)
     end = F.least(F.length("content"), F.col("at") + F.length("x.phrase") + after)
@@ -50,7 +55,7 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, most: int = 100_000) -> Dat
     if phrases.count() > most:
         raise ValueError(f"at most {most} phrases")
     rows = docs.select("doc_id", "content").join(F.broadcast(phrases), F.contains("content", "phrase"))
-    at = F.locate(F.col("phrase"), F.col("content")) - 1
+    at = _place(F.col("phrase"), F.col("content")) - 1
     return rows.select("item_id", "doc_id", at.alias("start_offset"), (at + F.length("phrase")).alias("end_offset"))
 
 
@@ -58,7 +63,7 @@ def first_functions(docs: DataFrame, most: int | None = 40) -> DataFrame:
     """The first top-level function of each code document; ``most`` is part of the feature."""
     head = F.regexp_extract("content", r"(?md)^def[ \t]+\w+[ \t]*\(", 0)
     rows = docs.where(F.col("content_type") == "code").withColumn("head", head).where("head <> ''")
-    at = F.when(F.startswith("content", "head"), F.lit(0)).otherwise(F.locate(F.concat(F.lit("\n"), F.col("head")), F.col("content")))
+    at = F.when(F.startswith("content", "head"), F.lit(0)).otherwise(_place(F.concat(F.lit("\n"), F.col("head")), F.col("content")))
     rows = rows.withColumn("at", at)
     found = rows.select(
         F.concat(F.lit("code_"), F.col("doc_id")).alias("query_id"),
