@@ -162,7 +162,7 @@ def score_documents(docs: DataFrame, model: Model | None, into: str = "score") -
     """Every column of ``docs`` and the score; a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c != into]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), text_of().alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row_"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = held.value
@@ -172,10 +172,10 @@ def score_documents(docs: DataFrame, model: Model | None, into: str = "score") -
             for at in range(0, len(texts), BLOCK) if fitted else ():
                 block = np.stack([features(t.as_py(), fitted.fit.buckets) for t in texts[at : at + BLOCK]])
                 scores[at : at + BLOCK] = np.where(block.any(axis=1), vote(fitted, block), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_row_", "score"])
 
-    found = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
-    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in own), F.col("score").alias(into))
+    found = rows.mapInArrow(run, StructType([rows.schema["_row_"], StructField("score", DoubleType())]))
+    return found.select(*(F.col(f"_row_.`{c}`").alias(c) for c in own), F.col("score").alias(into))
 
 
 def is_held_out():

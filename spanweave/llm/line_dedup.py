@@ -93,13 +93,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     """
     marks = drop_bitmaps(docs, min_docs, min_chars)
     # The caller's columns travel as one struct, so no name of theirs can clash.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _digest().alias("its"))
-    both = rows.join(marks, F.col("row.doc_id").eqNullSafe(F.col("doc")) & (F.col("its") == F.col("digest")), "left")
-    both = both.select("row", "words", F.split(text_of("row.text"), "\n").alias("lines"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_"), _digest().alias("its"))
+    both = rows.join(marks, F.col("_row_.doc_id").eqNullSafe(F.col("doc")) & (F.col("its") == F.col("digest")), "left")
+    both = both.select("_row_", "words", F.split(text_of("_row_.text"), "\n").alias("lines"))
     both = both.withColumn("kept", kept_lines(F.col("lines"), F.col("words")))
-    text = F.when(F.col("words").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
+    text = F.when(F.col("words").isNull(), F.col("_row_.text")).otherwise(F.array_join("kept", "\n"))
     return both.select(
-        *((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in ("_lines", "_lost")),
+        *((text if c == "text" else F.col(f"_row_.`{c}`")).alias(c) for c in docs.columns if c not in ("_lines", "_lost")),
         F.size("lines").cast("long").alias("_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("_lost"),
     )

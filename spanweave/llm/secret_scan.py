@@ -122,10 +122,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     known = spool(candidates(docs, rules), "candidates")
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _digest().alias("its")
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_"), _digest().alias("its")
     )
-    both = rows.join(known, F.col("row.doc_id").eqNullSafe(F.col("doc")) & (F.col("its") == F.col("digest")), "left")
-    text = text_of("row.text")
+    both = rows.join(known, F.col("_row_.doc_id").eqNullSafe(F.col("doc")) & (F.col("its") == F.col("digest")), "left")
+    text = text_of("_row_.text")
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
     each = []
     for order, rule in enumerate(rules):
@@ -133,7 +133,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if trigram_query(rule.pattern) is None:
             to_check = text.rlike(rule.java)
         each.append(F.when(F.coalesce(to_check, F.lit(False)), _spans(text, rule, order)).otherwise(none))
-    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "secrets"]
+    own = [F.col(f"_row_.`{c}`").alias(c) for c in docs.columns if c != "secrets"]
     return both.select(*own, F.sort_array(F.concat(*each)).alias("secrets"))
 
 

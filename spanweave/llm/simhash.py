@@ -62,14 +62,14 @@ def fingerprint(text: str, width: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, keep: bool = False) -> DataFrame:
     """(doc_id, fp) for every row; with ``keep`` also ``row``, a struct of all columns of ``docs``."""
-    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep else []
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_")] if keep else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
             rest = [batch.column(2)] if keep else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), found, *rest], names=["doc_id", "fp", "row"][: 2 + keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, *rest], names=["doc_id", "fp", "_row_"][: 2 + keep])
 
     kinds = [StructField("doc_id", LongType()), StructField("fp", LongType()), *rows.schema.fields[2:]]
     return rows.mapInArrow(run, StructType(kinds))
@@ -154,7 +154,7 @@ def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     least = each.groupBy("fp").agg(F.min(order).alias("first"))
     winners = _roots(each).join(least, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = each.join(winners.select(F.col("first.number").alias("number")), "number", "left_semi")
-    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(F.col(f"_row_.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
