@@ -19,12 +19,13 @@ only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import spool, table, text_of
 from .components import components
@@ -37,21 +38,24 @@ CROWD = 12
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str, width: int) -> int:
-    """As a signed 64-bit number."""
+def _shingle_hashes(text: str, width: int) -> list[int]:
+    """Hashes of the shingles, repeats included; the whole text if it is shorter, none if it has no word."""
     import xxhash
 
     words = text.encode().lower().split()  # on bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     solid = b" ".join(words)
+    if len(words) < width:
+        return [xxhash.xxh64_intdigest(solid, SEED)]
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    if len(words) < width:
-        hashes = [digest(solid, SEED)]
-    else:
-        starts = [0, *(ends[:-1] + 1).tolist()]
-        hashes = [digest(solid[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)]
+    return [digest(solid[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)]
+
+
+def _majority(hashes: list[int]) -> int:
+    """The word of the bits set in over half of ``hashes``, as a signed 64-bit number."""
     every = np.array(hashes, dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(every), BLOCK):
@@ -60,19 +64,20 @@ def fingerprint(text: str, width: int) -> int:
     return int(np.packbits(2 * ones > len(every), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: bool = False) -> DataFrame:
-    """(doc_id, fp) for every row; with ``keep`` also ``row``, a struct of all columns of ``docs``."""
-    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_")] if keep else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *own)
+def fingerprint(text: str, width: int) -> int:
+    """SimHash of the text's shingles, as a signed 64-bit number."""
+    return _majority(_shingle_hashes(text, width))
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
-            rest = [batch.column(2)] if keep else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), found, *rest], names=["doc_id", "fp", "_row_"][: 2 + keep])
+            found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    kinds = [StructField("doc_id", LongType()), StructField("fp", LongType()), *rows.schema.fields[2:]]
-    return rows.mapInArrow(run, StructType(kinds))
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _cells(fp: Column) -> Column:
@@ -97,15 +102,19 @@ def _one_bit(fp: Column) -> Column:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b in part, that join every two fingerprints ``fp`` at most 2 bits apart, directly or by others so near.
+    """Edges (lane, a, b) that join every two fingerprints of a lane at most 2 bits apart, directly or by others so near.
 
-    ``nodes`` has each fingerprint once.
+    ``nodes`` has each (lane, fp) once.  Lanes are numbered fingerprints of
+    different kinds, which never meet: each has a range of cell numbers.
     """
-    cells = nodes.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    span = (SEGMENT + 1) ** (64 // SEGMENT)
+    cells = nodes.select("lane", "fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    cells = cells.withColumn("cell", F.col("cell") + F.col("lane") * F.lit(span))
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = spool(cells.join(shared, "cell"), "cells")
-    few = met.where(F.col("members") <= CROWD).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+    few = met.where(F.col("members") <= CROWD).groupBy("cell", "lane").agg(F.collect_list("fp").alias("fps"))
     pairs = few.select(
+        "lane",
         F.explode(
             F.flatten(
                 F.transform(
@@ -116,19 +125,20 @@ def links(nodes: DataFrame) -> DataFrame:
                     ),
                 )
             )
-        ).alias("e")
-    ).select("e.a", "e.b")
-    crowded = met.where(F.col("members") > CROWD).select("fp").distinct()
-    words = crowded.select("fp", F.explode(_one_bit(F.col("fp"))).alias("word"))
-    stars = words.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    spokes = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+        ).alias("e"),
+    ).select("lane", "e.a", "e.b")
+    crowded = met.where(F.col("members") > CROWD).select("lane", "fp").distinct()
+    words = crowded.select("lane", "fp", F.explode(_one_bit(F.col("fp"))).alias("word"))
+    stars = words.groupBy("lane", "word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    spokes = stars.select("lane", F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     return pairs.union(spokes).distinct()
 
 
 def _roots(each: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint of ``each``: equal roots are one component."""
     nodes = spool(each.select("fp").distinct(), "nodes")
-    roots = components(links(nodes)).withColumnRenamed("node", "fp")
+    edges = links(nodes.select(F.lit(0).cast("long").alias("lane"), "fp")).select("a", "b")
+    roots = components(edges).withColumnRenamed("node", "fp")
     return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -142,17 +152,90 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return each.join(by_fp, F.col("fp") == F.col("its_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of each component, whole: that with the smallest id, null ids last, and any one of repeated rows.
+#: Fingerprints of a text that the search for near copies looks at, and how many of them at a time.
+LANES = 6
+AT_ONCE = 2
+
+
+def _word_sets(docs: DataFrame) -> DataFrame:
+    """(node, fps, row): a digest of the text's words in order, ``LANES`` fingerprints of the set of its words, and all columns."""
+    rows = docs.select(text_of().alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_"))
 
-    The rows are written once with their fingerprint and a number; winners are
-    found on numbers alone, and only the last join moves rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            nodes, prints = [], []
+            for text in batch.column(0):
+                words = text.as_py().encode().lower().split()
+                nodes.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                distinct = set(words)
+                prints.append([_majority([xxhash.xxh64_intdigest(w, seed) for w in distinct]) for seed in range(LANES)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(prints, pa.list_(pa.int64())), batch.column(1)], names=["node", "fps", "_row_"]
+            )
+
+    kinds = [StructField("node", StringType()), StructField("fps", ArrayType(LongType())), rows.schema["_row_"]]
+    return rows.mapInArrow(run, StructType(kinds))
+
+
+def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): hashes of the distinct shingles of ``width`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [sorted({h - (1 << 64) if h >> 63 else h for h in _shingle_hashes(t.as_py(), width)}) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.mapInArrow(run, "node string, shingles array<long>")
+
+
+def near_copies(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Verified edges (a, b) between nodes (node, fps); ``texts`` has (node, text) once each.
+
+    Candidates come lane by lane from the grid join; nodes with one fingerprint
+    meet the first of them, linked fingerprints meet by their first nodes.
+    Every candidate is then verified by the exact Jaccard similarity of shingles.
+    """
+    found = []
+    for lane in range(0, LANES, AT_ONCE):
+        part = nodes.select("node", F.posexplode("fps").alias("lane", "fp")).where(F.col("lane").between(lane, lane + AT_ONCE - 1))
+        part = part.withColumn("lane", F.col("lane").cast("long"))
+        hubs = spool(part.groupBy("lane", "fp").agg(F.min("node").alias("hub")), "hubs")
+        same = part.join(hubs, ["lane", "fp"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        edges = links(hubs.select("lane", "fp"))
+        ends = edges.join(hubs.select("lane", F.col("fp").alias("a"), F.col("hub").alias("x")), ["lane", "a"])
+        ends = ends.join(hubs.select("lane", F.col("fp").alias("b"), F.col("hub").alias("y")), ["lane", "b"])
+        ends = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found.append(spool(same.union(ends).distinct(), "candidates"))
+    candidates = spool(reduce(DataFrame.union, found).where("a <> b").distinct(), "candidates")
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = spool(_shingle_sets(texts.join(asked, "node", "left_semi").select("node", "text"), width), "shingles")
+    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return spool(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"), "verified")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies, whole: that with the smallest id, null ids last, any one of repeated rows.
+
+    Near copies share at least ``similarity`` of their shingles of ``width``
+    words, directly or over others.  They are searched by SimHash of their word
+    sets, which a small edit moves least, under ``LANES`` seeds: a pair is found
+    if one of its fingerprints differs in at most 2 bits.  Rows are written
+    once with a number; winners are found on numbers alone, and only the last
+    join moves rows.
     """
-    each = fingerprints(docs, width, keep=True).withColumn("number", F.monotonically_increasing_id())
-    each = spool(each, "numbered")
-    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("number").alias("number"))
-    least = each.groupBy("fp").agg(F.min(order).alias("first"))
-    winners = _roots(each).join(least, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    each = spool(_word_sets(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    ident = F.col("_row_.doc_id").cast("long")
+    order = F.struct(ident.isNull().alias("no"), ident.alias("id"), F.col("number").alias("number"))
+    nodes = spool(each.groupBy("node").agg(F.first("fps").alias("fps"), F.min(order).alias("first")), "nodes")
+    picked = nodes.select("node", F.col("first.number").alias("number"))
+    texts = each.select("number", text_of("_row_.text").alias("text")).join(picked, "number")
+    roots = components(near_copies(nodes, texts, width, similarity))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = each.join(winners.select(F.col("first.number").alias("number")), "number", "left_semi")
     return kept.select(*(F.col(f"_row_.`{c}`").alias(c) for c in docs.columns))
 

