@@ -14,6 +14,20 @@ def _span(a: Column, b: Column) -> Column:
     return F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
 
 
+def shuffled(docs: DataFrame, seed: int, most: int) -> DataFrame:
+    """The first ``most`` documents in an order that the seed fixes, the same on every run."""
+    order = F.sha2(F.concat_ws("|", F.lit(seed), "doc_id"), 256)
+    return docs.withColumn("_order", order).orderBy("_order", "doc_id").limit(most).drop("_order")
+
+
+def first_questions(queries: DataFrame, per_doc: int, most: int) -> DataFrame:
+    """At most ``per_doc`` questions a document and ``most`` in all, by document and question id."""
+    from pyspark.sql.window import Window
+
+    numbered = queries.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("query_id")))
+    return numbered.where(F.col("_n") <= per_doc).orderBy("doc_id", "query_id").limit(most).drop("_n")
+
+
 def _place(part: Column, text: Column) -> Column:
     """Where ``part`` begins, from 1; 0 if nowhere."""
     return F.call_function("locate", part, text)

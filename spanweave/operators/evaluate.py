@@ -139,6 +139,20 @@ def per_query(ranked: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def contexts(ranked: DataFrame, stats: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(config_id, query_id, context): texts of the chunks within the budget, by rank, joined by a blank line; what a generator is asked with."""
+    top = ranked.join(F.broadcast(stats.select("config_id", "effective_k")), "config_id").where("rank <= effective_k")
+    held = top.select(*KEY, "doc_id", "chunk_idx", "rank").join(chunks.select("config_id", "doc_id", "chunk_idx", "text"), ["config_id", "doc_id", "chunk_idx"])
+    found = held.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts"))
+    return found.select(*KEY, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("context"))
+
+
+def with_generation(metrics: DataFrame, judged: DataFrame) -> DataFrame:
+    """``metrics`` with the means of recorded judgements (config_id, faithfulness, answer_relevancy); null where there are none."""
+    means = judged.groupBy("config_id").agg(F.avg("faithfulness").alias("faithfulness"), F.avg("answer_relevancy").alias("answer_relevancy"))
+    return metrics.join(means, "config_id", "left")
+
+
 METRICS = [
     "token_iou", "token_precision", "token_recall", *(f"recall_at_{k}" for k in AT), "mrr", *(f"ndcg_at_{k}" for k in AT), "duplication_ratio",
 ]

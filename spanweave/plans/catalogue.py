@@ -504,6 +504,38 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "content_type_guard_report",
+    f"""WITH {_PATH_SQL}, y AS (SELECT {_TYPE_SQL} AS content_type, count(*) AS docs FROM x GROUP BY 1),
+s(strategy, types) AS (VALUES {', '.join(f"({O.lit(n)}, {list(REGISTRY.get(n).types)!r})" for n in REGISTRY.names())})
+SELECT content_type, strategy, docs FROM y JOIN s ON NOT list_contains(types, content_type)""",
+)
+def _(spark, sf_dir):
+    known = F.array(*(F.struct(F.lit(n).alias("strategy"), F.array(*map(F.lit, REGISTRY.get(n).types)).alias("types")) for n in REGISTRY.names()))
+    docs = tuner.with_types(_with_paths(spark, sf_dir)).groupBy("content_type").agg(F.count(F.lit(1)).alias("docs"))
+    rows = docs.select("content_type", "docs", F.explode(known).alias("s")).where(~F.array_contains("s.types", F.col("content_type")))
+    return rows.select("content_type", "s.strategy", "docs")
+
+
+@query("first_documents", O.with_(O.DOCS) + "SELECT doc_id, length(content)::INT AS n FROM d ORDER BY doc_id LIMIT 100")
+def _(spark, sf_dir):
+    return corpus(spark, sf_dir).orderBy("doc_id").limit(100).select("doc_id", F.length("content").alias("n"))
+
+
+@query("shuffled_documents", O.with_(O.DOCS) + "SELECT doc_id FROM d ORDER BY sha256('42|' || doc_id), doc_id LIMIT 50")
+def _(spark, sf_dir):
+    return D.shuffled(corpus(spark, sf_dir), 42, 50).select("doc_id")
+
+
+@query(
+    "first_questions_per_doc",
+    O.with_(O.DOCS, f"x AS (SELECT doc_id, 'q_' || doc_id || '_' || key AS query_id FROM d, (VALUES {', '.join(f'({O.lit(k)}, {O.lit(p.lower())})' for k, p, _ in _ANCHORS)}) v(key, phrase) WHERE strpos(lower(content), phrase) > 0)")
+    + "SELECT doc_id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_id) AS n FROM x) WHERE n <= 1 ORDER BY doc_id, query_id LIMIT 200",
+)
+def _(spark, sf_dir):
+    return D.first_questions(D.anchored(corpus(spark, sf_dir), _ANCHORS), 1, 200).select("doc_id", "query_id")
+
+
 # Gold, sizes, vectors.
 _GRID = [Config("fixed_tokens", {"max_tokens": m, "overlap_tokens": o}) for m, o in ((512, 0), (128, 0), (128, 32), (256, 0), (256, 50))]
 _GRID_SQL = f"{O.fixed(map(O.window, _GRID))}, ch AS (SELECT * FROM fixed_chunks)"
@@ -813,6 +845,34 @@ def _(spark, sf_dir):
     return rows.groupBy("config_id", "quality").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("token_recall"), 6).alias("token_recall"))
 
 
+@query(
+    "answer_contexts",
+    O.with_(*_EVAL) + "SELECT config_id, query_id, md5(string_agg(ct, chr(10) || chr(10) ORDER BY rank)) AS digest FROM tp GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    docs, queries, chunks = _grid(spark, sf_dir)
+    stats = V.with_effective_k(V.chunk_stats(chunks))
+    ranked = V.rank_chunks(chunks, queries, V.gold_ranges(queries, docs), E.hash_embedder(0))
+    return V.contexts(ranked, stats, chunks).select("config_id", "query_id", F.md5("context").alias("digest"))
+
+
+@query(
+    "generation_means",
+    O.with_(*_BASE, _GRID_SQL)
+    + """SELECT c.config_id, round(avg(CASE WHEN c.config_id LIKE '%128%' THEN (doc_id % 10) / 10.0::DOUBLE END), 6) AS faithfulness,
+round(avg(CASE WHEN c.config_id LIKE '%128%' AND doc_id % 4 > 0 THEN (doc_id % 5) / 5.0::DOUBLE END), 6) AS answer_relevancy
+FROM (SELECT DISTINCT config_id FROM ch) c, documents GROUP BY c.config_id""",
+)
+def _(spark, sf_dir):
+    wide = F.array(*(F.lit(c.id) for c in _GRID if "128" in c.id))
+    i = F.col("doc_id")
+    judged = corpus(spark, sf_dir).select(
+        F.explode(wide).alias("config_id"), ((i % 10) / 10.0).alias("faithfulness"), F.when(i % 4 > 0, (i % 5) / 5.0).alias("answer_relevancy")
+    )
+    means = V.with_generation(V.chunk_stats(_grid(spark, sf_dir)[2]), judged)
+    return means.select("config_id", F.round("faithfulness", 6).alias("faithfulness"), F.round("answer_relevancy", 6).alias("answer_relevancy"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the whole text grid over the corpus, ranked."""
     return QUERIES["recommend_full_grid"](spark, sf_dir)
