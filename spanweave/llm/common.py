@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -48,14 +50,20 @@ def spool(df: DataFrame, label: str) -> DataFrame:
 
     Lineage ends here, so a lost executor costs at most the tasks of one later
     stage.  The files live until the application ends, since the frames
-    returned to the caller are lazy.
+    returned to the caller are lazy.  The shuffle files of the write go as soon
+    as it is done, as nothing reads them again.
     """
     spark = df.sparkSession
     if not _written:
         atexit.register(_sweep)
     path = f"{shared_dir(spark).rstrip('/')}/spanweave-{uuid.uuid4().hex}/{label}"
     _written.append((spark, path.rpartition("/")[0]))
-    df.write.parquet(path)
+    was = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if was is None else spark.conf.set(_DROP_SHUFFLES, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
