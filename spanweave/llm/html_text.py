@@ -50,6 +50,9 @@ NAMED = set(
     "alert popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination "
     "pager login signup toolbar widget skip hidden masthead copyright legal disclaimer".split()
 )
+#: An article element is the article unless its name is one of these.
+NAMED_ARTICLE = {"comment", "reply", "advert", "sponsored", "related"}
+ABOUT = {"with", "without", "has", "no", "open"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 #: What an opening tag closes, up to the barrier that stops it.
 CLOSES = {
@@ -97,13 +100,19 @@ def _attributes(raw: str) -> dict[str, str]:
 def _is_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in NEVER or tag == "header" and not inside:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    return any(w.lower() in NAMED for w in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+    marks = NAMED_ARTICLE if tag == "article" else NAMED
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = set(_NAME.findall(name))
+        # "with-sidebar" names what stands around a sidebar.
+        if words & marks and not words & ABOUT:
+            return True
+    return False
 
 
 def parse(page: str) -> Page:

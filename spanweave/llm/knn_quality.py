@@ -101,10 +101,6 @@ def features(text: str, buckets: int) -> np.ndarray:
     return out
 
 
-def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return rows * idf
-
-
 def fit_model(texts: list[str], labels: list[int], fit: Fit) -> Model | None:
     """None unless both classes are there."""
     if len(set(labels)) < 2:
@@ -116,11 +112,11 @@ def fit_model(texts: list[str], labels: list[int], fit: Fit) -> Model | None:
     spread = rows[:, fit.buckets :].std(axis=0)
     idf[fit.buckets :] = np.where(spread > 1e-6, 0.5 / np.maximum(spread, 1e-6), 0.0)
     idf[: fit.buckets] *= 0.25
-    table_ = weighted(rows, idf)
+    rows *= idf
     # Singular directions of the sample by its Gram matrix of features.
-    values, directions = np.linalg.eigh(table_.T.astype(np.float64) @ table_)
+    values, directions = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
     basis = directions[:, np.argsort(values)[::-1][: fit.rank]].astype(np.float32)
-    vectors = table_ @ basis
+    vectors = rows @ basis
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     y = np.array(labels)
     share = np.bincount(y, minlength=2) / len(y)
@@ -129,7 +125,7 @@ def fit_model(texts: list[str], labels: list[int], fit: Fit) -> Model | None:
 
 def vote(model: Model, rows: np.ndarray) -> np.ndarray:
     """Scores of a block of feature rows."""
-    vectors = weighted(rows, model.idf) @ model.basis
+    vectors = (rows * model.idf) @ model.basis
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     cosine = vectors @ model.vectors.T
     k = min(model.fit.neighbours, cosine.shape[1])

@@ -1,11 +1,7 @@
-import os
 import random
 
 import pytest
 
-from . import brute
-
-DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -237,10 +237,10 @@ def test_html_articles(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
 <div class="sidebar"><p>Side text, with words. More.</p></div><article><header><h1>Head &amp; more</h1></header><p>This is the <b>text</b>, and
 it goes on.<br>It has words; many.<ul><li>one, two.<li>three.</ul><aside>Not this.</aside><form>Search <input></form>
-<div class="ad">Buy now, please.</div><div id="comments"><p>Nice post, really.</p></div></article><div class="cookie-notice">We use cookies.</div>
+<div class="body no-sidebar"><p>In it.</p></div><article class="comment"><p>Me too, always.</p></article><div class="ad">Buy now, please.</div><div id="comments"><p>Nice post, really.</p></div></article><div class="cookie-notice">We use cookies.</div>
 <script>var t="</p>";</script><footer>&copy; all</footer>"""
     plain = page.replace("<article>", '<div class="post">').replace("</article>", "</div>")
-    want = "Head & more This is the text, and it goes on. It has words; many. one, two. three."
+    want = "Head & more This is the text, and it goes on. It has words; many. one, two. three. In it."
     data = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, plain), (5, "u", "<p>Cut off, he<b"), (1, "u", page)], "page_id long, url string, html string")
     got = rows(html_text.extract_pages(data), "page_id", "text")
     assert got[0] == got[5] == (1, want) and got[1][1] == got[2][1] == "" and got[4][1] == "Cut off, he"
