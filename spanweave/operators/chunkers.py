@@ -9,6 +9,7 @@ scanners run in one Arrow pass for all their configurations.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -27,6 +28,7 @@ COLUMNS = ["config_id", "doc_id", "chunk_idx", "start_offset", "end_offset", "te
 PAGE = r"(?md)(?=^##[ \t]*Page[ \t]+\d+[ \t]*$)"
 SECTION = r"(?md)(?=^#{1,2}[ \t]+\S)"
 HEADING = r"(?md)(?=^#{1,3}[ \t]+\S)"
+_HEADS = re.compile(r"(?m)^#{1,3}[ \t]+\S")
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 #: Strategies whose token windows are plain fixed ones, and the parameter with their size.
 WINDOWED = {"fixed_tokens": ("max_tokens", 512, 1), "late_chunking": ("chunk_size_tokens", 256, 16)}
@@ -147,39 +149,34 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def _spans(config: Config, text: str, bounds: kernels.Bounds) -> Iterator[kernels.Span]:
-    import re
-
-    p, count = config.params, lambda t: len(bounds(t)) - 1
-    overlap = int(p.get("overlap_tokens", 0))
+def _spans(config: Config, text: str, ends: list[int]) -> Iterator[kernels.Span]:
+    p, count = config.params, kernels.counter(ends)
+    overlap, most = int(p.get("overlap_tokens", 0)), int(p.get("max_tokens", 512))
     match config.strategy:
         case "recursive_character" | "agentic":
-            size, lap = ("chunk_size_chars", "chunk_overlap_chars")
-            default = (1200, 100) if config.strategy == "agentic" else (1600, 0)
-            yield from kernels.by_separators(text, int(p.get(size, default[0])), int(p.get(lap, default[1])), p.get("separators", SEPARATORS))
+            size, lap = (1200, 100) if config.strategy == "agentic" else (1600, 0)
+            size, lap = int(p.get("chunk_size_chars", size)), int(p.get("chunk_overlap_chars", lap))
+            yield from kernels.by_separators(text, size, lap, p.get("separators", SEPARATORS))
         case "semantic":
-            most = int(p.get("max_tokens", 512))
             yield from kernels.budgeted(text, most, overlap or int(most * float(p.get("similarity_threshold", 0))), count)
         case "markdown_semantic":
-            heads = [m.start() for m in re.finditer(r"(?m)^#{1,3}[ \t]+\S", text)]
-            edges = sorted({0, *heads, len(text)})
+            edges = sorted({0, *(m.start() for m in _HEADS.finditer(text)), len(text)})
             for a, b in zip(edges, edges[1:]):
-                yield from ((a + x, a + y) for x, y in kernels.budgeted(text[a:b], int(p.get("max_tokens", 512)), overlap, count))
+                yield from kernels.budgeted(text, most, overlap, count, a, b)
         case "code_window":
-            yield from kernels.line_windows(text, int(p.get("max_tokens", 512)), int(p.get("overlap_lines", 2)), count)
+            yield from kernels.line_windows(text, most, int(p.get("overlap_lines", 2)), count)
         case "code_ast":
-            most = int(p.get("max_tokens", 512))
             found = kernels.python_definitions(text)
             if not found:
                 yield from kernels.line_windows(text, most, int(p.get("overlap_lines", 2)), count)
             for a, b in found or ():
-                if count(text[a:b]) <= most:
+                if count(a, b) <= most:
                     yield a, b
                 else:
-                    yield from ((a + x, a + y) for x, y in kernels.line_windows(text[a:b], most, 2, count))
+                    yield from kernels.line_windows(text, most, 2, count, a, b)
         case "fixed_tokens" | "late_chunking":
             most, step = _window(config)
-            yield from kernels.windows(bounds(text), most, most - step)
+            yield from kernels.windows(ends, most, most - step)
         case _:
             raise KeyError(config.strategy)
 
@@ -197,7 +194,7 @@ def by_kernel(docs: DataFrame, configs: list[Config], bounds: kernels.Bounds = k
                 text = text.as_py() or ""
                 ends = bounds(text)
                 for config in configs:
-                    for i, (a, b) in enumerate(_spans(config, text, bounds) if text else ()):
+                    for i, (a, b) in enumerate(_spans(config, text, ends) if text else ()):
                         piece = text[a:b]
                         lo, hi = bisect_right(ends, a) - 1, min(bisect_left(ends, b), len(ends) - 1)
                         rows.append((config.id, doc, i, a, b, piece, len(bounds(piece)) - 1, lo, hi))

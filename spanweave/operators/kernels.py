@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import takewhile
 
 Span = tuple[int, int]
-Count = Callable[[str], int]
+#: Tokens of the document that the characters from a to b touch.
+Count = Callable[[int, int], int]
 Bounds = Callable[[str], list[int]]
 
 _TOKEN = re.compile(r"[^ \t\n\r]+[ \t\n\r]*|[ \t\n\r]+")
@@ -43,6 +45,12 @@ def bpe_bounds(text: str, ranks: str, pattern: str) -> list[int]:
     return (chars[ends] - inside[ends]).tolist()
 
 
+def counter(ends: list[int]) -> Count:
+    """Counts by two searches in the token ends, so no piece is tokenised again."""
+    last = len(ends) - 1
+    return lambda a, b: min(bisect_left(ends, b), last) - bisect_right(ends, a) + 1 if a < b else 0
+
+
 def windows(bounds: list[int], most: int, overlap: int) -> Iterator[Span]:
     """Token windows; the last is the first to reach the end; empty ones are left out."""
     most = max(1, most)
@@ -76,11 +84,12 @@ def by_separators(text: str, size: int, overlap: int, separators: list[str]) ->
 _LINE = re.compile("[^\n\r\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])?")
 
 
-def line_windows(text: str, most: int, overlap: int, count: Count) -> Iterator[Span]:
-    """Whole lines while their tokens fit, one line at least; the next window goes back ``overlap`` lines."""
+def line_windows(text: str, most: int, overlap: int, count: Count, start: int = 0, end: int | None = None) -> Iterator[Span]:
+    """Whole lines from ``start`` to ``end`` while their tokens fit, one line at least; the next window goes back ``overlap`` lines."""
     most, overlap = max(16, most), max(0, overlap)
-    ends = [0, *(m.end() for m in _LINE.finditer(text) if m.end() > m.start())]
-    sizes = [count(text[a:b]) for a, b in zip(ends, ends[1:])]
+    end = len(text) if end is None else end
+    ends = [start, *(m.end() for m in _LINE.finditer(text, start, end) if m.end() > m.start())]
+    sizes = [count(a, b) for a, b in zip(ends, ends[1:])]
     first = 0
     while first < len(sizes):
         last, held = first + 1, sizes[first]
@@ -94,15 +103,16 @@ def line_windows(text: str, most: int, overlap: int, count: Count) -> Iterator[S
 
 
 #: Boundaries of the budgeted splitter, the strongest first.
-_LEVELS = (r"\n{2,}", r"\n", r"(?<=[.!?…])\s+", r"(?<=[;:,])\s+", r"\s+")
+_LEVELS = tuple(map(re.compile, (r"\n{2,}", r"\n", r"(?<=[.!?…])\s+", r"(?<=[;:,])\s+", r"\s+")))
+_WORD = re.compile(r"\S+\s*")
 
 
-def budgeted(text: str, most: int, overlap: int, count: Count) -> Iterator[Span]:
+def budgeted(text: str, most: int, overlap: int, count: Count, start: int = 0, end: int | None = None) -> Iterator[Span]:
     """Pieces of at most ``most`` tokens, cut at the strongest boundaries that allow it; neighbours are joined while they fit."""
-    most = max(16, most)
+    most, end = max(16, most), len(text) if end is None else end
 
     def split(a: int, b: int, level: int) -> Iterator[Span]:
-        if count(text[a:b]) <= most:
+        if count(a, b) <= most:
             yield a, b
             return
         if level == len(_LEVELS):
@@ -113,30 +123,28 @@ def budgeted(text: str, most: int, overlap: int, count: Count) -> Iterator[Span]
                 yield from split(a, half, level)
                 yield from split(half, b, level)
             return
-        cuts = [m.end() for m in re.finditer(_LEVELS[level], text[a:b])]
-        edges = sorted({a, b, *(a + c for c in cuts)})
+        edges = [a, *(m.end() for m in _LEVELS[level].finditer(text, a, b) if a < m.end() < b), b]
         if len(edges) == 2:
             yield from split(a, b, level + 1)
             return
-        start, held = a, 0
+        first = a
         for x, y in zip(edges, edges[1:]):
-            size = count(text[x:y])
-            if held and held + size > most:
-                yield from split(start, x, level + 1)
-                start, held = x, 0
-            held += size
-        yield from split(start, b, level + 1)
-
-    for a, b in split(0, len(text), 0) if text else ():
-        a += len(text[a:b]) - len(text[a:b].lstrip())
-        b -= len(text[a:b]) - len(text[a:b].rstrip())
-        if overlap > 0 and a:
+            if first < x and count(first, y) > most:
+                yield from split(first, x, level + 1)
+                first = x
+        yield from split(first, b, level + 1)
+
+    for a, b in split(start, end, 0) if start < end else ():
+        while a < b and text[a].isspace():
+            a += 1
+        while a < b and text[b - 1].isspace():
+            b -= 1
+        if overlap > 0 and a > start and a < b:
             low = a
-            for m in reversed(list(re.finditer(r"\S+\s*", text[max(0, a - 16 * overlap) : a]))):
-                k = max(0, a - 16 * overlap) + m.start()
-                if count(text[k:a]) > overlap:
+            for m in reversed(list(_WORD.finditer(text, max(start, a - 16 * overlap), a))):
+                if count(m.start(), a) > overlap:
                     break
-                low = k
+                low = m.start()
             a = low
         if a < b:
             yield a, b

@@ -3,6 +3,8 @@ from hypothesis import strategies as st
 
 from spanweave.operators import kernels as K
 
+settings.register_profile("unhurried", deadline=None)
+settings.load_profile("unhurried")
 TEXT = st.text(alphabet="ab .,\n\t# é世🌍", max_size=200)
 
 
@@ -12,6 +14,12 @@ def test_regex_tokens_are_lossless(text):
     assert ends[0] == 0 and ends[-1] == len(text) and ends == sorted(set(ends))
 
 
+@given(TEXT, st.integers(0, 200), st.integers(0, 200))
+def test_counting_by_ends_equals_tokenising_the_piece(text, a, b):
+    a, b = sorted((min(a, len(text)), min(b, len(text))))
+    assert K.counter(K.regex_bounds(text))(a, b) == len(K.regex_bounds(text[a:b])) - 1
+
+
 @given(st.integers(0, 60), st.integers(1, 20), st.integers(0, 25))
 def test_windows_follow_the_step_until_the_end(n, most, overlap):
     spans = list(K.windows(list(range(n + 1)), most, overlap))
@@ -43,7 +51,7 @@ def test_separator_priority_and_hard_cut():
 
 @given(TEXT, st.integers(0, 3))
 def test_line_windows_cover_all_lines(text, overlap):
-    spans = list(K.line_windows(text, 16, overlap, lambda t: len(K.regex_bounds(t)) - 1))
+    spans = list(K.line_windows(text, 16, overlap, K.counter(K.regex_bounds(text))))
     assert (spans == []) == (text == "")
     if spans:
         assert spans[0][0] == 0 and spans[-1][1] == len(text)
@@ -52,10 +60,10 @@ def test_line_windows_cover_all_lines(text, overlap):
 @given(TEXT)
 @settings(max_examples=200)
 def test_budgeted_pieces_fit_or_are_one_token(text):
-    count = lambda t: len(K.regex_bounds(t)) - 1
+    count = K.counter(K.regex_bounds(text))
     last = 0
     for a, b in K.budgeted(text, 16, 0, count):
-        assert last <= a < b <= len(text) and count(text[a:b]) <= 16 and not text[last:a].strip()
+        assert last <= a < b <= len(text) and count(a, b) <= 16 and not text[last:a].strip()
         last = b
     assert not text[last:].strip()
 
