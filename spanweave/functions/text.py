@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .arrays import offsets
+from ..operators.kernels import regex_bounds
 
 #: The lossless regex tokenizer: a word with the white space after it, or leading white space.
 TOKEN = r"([^ \t\n\r]+[ \t\n\r]*|[ \t\n\r]+)"
@@ -102,8 +104,16 @@ def token_count(text: Column) -> Column:
 
 
 def token_bounds(text: Column) -> Column:
-    """Character offsets of the token ends, 0 first."""
-    return offsets(F.transform(tokens(text), lambda t: F.length(t)))
+    """Character offsets of the token ends, 0 first.
+
+    In Arrow batches: without a running sum over arrays, columns alone took three times as long.
+    """
+
+    def bounds(texts: pd.Series) -> pd.Series:
+        return pd.Series([regex_bounds(t or "") for t in texts], dtype=object)
+
+    bounds.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(bounds, ArrayType(IntegerType()))(text)
 
 
 def _token_set(text: Column) -> Column:

@@ -166,7 +166,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     bounds = corpus(spark, sf_dir).select("doc_id", X.token_bounds(F.col("content")).alias("b")).where("size(b) > 1")
     return bounds.select(
-        "doc_id", (F.size("b") - 1).cast("long").alias("n"), F.element_at("b", -1).alias("last_end"),
+        "doc_id", (F.size("b") - 1).cast("long").alias("n"), F.element_at("b", -1).cast("long").alias("last_end"),
         F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ends"),
     )
 
