@@ -56,7 +56,7 @@ def read_repo(spark: SparkSession, root: str) -> DataFrame:
     """Code and prose of a repository without vendored parts; code keeps its exact text."""
     files = _binary(spark, root)
     rel = F.regexp_replace("path", rf"^.*?{root.rstrip('/')}/", "")
-    files = files.withColumn("rel", rel).where(in_repo_scan(F.col("rel"))).withColumn("text", F.decode("content", "UTF-8"))
+    files = files.withColumn("rel", rel).where(in_repo_scan(F.col("rel"))).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in CONTENT_TYPES.items() for x in pair)), extension(F.col("path")))
     text = F.when(kind == "code", F.col("text")).otherwise(normalize(F.col("text")))
     return _documents(files, text, kind, repo_root=F.lit(root), rel_path=F.col("rel")).orderBy("path")
