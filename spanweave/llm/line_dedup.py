@@ -58,7 +58,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     frequent = (
         records.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     )
-    lost = records.select(*KEY, "pos").join(frequent.select("h1", "h2"), ["h1", "h2"])
+    # As a table of its own it is broadcast if small by its size; else both sides are plain exchanges, which can be split.
+    frequent = spool(frequent.select("h1", "h2"), "frequent")
+    lost = records.select(*KEY, "pos").join(frequent, ["h1", "h2"])
     words = lost.groupBy("doc", "digest", F.floor(F.col("pos") / WORD).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % WORD)).alias("bits")
     )
