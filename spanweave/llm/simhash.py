@@ -18,14 +18,15 @@ only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import spool, table, text_of
 from .components import components
@@ -152,89 +153,232 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return each.join(by_fp, F.col("fp") == F.col("its_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of a text that the search for near copies looks at, and how many of them at a time.
-LANES = 6
-AT_ONCE = 2
+#: Blocks with more members are linked over hubs and in tiles, not pair by pair.
+BLOCK_PAIRS = 100
+#: Rounds in which the heaviest member of each crowded block meets all others, and members on a side of a tile after that.
+HUBS = 2
+TILE = 256
+#: One text in ``SAMPLE`` tells which shingles are common; at most ``COMMON`` of them come last in the order of all.
+SAMPLE = 16
+COMMON = 1 << 18
+#: Near pairs are asked to share one more than this part of the smaller set among the first shingles.
+SHARED = 20
 
 
-def _word_sets(docs: DataFrame) -> DataFrame:
-    """(node, fps, row): a digest of the text's words in order, ``LANES`` fingerprints of the set of its words, and all columns."""
+def _digested(docs: DataFrame) -> DataFrame:
+    """(node, row): a digest of the text's words in order, and all columns."""
     rows = docs.select(text_of().alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, prints = [], []
-            for text in batch.column(0):
-                words = text.as_py().encode().lower().split()
-                nodes.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                distinct = set(words)
-                prints.append([_majority([xxhash.xxh64_intdigest(w, seed) for w in distinct]) for seed in range(LANES)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes), pa.array(prints, pa.list_(pa.int64())), batch.column(1)], names=["node", "fps", "_row_"]
-            )
+            nodes = [xxhash.xxh3_128_hexdigest(b" ".join(t.as_py().encode().lower().split())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(1)], names=["node", "_row_"])
+
+    return rows.mapInArrow(run, StructType([StructField("node", StringType()), rows.schema["_row_"]]))
+
 
-    kinds = [StructField("node", StringType()), StructField("fps", ArrayType(LongType())), rows.schema["_row_"]]
-    return rows.mapInArrow(run, StructType(kinds))
+def _distinct(text: str, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles as signed numbers, sorted."""
+    return np.unique(np.array(_shingle_hashes(text, width), dtype="<u8").view("<i8"))
 
 
-def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): hashes of the distinct shingles of ``width`` words."""
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of (id, text): hashes of the distinct shingles of ``width`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sorted({h - (1 << 64) if h >> 63 else h for h in _shingle_hashes(t.as_py(), width)}) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [_distinct(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, StructType([StructField("id", LongType()), StructField("shingles", ArrayType(LongType()))]))
+
+
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Common shingles, the most common last; they only order the search, so a sample of texts will do."""
+    some = _shingle_sets(texts.where(F.pmod("id", F.lit(SAMPLE)) == 0), width)
+    counts = some.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 2")
+    return counts.orderBy(F.desc("count"), "key").limit(COMMON).select("key").toArrow().column("key").to_numpy()[::-1]
 
-    return rows.mapInArrow(run, "node string, shingles array<long>")
 
+def _prefixes(texts: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """(key, id, size): the first shingles of each set in one order of all shingles, common ones last.
 
-def near_copies(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Verified edges (a, b) between nodes (node, fps); ``texts`` has (node, text) once each.
+    A set of n shingles has its first n - ceil(share * n) + k, k = 1 + n // SHARED.
+    Near sets have at least ceil(share * n) in common, so the k-th of these is
+    among the first of both: near pairs share k or more of the rows, for the
+    smaller k of the two.
+    """
+    last = _common(texts, width)
+    by = np.argsort(last)
+    keys = last[by]
+
+    def firsts(text: str) -> tuple[np.ndarray, int]:
+        own = _distinct(text, width)
+        size = len(own)
+        if not size:
+            return own, 0
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            own = own[np.lexsort((own, np.where(keys[at] == own, by[at] + 1, 0)))]
+        least = -(-size * share.numerator // share.denominator)
+        return own[: size - least + 1 + size // SHARED], size
 
-    Candidates come lane by lane from the grid join; nodes with one fingerprint
-    meet the first of them, linked fingerprints meet by their first nodes.
-    Every candidate is then verified by the exact Jaccard similarity of shingles.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [firsts(t.as_py()) for t in batch.column(1)]
+            long = [len(k) for k, _ in found]
+            if not sum(long):
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([k for k, _ in found])),
+                    pa.array(np.repeat(batch.column(0).to_numpy(), long)),
+                    pa.array(np.repeat([n for _, n in found], long), pa.int32()),
+                ],
+                names=["key", "id", "size"],
+            )
+
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, size int")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) with ``share`` or more of their shingles in common."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("s", "t")).cast("long"))
+    every = F.size("s") + F.size("t") - F.col("shared")
+    return spool(both.where(F.col("shared") * share.denominator >= every * share.numerator).select("a", "b"), "verified")
+
+
+def _open(crowds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of ``crowds`` with their roots over ``edges``, without the blocks that are one component."""
+    roots = components(edges).withColumnRenamed("node", "id")
+    rooted = crowds.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    block = Window.partitionBy("key")
+    several = rooted.withColumn("low", F.min("root").over(block)).withColumn("high", F.max("root").over(block))
+    return spool(several.where("low < high").drop("low", "high"), "open")
+
+
+def _tile_edges(share: Fraction) -> Callable[[pa.Table], pa.Table]:
+    """Edges between the rows and the columns of a tile that join what its roots don't yet."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        column = tile.column("side").to_numpy() == 1
+        rows, cols = tile.filter(pa.array(~column)).combine_chunks(), tile.filter(pa.array(column)).combine_chunks()
+        found: list[tuple[int, int]] = []
+        if rows.num_rows and cols.num_rows:
+            lists = cols.column("shingles").to_pylist()
+            size = np.array([len(x) for x in lists])
+            owner = np.repeat(np.arange(len(lists)), size)
+            every, codes = np.unique(np.concatenate([np.array(x, dtype="<i8") for x in lists]), return_inverse=True)
+            ids, root = cols.column("id").to_numpy(), cols.column("root").to_numpy().copy()
+            above: dict[int, int] = {}
+            for one, own, shingles in zip(rows.column("id").to_pylist(), rows.column("root").to_pylist(), rows.column("shingles").to_pylist(), strict=True):
+                while own in above:
+                    own = above[own]
+                mark = np.zeros(len(every), dtype=bool)
+                mine = np.array(shingles, dtype="<i8")
+                at = np.minimum(np.searchsorted(every, mine), len(every) - 1)
+                mark[at[every[at] == mine]] = True
+                shared = np.bincount(owner[mark[codes]], minlength=len(lists))
+                near = shared * share.denominator >= (size + len(mine) - shared) * share.numerator
+                near &= root != own
+                for k in np.flatnonzero(near):
+                    if root[k] != own:
+                        found.append((one, int(ids[k])))
+                        above[int(root[k])] = own
+                        root[root == root[k]] = own
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _crowd_edges(crowds: DataFrame, edges: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """``edges`` and those that join all near members of each block of ``crowds`` (key, id, size, weight).
+
+    Hubs only save work: a member with many crowded shingles is likely the one
+    the others were made from.  Whatever blocks they leave in several components
+    is compared whole, the members outside the largest component with all others
+    of the block, in tiles that are tasks of their own.
+    """
+    spent = None
+    for _ in range(HUBS):
+        rows = _open(crowds, edges)
+        if rows.isEmpty():
+            return edges
+        free = rows if spent is None else rows.join(spent, "id", "left_anti")
+        hubs = spool(free.groupBy("key").agg(F.max(F.struct("weight", "id", "root", "size")).alias("hub")), "hubs")
+        now = hubs.select(F.col("hub.id").alias("id")).distinct()
+        spent = now if spent is None else spent.union(now)
+        met = rows.join(hubs, "key").where("root <> hub.root")
+        met = met.where(F.least("size", "hub.size") * share.denominator >= F.greatest("size", "hub.size") * share.numerator)
+        pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        edges = edges.union(_verified(pairs, sets, share))
+    rows = _open(crowds, edges)
+    if rows.isEmpty():
+        return edges
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    parts = parts.select("key", F.col("top.root").alias("top"), tiles(F.col("total") - F.col("top.n")).alias("down"), tiles(F.col("total")).alias("across"))
+    rows = rows.join(parts, "key")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    minor = rows.where("root <> top").select("key", "id", "root", F.lit(0).alias("side"), dealt(F.col("down")).alias("i"), numbers(F.col("across")).alias("j"))
+    every = rows.select("key", "id", "root", F.lit(1).alias("side"), numbers(F.col("down")).alias("i"), dealt(F.col("across")).alias("j"))
+    whole = minor.unionByName(every).join(sets, "id").groupBy("key", "i", "j")
+    return edges.union(spool(whole.applyInArrow(_tile_edges(share), "a long, b long"), "tiles"))
+
+
+def near_copies(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of ``texts`` (id, text) with ``similarity`` or more.
+
+    An exact prefix filter on the rows of ``_prefixes``.  Pairs that meet in
+    blocks of few members only must meet often enough and are then verified by
+    the exact Jaccard similarity of shingles; those that meet in a crowded block
+    are left to ``_crowd_edges``, however often they meet.
     """
-    found = []
-    for lane in range(0, LANES, AT_ONCE):
-        part = nodes.select("node", F.posexplode("fps").alias("lane", "fp")).where(F.col("lane").between(lane, lane + AT_ONCE - 1))
-        part = part.withColumn("lane", F.col("lane").cast("long"))
-        hubs = spool(part.groupBy("lane", "fp").agg(F.min("node").alias("hub")), "hubs")
-        same = part.join(hubs, ["lane", "fp"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        edges = links(hubs.select("lane", "fp"))
-        ends = edges.join(hubs.select("lane", F.col("fp").alias("a"), F.col("hub").alias("x")), ["lane", "a"])
-        ends = ends.join(hubs.select("lane", F.col("fp").alias("b"), F.col("hub").alias("y")), ["lane", "b"])
-        ends = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found.append(spool(same.union(ends).distinct(), "candidates"))
-    candidates = spool(reduce(DataFrame.union, found).where("a <> b").distinct(), "candidates")
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = spool(_shingle_sets(texts.join(asked, "node", "left_semi").select("node", "text"), width), "shingles")
-    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    return spool(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"), "verified")
+    share = Fraction(similarity).limit_denominator(10_000)
+    prefixes = _prefixes(texts, width, share)
+    blocks = spool(prefixes.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1"), "blocks")
+
+    def alike(a: Column, b: Column) -> Column:
+        sizes = F.least(a["size"], b["size"]) * share.denominator >= F.greatest(a["size"], b["size"]) * share.numerator
+        return (a["id"] < b["id"]) & sizes
+
+    def pair(a: Column, b: Column) -> Column:
+        least = F.floor(F.least(a["size"], b["size"]) / SHARED) + 1
+        return F.struct(a["id"].alias("a"), b["id"].alias("b"), least.alias("least"))
+
+    few = blocks.where(F.col("members") <= BLOCK_PAIRS).groupBy("key").agg(F.collect_list(F.struct("id", "size")).alias("them"))
+    pairs = F.flatten(F.transform("them", lambda a: F.transform(F.filter("them", lambda b: alike(a, b)), lambda b: pair(a, b))))
+    met = few.select(F.explode(pairs).alias("e")).groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("n"), F.max("e.least").alias("least"))
+    candidates = spool(met.where("n >= least").select("a", "b"), "candidates")
+    crowded = blocks.where(F.col("members") > BLOCK_PAIRS)
+    weights = crowded.groupBy("id").agg(F.sum("members").alias("weight"))
+    crowds = spool(crowded.join(weights, "id").select("key", "id", "size", "weight"), "crowds")
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct()
+    sets = spool(_shingle_sets(texts.join(asked, "id", "left_semi"), width), "shingles")
+    return _crowd_edges(crowds, _verified(candidates, sets, share), sets, share)
 
 
 def first_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, whole: that with the smallest id, null ids last, any one of repeated rows.
 
     Near copies share at least ``similarity`` of their shingles of ``width``
-    words, directly or over others.  They are searched by SimHash of their word
-    sets, which a small edit moves least, under ``LANES`` seeds: a pair is found
-    if one of its fingerprints differs in at most 2 bits.  Rows are written
+    words, directly or over others; no link is missed.  Rows are written
     once with a number; winners are found on numbers alone, and only the last
     join moves rows.
     """
-    each = spool(_word_sets(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    each = spool(_digested(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
     ident = F.col("_row_.doc_id").cast("long")
     order = F.struct(ident.isNull().alias("no"), ident.alias("id"), F.col("number").alias("number"))
-    nodes = spool(each.groupBy("node").agg(F.first("fps").alias("fps"), F.min(order).alias("first")), "nodes")
-    picked = nodes.select("node", F.col("first.number").alias("number"))
-    texts = each.select("number", text_of("_row_.text").alias("text")).join(picked, "number")
-    roots = components(near_copies(nodes, texts, width, similarity))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = spool(each.groupBy("node").agg(F.min(order).alias("first")).select(F.col("first.number").alias("id"), "first"), "nodes")
+    texts = each.select(F.col("number").alias("id"), text_of("_row_.text").alias("text")).join(nodes.select("id"), "id", "left_semi")
+    roots = components(near_copies(texts, width, similarity)).withColumnRenamed("node", "id")
+    rooted = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = each.join(winners.select(F.col("first.number").alias("number")), "number", "left_semi")
     return kept.select(*(F.col(f"_row_.`{c}`").alias(c) for c in docs.columns))

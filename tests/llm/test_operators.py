@@ -179,6 +179,46 @@ def test_one_of_each_group_of_near_copies(spark, odd, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def _first_of_near(texts, width=5):
+    """Smallest ids of the components of all pairs with 0.8 or more of their shingles in common."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in sets}
+
+
+def test_large_groups_of_one_base_lose_no_link(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    texts = {}
+    for i in range(300):
+        at = rng.randrange(len(base) - 20)
+        texts[i] = " ".join(base[:at] + [f"own{i}x{k}" for k in range(rng.randint(1, 18))] + base[at + rng.randint(1, 18) :])
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = _first_of_near(texts)
+    assert 1 < len(want) < len(texts)
+    assert {r.doc_id for r in simhash.first_of_each(data).collect()} == want
+    # Tiles alone, and with tiles of few members.
+    monkeypatch.setattr(simhash, "HUBS", 0, raising=False)
+    monkeypatch.setattr(simhash, "TILE", 40, raising=False)
+    assert {r.doc_id for r in simhash.first_of_each(data).collect()} == want
+
+
 def test_crowded_cells_and_chains_lose_no_link(spark, monkeypatch):
     import random
 
