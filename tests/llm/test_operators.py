@@ -219,6 +219,25 @@ def test_large_groups_of_one_base_lose_no_link(spark, monkeypatch):
     assert {r.doc_id for r in simhash.first_of_each(data).collect()} == want
 
 
+def test_pairs_just_over_the_similarity_are_all_found(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = {}
+    for i in range(150):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.choice((8, 30, 90, 250)))]
+        near = list(base)
+        for _ in range(max(1, len(base) // rng.choice((40, 48, 60)))):
+            near[rng.randrange(len(near))] = f"new{rng.randrange(900)}"
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(near)}
+        if i % 3 == 0:
+            texts[2 * i + 1] = " ".join(base + near[: len(base) // 4])
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = _first_of_near(texts)
+    assert 150 < len(want) < 300
+    assert {r.doc_id for r in simhash.first_of_each(data).collect()} == want
+
+
 def test_crowded_cells_and_chains_lose_no_link(spark, monkeypatch):
     import random
 
