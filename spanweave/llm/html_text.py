@@ -3,9 +3,10 @@
 A page is read into text nodes with their root-to-leaf tag paths.  For every
 path the text length and punctuation of its nodes are added up; both ratios to
 the number of nodes are smoothed along the page, fused by product, and paths
-above a share of their spread are content.  The smallest element that holds
-nearly all content is the article; its blocks, less what its mark-up names as
-menus, adverts, comments and the like, are the text.
+above a share of their spread are content.  The article is the article or main
+element that holds all content, else the smallest element that does; its
+blocks, less what its mark-up names as menus, adverts, comments and the like,
+are the text.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed
 and cut-off mark-up is read as far as it goes; repeated rows get equal results;
@@ -226,7 +227,7 @@ def main_text(page: str) -> str:
     if total <= 0:
         return ""
     named = [n for n in nodes.values() if n.tag in WHOLE or n.whole and not (n.above and n.above.whole)]
-    best = max((n for n in named if weight[n.number] >= 0.3 * total), key=lambda n: (n.tag == "article", weight[n.number], -n.number), default=None)
+    best = max((n for n in named if weight[n.number] >= total), key=lambda n: (n.tag == "article", weight[n.number], -n.number), default=None)
     if best is None:
         best = nodes[0]
         below: dict[int, list[Node]] = {}
@@ -234,7 +235,7 @@ def main_text(page: str) -> str:
             if n.above is not None:
                 below.setdefault(n.above.number, []).append(n)
         while down := max(below.get(best.number, []), key=lambda n: weight[n.number], default=None):
-            if weight[down.number] < 0.85 * total or down.tag in ("p", "h1", "h2", "h3", "b", "i", "em", "strong", "span", "a"):
+            if weight[down.number] < total or down.tag in ("p", "h1", "h2", "h3", "b", "i", "em", "strong", "span", "a"):
                 break
             best = down
     blocks: list[list[str]] = []

@@ -306,6 +306,19 @@ it goes on.<br>It has words; many.<ul><li>one, two.<li>three.</ul><aside>Not thi
     assert got[3][1] in (want, want.removeprefix("Head & more "))
 
 
+def test_html_content_beside_the_largest_element_stays():
+    said = [f"Sentence {i} goes on, and on; it ends here." for i in range(20)]
+    body = "".join(f"<p>{x}</p>" for x in said)
+    rest = " ".join(said)
+    lead = "The lead is prose, with a point."
+    split = f"<body><div><h1>Title</h1><p>{lead}</p></div><div>{body}</div><div><p>The end, at last.</p></div><footer>No.</footer></body>"
+    assert html_text.main_text(split) == f"Title {lead} {rest} The end, at last."
+    beside = f"<body><main><article><p>{lead}</p></article><article>{body}</article></main><nav>No.</nav></body>"
+    assert html_text.main_text(beside) == f"{lead} {rest}"
+    half = f"<body><main><article>{body}</article><section><p>{rest}</p></section></main><div class=ad>No.</div></body>"
+    assert html_text.main_text(half) == f"{rest} {rest}"
+
+
 # 9
 def test_votes_follow_labels_of_the_training_rows(spark, empty):
     import random
