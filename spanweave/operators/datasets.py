@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_f1
+from .embed import each_with
 
 FIELDS = ["query_id", "doc_id", "question", "answer_spans", "reference_answer"]
 
@@ -64,11 +65,9 @@ def anchored(docs: DataFrame, anchors: list[tuple[str, str, str]], before: int =
 def phrase_hits(docs: DataFrame, phrases: DataFrame, most: int = 100_000) -> DataFrame:
     """(item_id, doc_id, start_offset, end_offset) of the first hit of each phrase in each document.
 
-    Phrases are sent to every task behind a check of their number.
+    Phrases are sent to every task if they are at most ``most``, else they go by slices.
     """
-    if phrases.count() > most:
-        raise ValueError(f"at most {most} phrases")
-    rows = docs.select("doc_id", "content").join(F.broadcast(phrases), F.contains("content", "phrase"))
+    rows = each_with(docs.select("doc_id", "content"), "doc_id", phrases, "item_id", most).where(F.contains("content", "phrase"))
     at = _place(F.col("phrase"), F.col("content")) - 1
     return rows.select("item_id", "doc_id", at.alias("start_offset"), (at + F.length("phrase")).alias("end_offset"))
 

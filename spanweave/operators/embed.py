@@ -109,17 +109,33 @@ def cosine_udf(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
-def nearest_by_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+#: Parts that rows are dealt into where what they meet is too large to be sent to every task.
+PARTS = 64
+
+
+def each_with(rows: DataFrame, row_id: str, asked: DataFrame, asked_id: str, most: int) -> DataFrame:
+    """Every row of ``rows`` with every one of ``asked``, which is sent to every task if it has at most ``most`` rows.
+
+    A larger one is cut into slices of about ``most`` rows; each slice meets each part of ``rows`` in an exchange.
+    """
+    slices = -(-asked.count() // most)
+    if slices <= 1:
+        return rows.join(F.broadcast(asked))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_part", deal(row_id, PARTS)).withColumn("_slice", every(slices))
+    right = asked.withColumn("_slice", deal(asked_id, slices)).withColumn("_part", every(PARTS))
+    return left.join(right, ["_slice", "_part"]).drop("_slice", "_part")
+
+
+def nearest_by_query(vectors: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) for each of a stated set of ``queries`` (query_id, query).
 
-    The query set is sent to every task, so its size is checked; beyond the
-    bound, call this on slices of it.
+    The query set is sent to every task if it has at most ``most`` rows, else it goes by slices.
     """
     from pyspark.sql.window import Window
 
-    if queries.count() > 10_000:
-        raise ValueError("at most 10,000 queries at once")
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).join(F.broadcast(queries))
+    rows = each_with(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", queries, "query_id", most)
     rows = rows.select("query_id", "vec_id", F.round(cosine(F.col("v"), F.col("query")), 9).alias("sim"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

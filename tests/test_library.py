@@ -144,3 +144,16 @@ def test_preview_limit(spark):
     with pytest.raises(ValueError):
         tuner.preview(spark, "x" * 11, Config("fixed_tokens", {}), most=10)
     assert tuner.preview(spark, "word " * 100, Config("fixed_tokens", {"max_tokens": 50})).first().preview.endswith("...")
+
+
+def test_large_query_sets_go_by_slices(spark):
+    from spanweave.operators import datasets, embed
+
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id < 25").selectExpr("vec_id AS query_id", "embedding AS query")
+    want = sorted(map(tuple, embed.nearest_by_query(vectors, asked, 3).collect()))
+    assert len(want) == 75 and sorted(map(tuple, embed.nearest_by_query(vectors, asked, 3, most=4).collect())) == want
+    docs = spark.createDataFrame([(i, f"text {i} of word{i % 3}") for i in range(20)], "doc_id long, content string")
+    phrases = spark.createDataFrame([(i, f"word{i % 4}") for i in range(9)], "item_id long, phrase string")
+    want = sorted(map(tuple, datasets.phrase_hits(docs, phrases).collect()))
+    assert want and sorted(map(tuple, datasets.phrase_hits(docs, phrases, most=2).collect())) == want
