@@ -17,32 +17,32 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def offsets(lengths: Column) -> Column:
-    """The sum before each element and, last, the whole sum; n ** 1.5 in time.
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array, 0 and all numbers before it, combined; n ** 1.5 in time.
 
-    Sums of blocks of about the root of the length spare the copy of a growing
-    result that a plain fold would make for every element.
+    ``combine`` is associative and has 0 as its neutral value, as sums and
+    maxima of natural numbers have.  Blocks of about the root of the length
+    spare the copy of a growing result that a plain fold would make for every
+    element.
     """
+    fold = lambda v: F.aggregate(v, F.lit(0).cast("long"), combine)
 
-    def sums(v: Column, width: Column) -> Column:
+    def by_blocks(v: Column, width: Column) -> Column:
         heads = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: total(F.slice(v, b * width + 1, width))
-        )
-        return let(
-            heads,
-            lambda h: let(
-                F.transform(h, lambda _, b: total(F.slice(h, F.lit(1), b))),
-                lambda p: F.transform(
-                    v,
-                    lambda _, k: F.get(p, F.floor(k / width).cast("int"))
-                    + total(F.slice(v, F.floor(k / width).cast("int") * width + 1, k % width)),
-                ),
-            ),
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: fold(F.slice(v, b * width + 1, width))
         )
 
-    def whole(v: Column) -> Column:
-        before = let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: sums(v, width))
-        return F.concat(before, F.array(total(v)))
+        def each(before: Column) -> Column:
+            block = lambda k: F.floor(k / width).cast("int")
+            return F.transform(v, lambda _, k: combine(F.get(before, block(k)), fold(F.slice(v, block(k) * width + 1, k % width))))
+
+        return let(heads, lambda h: let(F.transform(h, lambda _, b: fold(F.slice(h, F.lit(1), b))), each))
 
-    zero = F.array(F.lit(0).cast("long"))
-    return F.when(F.size(lengths) == 0, zero).otherwise(let(lengths.cast("array<bigint>"), whole))
+    none = F.array().cast("array<bigint>")
+    whole = lambda v: let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: by_blocks(v, width))
+    return F.when(F.size(values) == 0, none).otherwise(let(values.cast("array<bigint>"), whole))
+
+
+def offsets(lengths: Column) -> Column:
+    """The sum before each element and, last, the whole sum."""
+    return let(lengths.cast("array<bigint>"), lambda v: F.concat(running(v, lambda a, x: a + x), F.array(total(v))))
