@@ -6,9 +6,11 @@ parses the elements again, whatever wrote them, into a packet table: track,
 timestamp, byte range and key flag of every frame.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts
-give equal files; damaged files give the packets before the damage and an
-``error``; repeated rows get equal results; an empty table gives an empty
-result; only the named columns are read.
+give equal files; a null id stays null; damaged files, numbers too large for
+their columns included, give the packets before the damage and an ``error``;
+time is linear in the file, whatever its elements; repeated rows get equal
+results; an empty table gives an empty result; only the named columns are read,
+so others cannot clash.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SEEK, TAGS, CHAPTERS, FILES = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 #: What may follow a cluster of unknown size.
 TOP = {SEEK, INFO, TRACKS, CLUSTER, CUES, TAGS, CHAPTERS, FILES}
 NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
+#: What the columns of packets can't hold: a track is an int, a time a long.
+INT, LONG = 1 << 31, 1 << 63
 
 #: A tick is one sample at 8 kHz, in nanoseconds.
 TICK = 125_000
@@ -135,6 +139,21 @@ def _number(data: bytes, at: int, keep: bool = False) -> tuple[int, int, bool]:
     return raw if keep else value, at + width, value == (1 << 7 * width) - 1
 
 
+def _cluster_end(data: bytes, at: int, end: int) -> int:
+    """Where a cluster of unknown size ends: at the next top element or with its parent; read over sizes alone, each once."""
+    try:
+        while at < end:
+            ident, body, _ = _number(data, at, keep=True)
+            if ident in TOP:
+                return at
+            size, body, unknown = _number(data, body)
+            at = end if unknown else body + size
+    except Damaged:
+        # Reading the cluster itself meets the same damage, behind the packets before it.
+        pass
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, own start, body start, body end) of the elements in a body; one of unknown size ends where its parent or the next top element does."""
     while at < end:
@@ -143,13 +162,10 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, in
         size, at, unknown = _number(data, at)
         stop = end if unknown else at + size
         if unknown and ident == CLUSTER:
-            for k, a, _, b in elements(data, at, end):
-                if k in TOP:
-                    stop = a
-                    break
-                stop = b
+            stop = _cluster_end(data, at, end)
         if stop > end:
-            yield ident, own, at, end
+            if ident in (SEGMENT, CLUSTER, GROUP):
+                yield ident, own, at, end
             raise Damaged(f"element at {own} is cut off")
         yield ident, own, at, stop
         at = stop
@@ -195,13 +211,20 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[i
 
 
 def read(data: bytes) -> Media:
-    """Packets, tracks and cues of a file."""
+    """Packets, tracks and cues of a file; numbers beyond the columns' types are damage."""
     m = Media()
-    uint = lambda a, b: int.from_bytes(data[a:b], "big")
+
+    def uint(a: int, b: int) -> int:
+        value = int.from_bytes(data[a:b], "big") if b - a <= 8 else LONG
+        if value >= LONG:
+            raise Damaged(f"number at {a} is too large")
+        return value
 
     def block(a: int, b: int, base: int, simple: bool) -> None:
         track, rel, flags, frames = _frames(data, a, b)
         step = m.tracks.get(track, ("", 0))[1] // max(1, m.scale)
+        if track >= INT or base + rel + (len(frames) - 1) * step >= LONG:
+            raise Damaged(f"track or time of the block at {a} is too large")
         for i, (start, size) in enumerate(frames):
             m.packets.append((track, base + rel + i * step, start, size, bool(flags & 0x80) or not simple))
 
