@@ -8,15 +8,18 @@ is the window, so tasks need nothing from each other and a lost one is simply
 run again.  At the end of a stream the open windows are poured together, cut
 freely, and the last tokens are cut at powers of two, which need no padding.
 
-Defined results: a null text is empty and yields its end token alone; repeated
-rows are packed once each; ties go to the fullest level; an empty table gives
-an empty result; only the two named columns are read, so others cannot clash.
+Defined results: a null text is empty and yields its end token alone; a null id
+stays null; the string of a special token in a text is that token, as the
+library has it; repeated rows are packed once each; ties go to the fullest
+level; a very long text is whole windows and one rest; an empty table gives an
+empty result; only the two named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -102,12 +105,19 @@ def pack(documents: Iterator[tuple[int, bytes]], window: int) -> Iterator[list[t
 
 
 @lru_cache(maxsize=2)
-def _json_encoder(path: str) -> UnitEncoder:
+def _json_encoder(path: str) -> Callable[[str], bytes]:
+    """Ids of a text as the library gives them without adding any: strings of the file's added tokens become those tokens.
+
+    The library cuts a text at these strings before anything else, so what
+    stands between is encoded unit by unit, each part as a text of its own.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("added tokens that look at their surroundings aren't supported")
     words = tokenizer.get_vocab()
     begins = np.zeros(max(words.values()) + 1, dtype=bool)
     # The vocabulary writes a space as this letter.
@@ -123,7 +133,16 @@ def _json_encoder(path: str) -> UnitEncoder:
         blob = found.tobytes()
         return [blob[a:b] for a, b in zip(at, [*at[1:], len(blob)], strict=True)]
 
-    return UnitEncoder(lambda text: ids(text).tobytes(), many)
+    plain = UnitEncoder(lambda text: ids(text).tobytes(), many)
+    marks = {x: i.to_bytes(4, "little") for x, i in added.items()}
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")") if marks else None
+
+    def encode(text: str) -> bytes:
+        if cut is None or not any(map(text.__contains__, marks)):
+            return plain(text)
+        return b"".join(marks[p] if k % 2 else plain(p) for k, p in enumerate(cut.split(text)))
+
+    return encode
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0) -> DataFrame:
