@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running  # noqa: F401
+
 #: White space as every contract here defines it: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spanweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -74,41 +78,12 @@ def unspool(df: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it often within ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
-def running_sums(values: Column) -> Column:
-    """Sums of all elements before each one, for an array of numbers.
-
-    Blocks of about the root of the length keep this n ** 1.5 in time, where a
-    fold that carries its own result would copy it for each element.
-    """
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def sums(v: Column, width: Column) -> Column:
-        heads = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")),
-            lambda b: total(F.slice(v, b * width + 1, width)),
-        )
-        before = F.transform(heads, lambda _, b: total(F.slice(heads, F.lit(1), b)))
-        return let(
-            before,
-            lambda p: F.transform(
-                v,
-                lambda _, k: F.get(p, F.floor(k / width).cast("int"))
-                + total(F.slice(v, F.floor(k / width).cast("int") * width + 1, k % width)),
-            ),
-        )
-
-    def whole(v: Column) -> Column:
-        return let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: sums(v, width))
-
-    empty = F.array().cast("array<bigint>")
-    return F.when(F.size(values) == 0, empty).otherwise(let(values.cast("array<bigint>"), whole))
+def free_name(base: str, taken: list[str]) -> str:
+    """``base``, with underscores behind it until no column of ``taken`` has that name in any case."""
+    held = {c.lower() for c in taken}
+    while base.lower() in held:
+        base += "_"
+    return base
 
 
 def text_of(column: str = "text") -> Column:

@@ -1,14 +1,16 @@
 """Secret scans with a trigram inverted index (operator 4), in DataFrame functions only.
 
-Each rule's regex yields a Boolean query over trigrams.  One scan posts, for
-every trigram that some rule needs, the documents holding it; postings are
-intersected alternative by alternative; only candidates of a rule are verified
-with its regex.  A rule without a mandatory trigram scans every document.
+Each rule's regex yields a Boolean query over trigrams.  One pass over each text
+posts those of its trigrams that some rule names; postings are intersected
+alternative by alternative; only candidates of a rule are verified with its
+regex.  A rule without a mandatory trigram scans every document.
 
 Defined results: a null or empty text has no spans; a document is a pair of id
 and text, so identical repeated rows get equal results and null ids work; an
 empty table gives an empty result; the caller's columns travel in one struct
-and cannot clash.  Spans are in code points, end exclusive.
+and cannot clash; scanning is linear in a text, and no rule recurses on it.
+Spans are in code points, end exclusive; those that start together go by the order of
+the rules.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, running_sums, spool, table, text_of
-from .trigrams import trigram_query
+from .common import free_name, let, running, spool, table, text_of
+from .trigrams import any_of, trigram_query
 
 
 @dataclass(frozen=True)
@@ -52,8 +54,10 @@ ADDED = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # A header has at most 1,000 characters, so what a failed start costs is bounded.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # A repeated class is matched in a loop; a repeated group would recurse on long texts.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
 
@@ -71,10 +75,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for n, clause in enumerate(sorted(query, key=sorted))
         for gram in sorted(clause)
     ]
-    grams = sorted({t[3] for t in terms})
-    low = docs.select(F.col("doc_id").alias("doc"), _digest().alias("digest"), ascii_lower(text_of()).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
-    postings = low.select("doc", "digest", F.explode(F.array_distinct(held)).alias("gram")).distinct()
+    # Lower case of any letter at most adds candidates; one pass over a text finds all trigrams that the rules name.
+    held = F.regexp_extract_all(F.lower(text_of()), F.lit(any_of({t[3] for t in terms})), F.lit(1))
+    postings = docs.select(F.col("doc_id").alias("doc"), _digest().alias("digest"), F.explode(F.array_distinct(held)).alias("gram")).distinct()
     clause = F.array(
         *(F.struct(F.lit(k).alias("kind"), F.lit(c).alias("clause"), F.lit(n).alias("size"), F.lit(g).alias("gram")) for k, c, n, g in terms)
     )
@@ -95,7 +98,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     size = lambda parts: F.transform(parts, lambda x: F.length(x))
 
     def placed(long: Column, gaps: Column) -> Column:
-        before = running_sums(F.zip_with(gaps, long, lambda g, m: g + F.coalesce(m, F.lit(0))))
+        before = running(F.zip_with(gaps, long, lambda g, m: g + F.coalesce(m, F.lit(0))), lambda a, x: a + x)
         return F.zip_with(
             long,
             F.zip_with(F.slice(before, F.lit(1), F.size(long)), F.slice(gaps, F.lit(1), F.size(long)), lambda a, b: a + b),
@@ -115,10 +118,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return let(part, lambda p: F.filter(spans, lambda _, i: F.get(p, i) >= rule.least))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every column of ``docs`` and ``secrets``, an array of (start, order, end, kind) by start, then rule.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
+    """Every column of ``docs`` and ``into``, an array of (start, order, end, kind) by start, then rule.
 
-    A column of ``docs`` that is called ``secrets`` is replaced.
+    A column of ``docs`` that is called ``into`` is replaced.
     """
     known = spool(candidates(docs, rules), "candidates")
     rows = docs.select(
@@ -133,8 +136,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if trigram_query(rule.pattern) is None:
             to_check = text.rlike(rule.java)
         each.append(F.when(F.coalesce(to_check, F.lit(False)), _spans(text, rule, order)).otherwise(none))
-    own = [F.col(f"_row_.`{c}`").alias(c) for c in docs.columns if c != "secrets"]
-    return both.select(*own, F.sort_array(F.concat(*each)).alias("secrets"))
+    own = [F.col(f"_row_.`{c}`").alias(c) for c in docs.columns if c != into]
+    return both.select(*own, F.sort_array(F.concat(*each)).alias(into))
+
+
+def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every column of ``docs``, with each secret of ``text`` replaced by its kind in angle brackets; a null text stays null."""
+    into = free_name("secrets", docs.columns)
+    found = find_secrets(docs, rules, into)
+    text = F.when(F.size(into) == 0, F.col("text")).otherwise(masked(text_of(), F.col(into)))
+    return found.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def masked(text: Column, secrets: Column) -> Column:
@@ -143,11 +154,12 @@ def masked(text: Column, secrets: Column) -> Column:
     Spans come sorted by start, so a running end tells which begin inside an
     earlier one; what lies between is joined as it is.
     """
-    ends = let(
-        secrets,
-        lambda s: F.transform(s, lambda x, i: F.struct(x["start"].alias("a"), x["end"].alias("b"), x["kind"].alias("k"),
-            F.coalesce(F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda y: y["end"])), F.lit(0).cast("long")).alias("done"))),
-    )
+
+    def placed(s: Column) -> Column:
+        done = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        return F.zip_with(
+            s, done, lambda x, d: F.struct(x["start"].alias("a"), x["end"].alias("b"), x["kind"].alias("k"), d.alias("done"))
+        )
 
     def pieces(e: Column) -> Column:
         head = F.transform(
@@ -162,7 +174,7 @@ def masked(text: Column, secrets: Column) -> Column:
         last = F.array_max(F.transform(e, lambda x: x["b"]))
         return F.concat(F.array_join(head, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    return F.when(F.size(secrets) == 0, text).otherwise(let(ends, pieces))
+    return F.when(F.size(secrets) == 0, text).otherwise(let(let(secrets, placed), pieces))
 
 
 def _said(spans: Column) -> Column:

@@ -2,10 +2,13 @@
 
 A query is a set of alternatives, each a set of trigrams that all occur in the
 lower-cased text of any match.  ``None`` says that no trigram is mandatory.
+Where a pattern stands for more strings than ``MOST``, the query gets weaker,
+so more documents are verified; no result depends on it.
 """
 
 from __future__ import annotations
 
+import re
 from re import _constants as op
 from re import _parser as parser
 
@@ -88,3 +91,13 @@ def _sequence(nodes) -> tuple[set[str] | None, set | None]:
 def trigram_query(pattern: str) -> set[frozenset[str]] | None:
     words, query = _sequence(parser.parse(pattern))
     return _grams(words) if words is not None else query
+
+
+def any_of(grams: set[str]) -> str:
+    """A regex whose first group is the trigram at each place that has one of ``grams``; overlapping ones are found too."""
+    heads: dict[str, dict[str, list[str]]] = {}
+    for g in sorted(grams):
+        heads.setdefault(g[0], {}).setdefault(g[1], []).append(g[2])
+    one = lambda chars: f"[{''.join(map(re.escape, chars))}]"
+    tails = {a: "|".join(re.escape(b) + one(c) for b, c in more.items()) for a, more in heads.items()}
+    return f"(?={one(tails)})(?=({'|'.join(f'{re.escape(a)}(?:{t})' for a, t in tails.items())}))"

@@ -91,3 +91,44 @@ def repeats(rows, length=100):
                 seen.add(piece)
         runs = sum(1 for i in range(len(raw)) if gone[i] and not (i and gone[i - 1]))
         yield doc, len(raw), sum(gone), runs, sha(bytes(c for c, g in zip(raw, gone) if not g))
+
+
+def matroska_samples(data):
+    """The samples of all simple blocks, read byte by byte from the format's description."""
+
+    def length(at):
+        size = 8 - data[at].bit_length()
+        return size, int.from_bytes(data[at : at + size + 1], "big") - (1 << 7 * (size + 1))
+
+    found, todo = b"", [(0, len(data))]
+    while todo:
+        at, end = todo.pop()
+        if at >= end:
+            continue
+        wide = 9 - data[at].bit_length()
+        name, at = data[at : at + wide].hex(), at + wide
+        extra, size = length(at)
+        at += extra + 1
+        todo.append((at + size, end))
+        if name in ("18538067", "1f43b675"):
+            todo.append((at, at + size))
+        if name == "a3":
+            stop, kind, body = at + size, data[at + 3] >> 1 & 3, at + 4
+            if kind:
+                frames, body, sizes = data[body] + 1, body + 1, []
+                if kind == 1:
+                    for _ in range(frames - 1):
+                        sizes.append(0)
+                        while data[body] == 255:
+                            sizes[-1], body = sizes[-1] + 255, body + 1
+                        sizes[-1], body = sizes[-1] + data[body], body + 1
+                elif kind == 3:
+                    for k in range(frames - 1):
+                        extra, step = length(body)
+                        sizes.append(step if k == 0 else sizes[-1] + step - (1 << 7 * (extra + 1) - 1) + 1)
+                        body += extra + 1
+                else:
+                    assert (stop - body) % frames == 0
+                assert sum(sizes) <= stop - body
+            found += data[body:stop]
+    return found

@@ -38,7 +38,6 @@ def test_packing_places_each_id_once(spark, docs, texts, empty):
 
     path = P.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     got = packing.pack_documents(docs, path, window=64).collect()
     by_doc, by_seq = {}, {}
     for r in got:
@@ -58,6 +57,32 @@ def test_packing_places_each_id_once(spark, docs, texts, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_has_the_ids_of_the_library_around_special_tokens(spark, odd):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path, mark = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    model = Tokenizer.from_file(path)
+    texts = [f"a {mark} b", f"{mark}{mark}", f"x   {mark}   y", f"\n \n{mark} \t  end  ", f"{mark[:-1]} <|END|>", f"é  {mark}", f"{mark}\u00a0 z"]
+    got = {}
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in sorted(packing.pack_documents(data, path, window=8).collect(), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    for i, t in enumerate(texts):
+        assert got[i] == b"".join(x.to_bytes(4, "little") for x in [*model.encode(t, add_special_tokens=False).ids, 0]), t
+    # Null ids and repeated rows are packed once each.
+    assert sum(r.start == 0 for r in packing.pack_documents(odd, path).collect()) == 6
+
+
+def test_packing_ties_go_to_the_fullest_level():
+    levels = packing.LevelArray(10)
+    for n, size in enumerate((3, 5)):
+        levels.open.setdefault(size, []).append([(n, 0, b"0000" * size, size)])
+        levels.counts[size] += 1
+    # A piece of 1 on level 3 or 5 leaves the same sum of squares.
+    assert levels.place(1) == 5
+
+
 def test_level_array_takes_the_least_sum_of_squares():
     import random
 
@@ -118,6 +143,38 @@ def test_added_rules_and_masking(spark):
     assert row.m == "é <forge> <chat> <assign> <pem> ok"
 
 
+def test_texts_that_are_costly_to_match(spark):
+    import time
+
+    texts = ["-----BEGIN " + "AB " * 20_000 + "PRIVATE KEY-----", "eyJ" * 60_000, "-----BEGIN " + "A" * 200_000, "token" + " " * 200_000, "secret=" * 20_000]
+    texts += ["ab12" * 50_000 + "g", ("x0" * 12 + " token=abcdef ") * 300, "AKIA" * 50_000]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in secret_scan.find_secrets(data).collect()}
+    assert [s.kind for s in got[0].secrets] == ["pem"] and got[0].secrets[0].end == len(texts[0])
+    for i, t in enumerate(texts):
+        base = [s for s in got[i].secrets if s.order < 3]
+        assert (*(sum(s.kind == k for s in base) for k in brute.SECRETS), brute.sha(",".join(f"{s.kind}:{s.start}:{s.end}" for s in base))) == brute.base_secrets(t)
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(data).collect()}
+    assert masked[0] == "<pem>" and masked[6] == ("x0" * 12 + " <assign> ") * 300 and masked[1] == texts[1]
+    assert time.time() - start < 60
+
+
+def test_callers_columns_are_left_as_they_are(odd):
+    masked = secret_scan.mask_secrets(odd)
+    assert masked.columns == odd.columns and {r.secrets for r in masked.collect()} == {3}
+
+
+def test_trigram_regex_finds_overlapping_ones():
+    import re
+
+    from spanweave.llm.trigrams import any_of
+
+    grams = {"abc", "bcd", "b.d", "---", "a]c", "x\\y"}
+    text = "abcd b.d bxd ----- a]c x\\y"
+    assert [m[1] for m in re.finditer(any_of(grams), text)] == ["abc", "bcd", "b.d", "---", "---", "---", "a]c", "x\\y"]
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") is None
     assert trigram_query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
@@ -285,6 +342,44 @@ def test_laces_unknown_sizes_and_damage():
         assert [p[3] for p in m.packets] == sizes and {p[:2] for p in m.packets} == {(2, 105)} and len(m.clusters) == 2
 
 
+def test_odd_files_are_read_in_linear_time():
+    import time
+
+    unknown = matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
+    block = lambda track: matroska.element(matroska.SIMPLE, matroska.vint(track) + b"\0\0\x80" + b"data")
+    live = unknown + matroska.element(matroska.TIME, 5) + block(1)
+    start = time.time()
+    m = matroska.read(matroska.element(matroska.SEGMENT, live * 20_000))
+    assert len(m.packets) == len(m.clusters) == 20_000 and m.error is None and time.time() - start < 20
+    late = unknown + matroska.element(matroska.TIME, 1 << 75) + block(1)
+    far = unknown + matroska.element(matroska.TIME, 5) + block(1 << 40)
+    cut = unknown + matroska.element(matroska.TIME, 5) + block(1) + block(1)[:-2]
+    for damaged, packets in ((late, 1), (far, 1), (cut, 2), (unknown + b"\0", 1)):
+        m = matroska.read(matroska.element(matroska.SEGMENT, live + damaged))
+        assert len(m.packets) == packets and m.error, damaged
+    last = matroska.read(matroska.element(matroska.SEGMENT, live + unknown + matroska.element(matroska.TIME, (1 << 63) - 1) + block(1)))
+    assert [p[1] for p in last.packets] == [5, (1 << 63) - 1] and last.error is None
+
+
+def test_files_equal_an_independent_reader(texts):
+    for t in texts:
+        raw = matroska.padded((t or "").encode())
+        assert brute.matroska_samples(matroska.write(raw)) == raw
+    big = bytes(range(256)) * 300 + b"\7" * 64
+    assert brute.matroska_samples(matroska.write(big)) == big
+
+
+def test_packet_table_of_damaged_files(spark, odd):
+    unknown = matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
+    late = matroska.element(matroska.SEGMENT, unknown + matroska.element(matroska.TIME, 1 << 75))
+    far = matroska.element(matroska.SEGMENT, unknown + matroska.element(matroska.SIMPLE, matroska.vint(1 << 40) + b"\0\0\x80abc"))
+    data = spark.createDataFrame([(None, bytearray(late)), (1, bytearray(far)), (1, bytearray(far))], "media_id long, media binary")
+    got = matroska.packet_table(data).collect()
+    assert len(got) == 3 and all(r.error for r in got)
+    stored = matroska.store_texts(odd).collect()
+    assert len(stored) == 6 and len({bytes(r.media) for r in stored}) == 3 and sum(r.doc_id is None for r in stored) == 2
+
+
 def test_packet_table(spark):
     media = spark.createDataFrame([(1, bytearray(matroska.write(b"x" * 5000))), (2, bytearray(b"junk")), (3, None)], "media_id long, media binary")
     got = matroska.packet_table(media).collect()
