@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import html.parser
 import re
+import statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,3 +134,94 @@ def matroska_samples(data):
                 assert sum(sizes) <= stop - body
             found += data[body:stop]
     return found
+
+
+class _Words(html.parser.HTMLParser):
+    """(elements from the root, text, block) of well-formed pages; an element is (tag, number, left out)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.runs, self.block, self.made = [], [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        from spanweave.llm import html_text as H
+
+        self.block += tag in H.BLOCK
+        self.made += 1
+        out = H._is_out(tag, {k: v or "" for k, v in attrs}, any(t in ("article", "main") for t, _, _ in self.open))
+        if tag not in H.VOID:
+            self.open.append((tag, self.made, out))
+
+    def handle_endtag(self, tag):
+        from spanweave.llm import html_text as H
+
+        self.block += tag in H.BLOCK
+        if self.open and self.open[-1][0] == tag:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not any(out for _, _, out in self.open):
+            self.runs.append((list(self.open), data, self.block))
+
+
+def main_text(page, share):
+    """The container rules by whole lists of ancestors, on paths written out."""
+    from spanweave.llm import html_text as H
+
+    parser = _Words()
+    parser.feed(page)
+    parser.close()
+    path = lambda run: "/".join(t for t, _, _ in run[0])
+    said = [r for r in parser.runs if r[1].strip()]
+    link = lambda run: any(t == "a" for t, _, _ in run[0])
+    by_path = collections.defaultdict(list)
+    for r in said:
+        by_path[path(r)].append(r)
+    size = lambda r: len(r[1].strip()) * (0.2 if link(r) else 1)
+    length = {p: sum(map(size, rs)) / len(rs) for p, rs in by_path.items()}
+    points = {p: (sum(len(re.findall(H._PUNCT, r[1])) for r in rs) + 0.1) / len(rs) for p, rs in by_path.items()}
+    line = [path(r) for r in said]
+    near = lambda v, i: (v[line[max(i - 1, 0)]] + 4 * v[line[i]] + v[line[min(i + 1, len(line) - 1)]]) / 6
+    fused = {}
+    for p in by_path:
+        at = [i for i, x in enumerate(line) if x == p]
+        fused[p] = (statistics.fmean(near(length, i) for i in at) * statistics.fmean(near(points, i) for i in at)) ** 0.5
+    chosen = {p for p, f in fused.items() if f >= share * statistics.pstdev(fused.values())}
+    strong = [r for r in said if path(r) in chosen]
+    if not strong:
+        return ""
+    weigh = lambda rs: sum(fused[path(r)] for r in rs)
+    within = lambda r, tag: any(t == tag for t, _, _ in r[0])
+    marked = next((t for t in ("article", "main") if weigh([r for r in strong if within(r, t)]) >= 0.8 * weigh(strong)), None)
+    if marked:
+        kept = [r for r in parser.runs if within(r, marked)]
+    else:
+        common = strong[0][0]
+        for r in strong:
+            common = [e for e, f in zip(common, r[0]) if e == f]
+        while common and common[-1][0] not in H.BLOCK - H.NOT_AROUND:
+            common = common[:-1]
+        depth = len(common)
+        tight = bool(common) and common[-1][0] not in ("html", "body")
+        blocks = [r[2] for r in strong]
+
+        def stays(block):
+            rs = [r for r in said if r[2] == block]
+            rs = [r for r in rs if r[0][:depth] == common] or [r for r in rs if heads(r)]
+            if any(path(r) in chosen or r[0] and r[0][-1][0] in H.HEADINGS for r in rs) or not rs:
+                return True
+            if all(map(link, rs)):
+                return False
+            free = all(tight or not any(t in H.MODULES for t, _, _ in r[0][depth:]) for r in rs)
+            return free or blocks[0] < block < blocks[-1]
+
+        def heads(r):
+            around = r[0][:-1]
+            return bool(r[0]) and r[0][-1][0] in H.HEADINGS and len(around) < depth and around == common[: len(around)] and r[0][-1][1] < common[-1][1]
+
+        held = [r for r in parser.runs if r[0][:depth] == common or heads(r)]
+        kept = [r for r in held if stays(r[2])]
+    out = {}
+    for r in kept:
+        out[r[2]] = out.get(r[2], "") + r[1]
+    return " ".join(x for x in (" ".join(t.split()) for t in out.values()) if x)

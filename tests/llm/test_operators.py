@@ -414,6 +414,55 @@ def test_html_content_beside_the_largest_element_stays():
     assert html_text.main_text(half) == f"{rest} {rest}"
 
 
+SAID = [f"Sentence {i} goes on, and on; it ends here." for i in range(12)]
+BODY = "".join(f"<p>{x}</p>" for x in SAID)
+ALL = " ".join(SAID)
+NAV = "<div><ul>" + "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(8)) + "</ul></div>"
+#: (page, its text)
+PAGES = [
+    (f"<html><body>{NAV}<div><h1>Title</h1>{BODY}</div><div>Terms</div></body></html>", f"Title {ALL}"),
+    (f"<body><h1>Title</h1>{BODY}<ul><li>one</li><li>two</li></ul><div>Imprint</div></body>", f"Title {ALL} one two"),
+    (f"<body>{NAV}<article><h2>Head</h2>{BODY}<figure><figcaption>A caption</figcaption></figure><ul><li><a href=/>A source</a></li></ul></article><div><p>Sign up.</p></div></body>", f"Head {ALL} A caption A source"),
+    (f"<body><main><h1>Title</h1><div>{BODY}</div><section><h2>More</h2><p>{SAID[0]}</p></section></main>{NAV}</body>", f"Title {ALL} More {SAID[0]}"),
+    (f"<body><div><h1>Title</h1><div>{BODY}</div></div>{NAV}</body>", f"Title {ALL}"),
+    (f"<body><div class='post'><blockquote>{BODY}</blockquote><pre>x = 1\n y</pre><p>Last, <em>and</em> least.</p></div>{NAV}<footer><p>Made by us, in here; always.</p></footer></body>", f"{ALL} x = 1 y Last, and least."),
+    (f"<body><div><p>Teaser</p></div><div>{BODY}<p><a href=/x>One whole sentence, linked; it stays.</a></p><table><tr><td>1</td><td>2</td></tr></table></div></body>", None),
+    (f"<body><div>{BODY}</div><div id='comments'>{BODY}</div><div class='cookie-notice'><p>We use them, yes.</p></div></body>", ALL),
+    (f"<body><article>{BODY}<article class='comment'>{BODY}</article></article><article><p>{SAID[3]}</p></article></body>", f"{ALL} {SAID[3]}"),
+    (f"<body><section><div><span>&lt;b&gt; &amp; c,</span> {SAID[0]}</div><div>{SAID[1]}</div></section><nav>{BODY}</nav></body>", f"<b> & c, {SAID[0]} {SAID[1]}"),
+    ("<body><p>Only this.</p></body>", "Only this."),
+]
+
+
+def test_pages_equal_brute_force_and_what_they_say():
+    for page, want in PAGES:
+        for share in (0, 0.2, html_text.SHARE, 2):
+            assert html_text.main_text(page, share) == brute.main_text(page, share), (share, page)
+        assert want is None or html_text.main_text(page) == want
+
+
+def test_fused_weights_of_paths_choose_the_nodes():
+    page = f"<body>{NAV}<div><div>Half a line</div></div><section>{BODY}</section><div><div>All rights</div></div></body>"
+    paths = html_text.content_paths(html_text.parse(page))
+    assert len(paths) == 1 and html_text.main_text(page) == ALL
+    assert html_text.main_text(page, 0).endswith(f"Half a line {ALL} All rights")
+
+
+def test_odd_pages_are_read_in_linear_time(spark, empty):
+    import time
+
+    start = time.time()
+    unmatched = '<p>It goes <a href="x>link</a> on, and on.</p>' * 30_000
+    assert html_text.main_text(unmatched) == " ".join(["It goes link on, and on."] * 30_000)
+    for page in ("<div>a, " * 50_000, "<b><table>" + "<div>" * 50_000 + "x. " + "</b>" * 50_000, "<" * 300_000, '<a b="' * 150_000, "<a " + "b=c " * 200_000, "<!--" * 100_000, "<p title='" * 80_000 + "'"):
+        html_text.main_text(page)
+    assert time.time() - start < 30
+    assert html_text.main_text('<p>One <a href="x>link</a> two, three.</p><p class="a">More &lt; words.') == "One link two, three. More < words."
+    data = spark.createDataFrame([(None, None, "<p>Text, here.</p>", "k", 1, 2)] * 2, "page_id long, url string, html string, text string, n_chars int, path int")
+    assert rows(html_text.extract_pages(data), "page_id", "url", "text") == [(None, None, "Text, here.")] * 2
+    assert html_text.extract_pages(data.where("page_id = 0")).count() == 0
+
+
 # 9
 def test_votes_follow_labels_of_the_training_rows(spark, empty):
     import random
