@@ -4,11 +4,12 @@ A text's fingerprint has the majority bits of its shingles' XXH64.  Equal
 fingerprints are one node.  A fingerprint is embedded as the bit counts of its
 16 four-bit segments; two fingerprints at Hamming distance d are at most d
 apart there in Manhattan distance.  Two points of a grid at most 2 apart have a
-point at most 1 from both, so the range join is an equi-join on the 33 cells at
-most 1 away.  Cells with a few members are verified pair by pair with the exact
-distance.  Members of crowded cells aren't paired: they are joined on the 65
-words at most one bit away, which is exact for two bits by the same argument
-and has at most 65 members a word.
+point at most 1 from both, so the range join is an equi-join on the cells at
+most 1 away.  Members of a cell are verified by the exact distance.  Where a
+cell has many members, the same join takes them again on a finer grid: segments
+of two bits, then of one.  On the finest, the embedding is the fingerprint
+itself and a cell has at most 65 members, which are all at most 2 bits apart,
+so those verified against the first of them join all.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a null id takes part and never names a component unless all its ids are
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,10 @@ from .common import spool, table, text_of
 from .components import components
 
 SEED = 42
-SEGMENT = 4
-#: Cells with more members go by one-bit neighbours instead of pairs.
-CROWD = 12
+#: Bits of a segment on each grid, the coarsest first.
+SEGMENTS = (4, 2, 1)
+#: Cells with more members are taken again on the next grid.
+MEMBERS = 12
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
 
@@ -81,65 +84,56 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _cells(fp: Column) -> Column:
+def _cells(fp: Column, segment: int) -> Column:
     """Numbers of the cells at most 1 from the fingerprint's point; digit k is the count of segment k."""
-    most = SEGMENT
+    if segment == 1:
+        # The point is the word, a step along a digit is another bit.
+        masks = [0, *(1 << k if k < 63 else -(1 << 63) for k in range(64))]
+        return F.array(*(fp.bitwiseXOR(F.lit(m).cast("long")) for m in masks))
     counts = [
-        F.bit_count(F.shiftrightunsigned(fp, k).bitwiseAND(F.lit((1 << SEGMENT) - 1))).cast("long")
-        for k in range(0, 64, SEGMENT)
+        F.bit_count(F.shiftrightunsigned(fp, k).bitwiseAND(F.lit((1 << segment) - 1))).cast("long")
+        for k in range(0, 64, segment)
     ]
-    powers = [(most + 1) ** k for k in range(len(counts))]
-    own = sum((c * p for c, p in zip(counts[1:], powers[1:], strict=True)), counts[0])
-    near = [F.when(c < most, F.lit(p)) for c, p in zip(counts, powers, strict=True)]
+    powers = [(segment + 1) ** k for k in range(len(counts))]
+    own = sum((c * F.lit(p) for c, p in zip(counts[1:], powers[1:], strict=True)), counts[0])
+    near = [F.when(c < segment, F.lit(p)) for c, p in zip(counts, powers, strict=True)]
     near += [F.when(c > 0, F.lit(-p)) for c, p in zip(counts, powers, strict=True)]
     steps = F.array_compact(F.array(F.lit(0).cast("long"), *(x.cast("long") for x in near)))
     return F.transform(F.array(own), lambda at: F.transform(steps, lambda s: at + s))[0]
 
 
-def _one_bit(fp: Column) -> Column:
-    """The word itself and the 64 words one bit away."""
-    masks = [0, *(1 << k if k < 63 else -(1 << 63) for k in range(64))]
-    return F.array(*(fp.bitwiseXOR(F.lit(m).cast("long")) for m in masks))
+def _near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= 2
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Edges (lane, a, b) that join every two fingerprints of a lane at most 2 bits apart, directly or by others so near.
+    """Edges (a, b) that join every two fingerprints at most 2 bits apart, directly or by others so near.
 
-    ``nodes`` has each (lane, fp) once.  Lanes are numbered fingerprints of
-    different kinds, which never meet: each has a range of cell numbers.
+    ``nodes`` has each ``fp`` once.  Two that are near share a cell on every
+    grid, so it is enough to find them on the first where that cell has few
+    members.
     """
-    span = (SEGMENT + 1) ** (64 // SEGMENT)
-    cells = nodes.select("lane", "fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    cells = cells.withColumn("cell", F.col("cell") + F.col("lane") * F.lit(span))
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = spool(cells.join(shared, "cell"), "cells")
-    few = met.where(F.col("members") <= CROWD).groupBy("cell", "lane").agg(F.collect_list("fp").alias("fps"))
-    pairs = few.select(
-        "lane",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "fps",
-                    lambda a: F.transform(
-                        F.filter("fps", lambda b: (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= 2)),
-                        lambda b: F.struct(a.alias("a"), b.alias("b")),
-                    ),
-                )
-            )
-        ).alias("e"),
-    ).select("lane", "e.a", "e.b")
-    crowded = met.where(F.col("members") > CROWD).select("lane", "fp").distinct()
-    words = crowded.select("lane", "fp", F.explode(_one_bit(F.col("fp"))).alias("word"))
-    stars = words.groupBy("lane", "word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    spokes = stars.select("lane", F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return pairs.union(spokes).distinct()
+    found = []
+    for segment in SEGMENTS:
+        cells = nodes.select("fp", F.explode(_cells(F.col("fp"), segment)).alias("cell"))
+        if segment == SEGMENTS[-1]:
+            stars = cells.groupBy("cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+            spokes = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+            found.append(spokes.where((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"))))
+            break
+        shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        met = spool(cells.join(shared, "cell"), f"cells{segment}")
+        few = met.where(F.col("members") <= MEMBERS).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+        pairs = F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & _near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+        found.append(few.select(F.explode(F.flatten(pairs)).alias("e")).select("e.a", "e.b"))
+        nodes = met.where(F.col("members") > MEMBERS).select("fp").distinct()
+    return reduce(DataFrame.union, found).distinct()
 
 
 def _roots(each: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint of ``each``: equal roots are one component."""
     nodes = spool(each.select("fp").distinct(), "nodes")
-    edges = links(nodes.select(F.lit(0).cast("long").alias("lane"), "fp")).select("a", "b")
-    roots = components(edges).withColumnRenamed("node", "fp")
+    roots = components(links(nodes)).withColumnRenamed("node", "fp")
     return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

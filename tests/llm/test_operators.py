@@ -307,11 +307,35 @@ def test_crowded_cells_and_chains_lose_no_link(spark, monkeypatch):
             at = rng.choice([at, at, base])
             for _ in range(rng.randint(1, 3)):
                 at ^= 1 << rng.randrange(64)
+    # A dense ball: its cells are crowded on all grids but the last.
+    words += [words[0] ^ 1 << a ^ 1 << b for a in range(0, 64, 3) for b in range(a, 64, 7)]
     words += [0, (1 << 64) - 1, 3, 1 << 63]
     data = spark.createDataFrame([(i, w - (1 << 64) if w >> 63 else w) for i, w in enumerate(words)], "doc_id long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda d, width=3: d)
     got = dict(rows(simhash.near_duplicates(data), "doc_id", "component_id"))
     assert got == brute.near(dict(enumerate(words)))
+    # Each grid alone, and pairs alone, give the same.
+    for segments, members in (((1,), 12), ((4, 1), 2), ((4, 2, 1), 1 << 30)):
+        monkeypatch.setattr(simhash, "SEGMENTS", segments)
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        assert dict(rows(simhash.near_duplicates(data), "doc_id", "component_id")) == got
+
+
+def test_copies_that_share_a_hub_which_neither_is_near_to(spark):
+    """A text, the same with two neighbouring words swapped, and a shuffled copy of the same words."""
+    import random
+
+    rng = random.Random(6)
+    texts = {}
+    for i in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        at = rng.randrange(118)
+        swapped = [*base[:at], base[at + 1], base[at], *base[at + 2 :]]
+        mixed = rng.sample(base, len(base))
+        texts |= dict(zip(rng.sample((3 * i, 3 * i + 1, 3 * i + 2), 3), (" ".join(x) for x in (base, swapped, mixed))))
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = _first_of_near(texts)
+    assert len(want) == 120 and {r.doc_id for r in simhash.first_of_each(data).collect()} == want
 
 
 # 7
