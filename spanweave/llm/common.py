@@ -14,6 +14,7 @@ from ..functions.arrays import let, running  # noqa: F401
 
 #: White space as every contract here defines it: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

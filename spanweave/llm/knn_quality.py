@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table, text_of
+from .common import free_name, table, text_of
 
 #: Documents compared at once.
 BLOCK = 512
@@ -174,6 +174,12 @@ def score_documents(docs: DataFrame, model: Model | None, into: str = "score") -
     return found.select(*(F.col(f"_row_.`{c}`").alias(c) for c in own), F.col("score").alias(into))
 
 
+def keep_good(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with the columns of ``docs`` and no others."""
+    score = free_name("_score", docs.columns)
+    return score_documents(docs, model, score).where(F.col(score) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def is_held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 

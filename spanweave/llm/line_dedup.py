@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, ascii_lower, spool, table, text_of
+from .common import SPACES, ascii_lower, free_name, spool, table, text_of, unspool
 
 #: Lines a bitmap word covers.
 WORD = 64
@@ -36,8 +36,7 @@ def line_records(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").alias("doc"), _digest().alias("digest"), F.posexplode(F.split(ascii_lower(text_of()), "\n"))
     )
-    key = F.regexp_replace("col", rf"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+\z", "")
-    keyed = lines.select("doc", "digest", "pos", key.alias("key")).where(F.length("key") >= min_chars)
+    keyed = lines.select("doc", "digest", "pos", F.btrim("col", F.lit(SPACES)).alias("key")).where(F.length("key") >= min_chars)
     # The seed of the second hash is the hash of its first argument.
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "digest", "pos")
 
@@ -51,10 +50,13 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = line_records(docs, min_chars).repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY, "pos")
+    # The bounds of the ranges come from a sample of the rows; from a table, that doesn't extract them twice.
+    keys = spool(line_records(docs, min_chars), "keys")
+    ranged = keys.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY, "pos")
     # The range partitioning and the sort meet what the window asks for: no further exchange.
-    streamed = records.withColumn("first", F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")) == 1)
+    streamed = ranged.withColumn("first", F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")) == 1)
     records = spool(streamed, "lines")
+    unspool(keys)
     frequent = (
         records.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     )
@@ -87,11 +89,11 @@ def _unset(bits: Column, i: Column) -> Column:
     return F.getbit(word, (i % WORD).cast("int")) == 0
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Every column of ``docs``, with ``text`` after the loss of frequent lines, and ``_lines``, ``_lost``.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, counts: tuple[str, str] = ("_lines", "_lost")) -> DataFrame:
+    """Every column of ``docs``, with ``text`` after the loss of frequent lines, and ``counts``: the lines it had and those it lost.
 
     ``text`` of a document that loses nothing stays as it is, null included;
-    columns of ``docs`` that are called ``_lines`` or ``_lost`` are replaced.
+    columns of ``docs`` with the names of ``counts`` are replaced.
     """
     marks = drop_bitmaps(docs, min_docs, min_chars)
     # The caller's columns travel as one struct, so no name of theirs can clash.
@@ -101,12 +103,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     both = both.withColumn("kept", kept_lines(F.col("lines"), F.col("words")))
     text = F.when(F.col("words").isNull(), F.col("_row_.text")).otherwise(F.array_join("kept", "\n"))
     return both.select(
-        *((text if c == "text" else F.col(f"_row_.`{c}`")).alias(c) for c in docs.columns if c not in ("_lines", "_lost")),
-        F.size("lines").cast("long").alias("_lines"),
-        (F.size("lines") - F.size("kept")).cast("long").alias("_lost"),
+        *((text if c == "text" else F.col(f"_row_.`{c}`")).alias(c) for c in docs.columns if c not in counts),
+        F.size("lines").cast("long").alias(counts[0]),
+        (F.size("lines") - F.size("kept")).cast("long").alias(counts[1]),
     )
 
 
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """The columns of ``docs`` and no others, with ``text`` after the loss of frequent lines."""
+    counts = free_name("_lines", docs.columns), free_name("_lost", docs.columns)
+    return dedup_lines(docs, min_docs, min_chars, counts).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, min_docs=10, min_chars=1).select(
