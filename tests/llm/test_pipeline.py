@@ -44,3 +44,36 @@ def test_stages_equal_brute_force(spark, tmp_path, monkeypatch):
     assert all(sum(r.length for r in pieces if r.doc_id == d) == next(r.doc_tokens for r in pieces if r.doc_id == d) for d in safe)
     assert P.run(spark, str(tmp_path)).count() == len(pieces)
     assert knn_quality.Fit().sample > 0 and P.ORACLE_SQL is None
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _score string, _lines string, _lost string, secrets string, node string, number string"
+
+
+def test_odd_rows_and_clashing_columns_pass_through(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    long = "\n".join(prose(40) for _ in range(2500))
+    texts = [(1, None), (2, ""), (None, prose(60)), (4, long), (5, prose(50) + " token = abcdef0123"), (5, prose(50)), (7, prose(30)), (7, "four words are short"), (8, "Four words are short")]
+    texts[6] = texts[7] = (7, prose(30))
+    rows = [(i, t, "en", "s", 7, "a", "b", "c", "d", "e", "f") for i, t in texts]
+    spark.createDataFrame(rows, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.dtypes == spark.createDataFrame([], ODD).dtypes
+        got = docs.collect()
+        assert {r[5:] for r in got} == {("a", "b", "c", "d", "e", "f")}
+        if name == "quality_classifier":
+            assert len(got) == len(rows)
+    by_id = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got)
+    # Null and empty texts are copies, as are the repeated rows.
+    assert [x[1] for x in by_id if not x[0]] == [1, 4, 5, 5, 7, 8] and sum(x[0] for x in by_id) == 1
+    assert any("<assign>" in x[2] for x in by_id) and next(r.n_chars for r in got if r.doc_id == 4) == len(long)
+    pieces = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.start == 0 for r in pieces) == len(got)
+    none = docs.where("doc_id = -1")
+    for _, stage in P.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
