@@ -89,7 +89,7 @@ class ByteBpe:
         pieces = self.model.id_to_piece(list(range(len(tokens))))
         self.bytes_of = [bytes(back[c] for c in p) for p in pieces]
         self.names = [str(i) for i in range(len(tokens))]
-        self.encode = UnitEncoder(self._one, self._many)
+        self.encode = UnitEncoder(self._one, self._many, self._pieces)
 
     def _pieces(self, pre_tokens: list[str]) -> list[bytes]:
         to_chars = self.to_chars
@@ -125,8 +125,9 @@ def _loaded(path: str, pattern: str) -> ByteBpe:
 def _rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[int, bytes, ByteBpe]]:
     bpe = _loaded(path, pattern)
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield doc, bpe.encode(text.as_py()), bpe
+        texts = (text.as_py() for text in batch.column(1))
+        for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode.each(texts), strict=True):
+            yield doc, ids, bpe
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, as_text: bool = False) -> DataFrame:

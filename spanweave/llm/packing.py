@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -105,8 +106,8 @@ def pack(documents: Iterator[tuple[int, bytes]], window: int) -> Iterator[list[t
 
 
 @lru_cache(maxsize=2)
-def _json_encoder(path: str) -> Callable[[str], bytes]:
-    """Ids of a text as the library gives them without adding any: strings of the file's added tokens become those tokens.
+def _json_encoder(path: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
+    """Ids of each text as the library gives them without adding any: strings of the file's added tokens become those tokens.
 
     The library cuts a text at these strings before anything else, so what
     stands between is encoded unit by unit, each part as a text of its own.
@@ -118,6 +119,9 @@ def _json_encoder(path: str) -> Callable[[str], bytes]:
     added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokenizer.get_added_tokens_decoder().values()):
         raise ValueError("added tokens that look at their surroundings aren't supported")
+    # Units are kept here already; the library's own cache of words only costs time.
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)
     words = tokenizer.get_vocab()
     begins = np.zeros(max(words.values()) + 1, dtype=bool)
     # The vocabulary writes a space as this letter.
@@ -133,16 +137,35 @@ def _json_encoder(path: str) -> Callable[[str], bytes]:
         blob = found.tobytes()
         return [blob[a:b] for a, b in zip(at, [*at[1:], len(blob)], strict=True)]
 
-    plain = UnitEncoder(lambda text: ids(text).tobytes(), many)
+    line_end = ids("\n")[0]
+
+    def lines(texts: list[str]) -> list[bytes]:
+        """Words as the lines of one text; a line end before a letter is a token of its own."""
+        found = ids("\n".join(texts))
+        ends = [*np.flatnonzero(found == line_end).tolist(), len(found)]
+        return [found[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+
+    plain = UnitEncoder(lambda text: ids(text).tobytes(), many, lines)
     marks = {x: i.to_bytes(4, "little") for x, i in added.items()}
     cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")") if marks else None
 
-    def encode(text: str) -> bytes:
-        if cut is None or not any(map(text.__contains__, marks)):
-            return plain(text)
-        return b"".join(marks[p] if k % 2 else plain(p) for k, p in enumerate(cut.split(text)))
+    def each(texts: Iterable[str]) -> Iterator[bytes]:
+        """Parts of one text go through ``plain`` like texts of their own and are joined again."""
+        plan: deque[list[str]] = deque()
+
+        def parts() -> Iterator[str]:
+            for text in texts:
+                whole = cut is None or not any(map(text.__contains__, marks))
+                plan.append([text] if whole else cut.split(text))
+                yield from plan[-1][::2]
+
+        found = plain.each(parts())
+        for first in found:
+            # The first part is at hand, so its text is in the plan.
+            split = plan.popleft()
+            yield first if len(split) == 1 else b"".join([first, *(marks[x] if k % 2 else next(found) for k, x in enumerate(split[1:], 1))])
 
-    return encode
+    return each
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0) -> DataFrame:
@@ -161,8 +184,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id:
 
         def documents() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    yield doc, encode(text.as_py()) + end
+                texts = (text.as_py() for text in batch.column(1))
+                for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                    yield doc, ids + end
 
         rows: list[tuple] = []
         held = 0

@@ -4,61 +4,117 @@ Byte-level BPE never merges across a pre-token, and a pre-token never crosses
 from a visible character into a space, nor holds a space that a visible
 character follows except as its first character.  So a text may be cut before
 every space that has a visible character on at least one side, and the ids of
-the units, joined, are the ids of the text.
+the units, joined, are the ids of the text.  Within a unit, letters, marks and
+a line end before a letter are pre-tokens of their own, so units of that shape
+are put together from the ids of words.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 #: A space with white space on both sides: cutting there isn't safe.
 _INNER = re.compile(r"\s\x20\s")
 _SAFE = re.compile(r"\x20(?=\S)")
-#: Each white-space character behind a space; finding none of them is much cheaper than the pattern above.
-_BEHIND = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+#: A word with marks behind it, and perhaps a line end and the word that begins the next line.
+_SHAPE = re.compile(rf"({_LETTERS})([.,;:!?#*$%&|]*)(?:\n({_LETTERS}))?")
+#: Characters of texts that are looked up together.
+GROUP = 200_000
 
 
 class UnitEncoder:
-    """Ids of a text, little-endian unsigned 32-bit.
+    """Ids of texts, little-endian unsigned 32-bit.
 
     ``one`` encodes any text; ``many`` encodes units that each are a space, a
     visible character and whatever follows up to the next space, a value for
-    each.  The cache is emptied when it holds ``most`` units, and units longer
-    than ``longest`` characters aren't kept, so its memory is bounded on any
-    input.
+    each; ``words`` encodes words of letters with nothing before them.  Texts go
+    in groups, so units that several of them lack are encoded once and together.  A cache is emptied when it holds ``most`` values, and
+    units longer than ``longest`` characters aren't kept, so memory is bounded
+    on any input but for the group at hand.
     """
 
     def __init__(
         self,
         one: Callable[[str], bytes],
         many: Callable[[list[str]], list[bytes]],
+        words: Callable[[list[str]], list[bytes]],
         most: int = 1_000_000,
         longest: int = 40,
     ) -> None:
-        self.one, self.many, self.most, self.longest = one, many, most, longest
+        self.one, self.many, self.words, self.most, self.longest = one, many, words, most, longest
         self.after_space: dict[str, bytes] = {}
+        #: Values of pieces with nothing before them: first words of lines, marks, what texts begin with.
+        self.bare: dict[str, bytes] = {}
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Values of ``missing``; the short ones are also kept."""
-        plain = [p for p in missing if p and not p[0].isspace() and " " not in p]
-        found = dict(zip(plain, self.many([f" {p}" for p in plain]), strict=True)) if plain else {}
-        for p in missing.difference(plain):
-            found[p] = self.one(f" {p}")
-        self.after_space.update((p, v) for p, v in found.items() if len(p) <= self.longest)
+    def _learn(self, missing: set[str], odd: set[str]) -> list[str]:
+        """Makes ``missing`` known; what is returned must be forgotten after use: long units and those of ``odd``."""
+        known, bare = self.after_space, self.bare
+        plain, shaped = [], []
+        for p in missing.difference(odd):
+            if p.isalpha():
+                plain.append(p)
+            elif (m := _SHAPE.fullmatch(p)) and len(p) <= self.longest:
+                shaped.append((p, *m.groups()))
+            elif " " not in p:
+                plain.append(p)
+        whole = missing.difference(plain).difference([x[0] for x in shaped])
+        if shaped:
+            plain += {x[1] for x in shaped}.difference(known).difference(plain)
+            lines = list({x[3] for x in shaped if x[3]}.difference(bare))
+            if lines:
+                bare.update(zip(lines, self.words(lines), strict=True))
+        if plain:
+            known.update(zip(plain, self.many([f" {p}" for p in plain]), strict=True))
+        for p, word, marks, line in shaped:
+            known[p] = known[word] + self._bare(marks) + (self._bare("\n") + bare[line] if line else b"")
+        for p in whole:
+            known[p] = self.one(f" {p}")
+        return [*odd, *(p for p in missing if len(p) > self.longest and p not in odd)]
+
+    def _bare(self, piece: str) -> bytes:
+        if len(piece) > self.longest:
+            return self.one(piece)
+        found = self.bare.get(piece)
+        if found is None:
+            found = self.bare[piece] = self.one(piece) if piece else b""
         return found
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        odd = any(map(text.__contains__, _BEHIND)) and _INNER.search(text)
-        head, *rest = _SAFE.split(text) if odd else text.split(" ")
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [t.split(" ") for t in texts]
+        heads = [c.pop(0) for c in cut]
         known = self.after_space
-        if len(known) > self.most:
-            known.clear()
-        missing = set(rest).difference(known)
-        found = self._learn(missing) if missing else {}
-        first = self.one(head) if head else b""
-        if any(len(p) > self.longest for p in missing):
-            return first + b"".join([known[p] if p in known else found[p] for p in rest])
-        return first + b"".join(map(known.__getitem__, rest))
+        for cache in (known, self.bare):
+            if len(cache) > self.most:
+                cache.clear()
+        missing = set().union(*cut).difference(known)
+        # These aren't kept, so they show up here whenever a text may have a space that isn't safe to cut at.
+        odd = {p for p in missing if not p or p[0].isspace()}
+        if odd:
+            for i, pieces in enumerate(cut):
+                if not odd.isdisjoint(pieces) and _INNER.search(texts[i]):
+                    heads[i], *cut[i] = _SAFE.split(texts[i])
+            missing = set().union(*cut).difference(known)
+            odd &= missing
+        brief = self._learn(missing, odd) if missing else ()
+        value = known.__getitem__
+        found = [self._bare(head) + b"".join(map(value, pieces)) for head, pieces in zip(heads, cut, strict=True)]
+        for p in brief:
+            del known[p]
+        yield from found
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        if group:
+            yield from self._group(group)
+
+    def __call__(self, text: str) -> bytes:
+        return next(self._group([text]))

@@ -74,6 +74,32 @@ def test_packing_has_the_ids_of_the_library_around_special_tokens(spark, odd):
     assert sum(r.start == 0 for r in packing.pack_documents(odd, path).collect()) == 6
 
 
+def test_unit_encoders_equal_the_libraries_on_mixed_texts(monkeypatch):
+    import base64
+    import random
+
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from spanweave.llm import units
+
+    rng = random.Random(12)
+    parts = ["word", "Été", "ß", "don't", "I'll", "x1", "42", ".", ",", "?!", "###", " ", "  ", "\n", "\n\n", "\t", "\r\n", " \n ", "\u00a0", "\u3000", "\u0301", "日本", "Ω", "'s", "_", "&", "a" * 50, "é\nÀb", "😀", "ʼ", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    as_bytes = lambda ids: b"".join(x.to_bytes(4, "little") for x in ids)
+    monkeypatch.setattr(units, "GROUP", 300)
+    packed = list(packing._json_encoder.__wrapped__(P.path("byte_bpe_50k.json"))(texts))
+    bpe = byte_bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    bpe.encode.most = 200
+    for t, a, b in zip(texts, packed, bpe.encode.each(texts), strict=True):
+        assert a == as_bytes(model.encode(t, add_special_tokens=False).ids), t
+        assert b == as_bytes(own.encode_ordinary(t)), t
+
+
 def test_packing_ties_go_to_the_fullest_level():
     levels = packing.LevelArray(10)
     for n, size in enumerate((3, 5)):
