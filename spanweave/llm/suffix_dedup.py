@@ -7,15 +7,20 @@ Suffixes are dealt into buckets by the leftmost smallest hash among the
 ``K``-byte substrings of their first ``length`` bytes (their anchor), so equal
 strings meet, neighbours share a bucket as one piece of text, and a bucket whose
 anchor occurs once holds no repeat and is never built.  Within a task, buckets
-are sorted a block at a time.  Pieces are laid out with their anchors on
-multiples of the cover's period, so equal strings have equal residues and
-differ-cover offsets coincide: the first and last ``PERIOD`` bytes are compared
-as they are, and long ties in between are settled by the ranks of cover-sample
-positions, computed once for the block.  Memory is bounded by the block.
+are sorted one after the other, a block of them at a time: by their first bytes,
+then by the ranks of a difference-cover sample, which is sorted once for the
+block and settles ties of any length, as two positions always have sample
+positions at one small distance behind both.
 
 Equal pieces, which make up long repeats and groups of copies, collapse to
 their first occurrence within each task before any exchange, and again in
-their bucket.
+their bucket; only first ones are dealt by bucket.
+
+Memory is bounded by ``Bounds``.  A bucket with more pieces than that isn't
+built: its pieces are cut into quarters by the place of the anchor in the string,
+each quarter is dealt again by all the bytes that its strings share (more and
+more of them, at last the whole string), and so on.  Anchors known to be very
+common start with quarters.
 
 Defined results: a null or empty text has no bytes; a document is a pair of id
 and text, so identical repeated rows are one document and get one result; a
@@ -27,22 +32,36 @@ hash of the text; an empty table gives an empty result; only ``doc_id`` and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spool, table, text_of
+from .common import spool, table, text_of, unspool
 
 K = 24
-PERIOD = 16
+#: A period and residues whose differences are all residues.
+PERIOD = 13
+COVER = (0, 1, 3, 9)
 #: Bytes of a text hashed at once; positions within fit the low bits of a key.
 CHUNK = 1 << 20
-#: Bytes of pieces that one block sorts, and that a task holds back before the exchange.
-BLOCK = 4_000_000
-HELD = 48_000_000
+
+
+@dataclass(frozen=True)
+class Bounds:
+    #: Different pieces of a bucket that are sorted together.
+    bucket: int = 4096
+    #: Occurrences of an anchor beyond which its pieces are cut at once.
+    common: int = 50_000
+    #: Bytes of pieces that one block sorts, one bucket more at most.
+    block: int = 2_000_000
+    #: Bytes of pieces that a task holds back before an exchange.
+    held: int = 48_000_000
+
+
 NULL_ID = -(1 << 63)
 
 
@@ -93,53 +112,120 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def repeated_starts(pieces: list[tuple[bytes, int, tuple]], length: int) -> list[np.ndarray]:
+def _behind() -> np.ndarray:
+    """For two residues, how far behind both there are sample positions."""
+    steps = np.zeros((PERIOD, PERIOD), dtype=np.int64)
+    for r in range(PERIOD):
+        for c in range(PERIOD):
+            steps[r, c] = next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (c + d) % PERIOD in COVER)
+    return steps
+
+
+BEHIND = _behind()
+
+
+def _by(keys: list[np.ndarray]) -> np.ndarray:
+    """The order by the first key, then the next ones."""
+    return np.lexsort(keys[::-1])
+
+
+def _new(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """In that order, which elements differ from the one before."""
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return new
+
+
+def _merged(rank: np.ndarray, where: np.ndarray, group: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The order of suffixes of several residues with equal first bytes in each ``group``, by ranks at a distance that suits both of a pair.
+
+    Each residue is sorted by itself; a suffix's place is the number of those
+    before it in its own residue and, by search, in all others.
+    """
+    code = lambda at, step: group[at] << 42 | rank[where[at] + step] << 21 | tail[at]
+    residue = where % PERIOD
+    classes = {}
+    for r in np.unique(residue).tolist():
+        at = np.flatnonzero(residue == r)
+        classes[r] = at[np.argsort(code(at, BEHIND[r, r]), kind="stable")]
+    place = np.empty(len(where), dtype=np.int64)
+    for r, at in classes.items():
+        place[at] = np.arange(len(at))
+        for c, others in classes.items():
+            if c != r:
+                place[at] += np.searchsorted(code(others, BEHIND[r, c]), code(at, BEHIND[r, c]))
+    return np.argsort(place, kind="stable")
+
+
+def suffix_order(text: np.ndarray, where: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the suffixes at ``where`` sorted by bucket and first ``length`` bytes; ``new`` tells which differ from the one before.
+
+    Equal strings of a bucket must have equal residues; ``text`` ends in 64
+    bytes that no string touches.
+    """
+    word = np.ndarray((len(text) - 7,), dtype=">u8", buffer=text, strides=(1,))
+    read = lambda at: word[at].astype(np.uint64)
+    # The sample: what lies less than a period behind some string's start, by all bytes that are left there.
+    near = np.zeros(len(text) + 1, dtype=np.int32)
+    np.add.at(near, where, 1)
+    np.add.at(near, where + PERIOD, -1)
+    sample = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    sample = sample[np.isin(sample % PERIOD, COVER)]
+    depth = length - PERIOD + 1
+    keys = [read(sample + o) for o in sorted({*range(0, depth - 7, 8), depth - 8})]
+    order = _by(keys)
+    rank = np.zeros(len(text), dtype=np.int64)
+    rank[sample[order]] = np.cumsum(_new(keys, order))
+    # First bytes, sample rank by residue, last bytes: 16 each cover what the sample leaves out.
+    own = rank[where + np.diag(BEHIND)[where % PERIOD]]
+    first, last = [bucket, read(where), read(where + 8)], [read(where + length - 16), read(where + length - 8)]
+    whole = [*first, own | (where % PERIOD) << 32, *last]
+    order = _by(whole)
+    # Ties of several residues are rare, as those of one bucket are aligned; they are merged.
+    starts = np.flatnonzero(_new(first, order))
+    residue = (where % PERIOD)[order]
+    mixed = np.minimum.reduceat(residue, starts) != np.maximum.reduceat(residue, starts)
+    if mixed.any():
+        sizes = np.diff(np.append(starts, len(order)))
+        at = np.flatnonzero(np.repeat(mixed, sizes))
+        some = order[at]
+        by_tail = _by([x[some] for x in last])
+        tail = np.empty(len(some), dtype=np.int64)
+        tail[by_tail] = np.cumsum(_new([x[some] for x in last], by_tail))
+        group = np.repeat(np.cumsum(mixed) - 1, sizes)[at]
+        order[at] = some[_merged(rank, where[some], group, tail)]
+    return order, _new(whole, order)
+
+
+def repeated_starts(pieces: list[tuple[bytes, int, tuple, int]], length: int) -> list[np.ndarray]:
     """For each piece, which of its strings also start in an earlier piece.
 
-    A piece is (bytes, offset of its anchor, order); it has len - length + 1
-    strings.  The array tells for each whether an equal string with an equal
-    place relative to the anchor stands in a piece of smaller order.
+    A piece is (bytes, offset of its anchor, order, bucket); it has len - length
+    + 1 strings.  The array tells for each whether an equal string stands in a
+    piece of smaller order; such pieces share the bucket and the string's place
+    relative to the anchor.  Anchors lie on multiples of the period.
     """
-    room = [-(-(a + len(b) - a + 2 * PERIOD) // PERIOD) * PERIOD for b, a, _ in pieces]
-    starts, at = [], 0
-    for (b, a, _), r in zip(pieces, room, strict=True):
-        starts.append(at + -a % PERIOD)
-        at += r
-    text = np.zeros(at + length + 64, dtype=np.uint8)
-    for s, (b, _, _) in zip(starts, pieces, strict=True):
+    pads = [-a % PERIOD for _, a, _, _ in pieces]
+    room = [-(-(p + len(b)) // PERIOD) * PERIOD for p, (b, _, _, _) in zip(pads, pieces, strict=True)]
+    begin = np.cumsum([0, *room[:-1]]) + pads
+    text = np.zeros(sum(room) + 64, dtype=np.uint8)
+    for s, (b, _, _, _) in zip(begin.tolist(), pieces, strict=True):
         text[s : s + len(b)] = np.frombuffer(b, dtype=np.uint8)
-    word = np.ndarray((len(text) - 7,), dtype=">u8", buffer=text, strides=(1,))
-    counts = np.array([len(b) - length + 1 for b, _, _ in pieces])
-    begin = np.array(starts)
+    counts = np.array([len(b) - length + 1 for b, _, _, _ in pieces])
     of = np.repeat(np.arange(len(pieces)), counts)
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    where = begin[of] + within
-    # Ranks of the cover sample: positions on multiples of the period that some string needs.
-    depth = length - PERIOD + 1
-    sampled = -(-where // PERIOD) * PERIOD
-    sample = np.unique(sampled)
-    offsets = [*range(0, depth - 8, 8), depth - 8]
-    keys = np.stack([word[sample + o] for o in offsets])
-    order = np.lexsort(keys)
-    new = np.ones(len(sample), dtype=np.int64)
-    new[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
-    rank = np.empty(len(sample), dtype=np.int64)
-    rank[order] = np.cumsum(new)
-    tie = rank[np.searchsorted(sample, sampled)]
-    # Strings by residue, head, tail and rank; then by the order of their pieces.
+    where = begin[of] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    order, new = suffix_order(text, where, np.array([p[3] for p in pieces])[of], length)
     turn = np.empty(len(pieces), dtype=np.int64)
     turn[sorted(range(len(pieces)), key=lambda i: pieces[i][2])] = np.arange(len(pieces))
-    half = range(0, PERIOD, 8)
-    fixed = [where % PERIOD, tie, *(word[where + o] for o in half), *(word[where + length - PERIOD + o] for o in half)]
-    fixed = [np.asarray(f).astype(np.uint64) for f in fixed]
-    order = np.lexsort([turn[of], *fixed[::-1]])
-    same = np.ones(len(order) - 1, dtype=bool)
-    for f in fixed:
-        s = f[order]
-        same &= s[1:] == s[:-1]
+    starts = np.flatnonzero(new)
+    turns = turn[of[order]]
+    # Equal strings of one piece would have different places, so each turn is there once.
+    least = np.repeat(np.minimum.reduceat(turns, starts), np.diff(np.append(starts, len(order))))
     later = np.zeros(len(order), dtype=bool)
-    # Only what stands behind an equal string of another piece; in one piece equal strings differ in their place.
-    later[order[1:]] = same
+    later[order] = turns != least
     return np.split(later, np.cumsum(counts)[:-1])
 
 
@@ -154,10 +240,13 @@ def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
     )
 
 
-DOC = [("doc", pa.int64()), ("digest", pa.int64())]
-PIECE = [("anchor", pa.int64()), *DOC, ("pos", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("bytes", pa.binary())]
-PIECE_SCHEMA = "anchor long, doc long, digest long, pos long, start long, stop long, bytes binary"
-GONE = [*DOC, ("start", pa.int64()), ("stop", pa.int64())]
+#: A piece has the strings that start from ``start`` to ``stop``, those whose anchor at ``pos`` is ``low`` to ``high`` (exclusive) bytes behind
+#: their start; without bytes, all of them also start earlier.
+PIECE = [
+    ("key", pa.int64()), ("doc", pa.int64()), ("digest", pa.int64()), ("pos", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
+    ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary()),
+]
+PIECE_SCHEMA = "key long, doc long, digest long, pos long, start long, stop long, low int, high int, bytes binary"
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -166,133 +255,191 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _all_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, doc, digest, pos) of every run."""
+def _anchor_runs(texts: DataFrame, length: int) -> DataFrame:
+    """(anchor, doc, digest, pos, lead, size) of every run: its ``size`` starts begin ``lead`` bytes before the anchor."""
+    names = ["anchor", "doc", "digest", "pos", "lead", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
-            for text in batch.column(2):
-                h, pos, _, _ = anchors(text.as_py().encode(), length)
-                found.append((h, pos))
-                sizes.append(len(h))
-            n = np.array(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([f[0] for f in found])),
-                    pa.array(np.repeat(batch.column(0).to_numpy(), n)),
-                    pa.array(np.repeat(batch.column(1).to_numpy(), n)),
-                    pa.array(np.concatenate([f[1] for f in found]).astype(np.int32)),
-                ],
-                names=["anchor", "doc", "digest", "pos"],
-            )
-
-    return docs.mapInArrow(run, "anchor long, doc long, digest long, pos int")
-
-
-def _pieces(marked: DataFrame, length: int) -> DataFrame:
-    """Pieces around the marked anchors; a repeat within the task has no bytes: all its strings start earlier."""
+            if not batch.num_rows:
+                continue
+            found = [anchors(text.as_py().encode(), length) for text in batch.column(2)]
+            n = np.array([len(f[0]) for f in found])
+            h, pos, begin, end = (np.concatenate([f[k] for f in found]) for k in range(4))
+            ids = [np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1)]
+            columns = [h, *ids, pos.astype(np.int32), (pos - begin).astype(np.int32), (end - begin).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return texts.mapInArrow(run, "anchor long, doc long, digest long, pos int, lead int, size int")
+
+
+class Collapse:
+    """Pieces on their way to an exchange: of equal ones the first is kept, the others lose their bytes."""
+
+    def __init__(self, held: int) -> None:
+        self.most, self.size = held, 0
+        self.first: dict[tuple, tuple] = {}
+        self.out: list[tuple] = []
+
+    def add(self, piece: tuple) -> None:
+        key, doc, digest, pos, start, stop, _, _, blob = piece
+        name = (key, pos - start, blob)
+        was = self.first.get(name)
+        if was is None:
+            self.first[name] = piece
+            self.size += len(blob) + 300
+            if self.size > self.most:
+                self.out += self.first.values()
+                self.first, self.size = {}, 0
+        elif was[1:4] != piece[1:4]:
+            low, high = (piece, was) if piece[1:4] < was[1:4] else (was, piece)
+            self.first[name] = low
+            self.out.append((*high[:8], None))
+
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if last:
+            self.out += self.first.values()
+            self.first, self.size = {}, 0
+        while len(self.out) >= (1 if last else 20_000):
+            yield _batch(self.out[:20_000], PIECE)
+            self.out = self.out[20_000:]
+
+
+def quarters(piece: tuple, length: int) -> Iterator[tuple]:
+    """The piece cut by the place of the anchor; each part's key comes from all bytes that its strings share."""
+    import xxhash
+
+    key, doc, digest, pos, start, stop, low, high, blob = piece
+    step = -(-(high - low) // 4)
+    for a in range(low, high, step):
+        b = min(high, a + step)
+        s, e = max(start, pos - b + 1), min(stop, pos - a + 1)
+        if s < e:
+            shared = blob[pos - a - start : pos - b + 1 + length - start]
+            own = xxhash.xxh3_64_intdigest(shared, a << 8 | b) ^ key & (1 << 64) - 1
+            yield own - (own >> 63 << 64), doc, digest, pos, s, e, a, b, blob[s - start : e + length - 1 - start]
+
+
+def _pieces(marked: DataFrame, length: int, bounds: Bounds) -> DataFrame:
+    """Pieces around the marked anchors of (doc, digest, text, marks)."""
+    width = length - K + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple, tuple] = {}
-        out: list[tuple] = []
-        size = held = 0
-
-        def kept() -> Iterator[tuple]:
-            for (anchor, _, blob), (doc, digest, pos, start, stop) in first.items():
-                yield anchor, doc, digest, pos, start, stop, blob
-
+        found = Collapse(bounds.held)
         for batch in batches:
-            for doc, digest, text, marks in zip(*(batch.column(i) for i in range(4)), strict=True):
+            marks = batch.column(3)
+            ends = marks.offsets.to_numpy()
+            fields = [marks.values.field(k).to_pylist() for k in range(5)]
+            docs, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, text in enumerate(batch.column(2)):
                 raw = text.as_py().encode()
-                doc, digest = doc.as_py(), digest.as_py()
-                h, pos, begin, end = anchors(raw, length)
-                chosen = np.isin(pos, np.array(marks.as_py(), dtype=np.int64))
-                for a, p, s, e in zip(h[chosen].tolist(), pos[chosen].tolist(), begin[chosen].tolist(), end[chosen].tolist(), strict=True):
-                    key, own = (a, p - s, raw[s : e + length - 1]), (doc, digest, p, s, e)
-                    was = first.get(key)
-                    if was is None:
-                        first[key] = own
-                        held += len(key[2]) + 250
-                    elif own != was:
-                        low, high = (own, was) if own < was else (was, own)
-                        first[key] = low
-                        out.append((a, *high, None))
-                if held > HELD:
-                    out += kept()
-                    first, held = {}, 0
-                while len(out) >= 20_000:
-                    yield _batch(out[:20_000], PIECE)
-                    out = out[20_000:]
-        out += kept()
-        for at in range(0, len(out), 20_000):
-            yield _batch(out[at : at + 20_000], PIECE)
+                for k in range(ends[i], ends[i + 1]):
+                    anchor, pos, lead, size, common = (f[k] for f in fields)
+                    start = pos - lead
+                    piece = (anchor, docs[i], digests[i], pos, start, start + size, 0, width, raw[start : start + size + length - 1])
+                    if common:
+                        for part in quarters(piece, length):
+                            found.add(part)
+                    else:
+                        found.add(piece)
+                yield from found.batches()
+        yield from found.batches(last=True)
 
     return marked.select("doc", "digest", "text", "marks").mapInArrow(run, PIECE_SCHEMA)
 
 
-def _gone(dealt: DataFrame, length: int) -> DataFrame:
-    """Byte ranges that go, from pieces dealt and sorted by anchor."""
+def _settled(dealt: DataFrame, length: int, bounds: Bounds) -> DataFrame:
+    """From pieces dealt and sorted by key: those that go, without bytes, and the parts of buckets that are too large, with bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        block: list[tuple] = []
+        later = Collapse(bounds.held)
+        block: list[tuple[int, list[tuple]]] = []
         size = 0
         out: list[tuple] = []
 
         def settle() -> None:
             nonlocal block, size
-            if block:
-                pieces = [(b, pos - start, (doc, digest, pos)) for _, doc, digest, pos, start, stop, b in block]
-                for (_, doc, digest, _, start, _, _), flags in zip(block, repeated_starts(pieces, length), strict=True):
-                    out.extend((doc, digest, start + a, start + b - 1 + length) for a, b in _runs(flags))
+            pieces = [(p[8], p[3] - p[4], p[1:4], n) for n, (_, bucket) in enumerate(block) for p in bucket]
+            rows = [p for _, bucket in block for p in bucket]
+            for p, flags in zip(rows, repeated_starts(pieces, length) if pieces else (), strict=True):
+                out.extend((*p[:4], p[4] + a, p[4] + b, *p[6:8], None) for a, b in _runs(flags))
             block, size = [], 0
 
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            first: dict[tuple, tuple] = {}
-            for r in group:
-                anchor, doc, digest, pos, start, stop, blob = r
-                if blob is None:
-                    out.append((doc, digest, start, stop - 1 + length))
+        key, first, large = None, {}, False
+
+        def close() -> None:
+            nonlocal size
+            if len(first) > 1:
+                block.append((key, list(first.values())))
+                size += sum(len(p[8]) for p in first.values())
+
+        for batch in batches:
+            for p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p[8] is None:
+                    out.append(p)
                     continue
-                key = (pos - start, blob)
-                was = first.get(key)
+                if p[0] != key:
+                    close()
+                    key, first, large = p[0], {}, False
+                    if size >= bounds.block:
+                        settle()
+                if large:
+                    for part in quarters(p, length):
+                        later.add(part)
+                    continue
+                name = (p[3] - p[4], p[8])
+                was = first.get(name)
                 if was is None:
-                    first[key] = r
-                elif was[1:4] != r[1:4]:
-                    low, high = (r, was) if r[1:4] < was[1:4] else (was, r)
-                    first[key] = low
-                    out.append((high[1], high[2], high[4], high[5] - 1 + length))
-            if len(first) > 1:
-                block += first.values()
-                size += sum(len(k[1]) for k in first)
-            if size >= BLOCK:
-                settle()
-            if len(out) >= 50_000:
-                yield _batch(out, GONE)
-                out = []
+                    first[name] = p
+                    # Strings of one place only are equal, however many there are.
+                    if len(first) > bounds.bucket and p[7] - p[6] > 1:
+                        for q in first.values():
+                            for part in quarters(q, length):
+                                later.add(part)
+                        first, large = {}, True
+                elif was[1:4] != p[1:4]:
+                    low, high = (p, was) if p[1:4] < was[1:4] else (was, p)
+                    first[name] = low
+                    out.append((*high[:8], None))
+            yield from later.batches()
+            while len(out) >= 20_000:
+                yield _batch(out[:20_000], PIECE)
+                out = out[20_000:]
+        close()
         settle()
-        if out:
-            yield _batch(out, GONE)
+        for at in range(0, len(out), 20_000):
+            yield _batch(out[at : at + 20_000], PIECE)
+        yield from later.batches(last=True)
 
-    return dealt.mapInArrow(run, "doc long, digest long, start long, stop long")
+    return dealt.mapInArrow(run, PIECE_SCHEMA)
 
 
-def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 100, bounds: Bounds = Bounds()) -> DataFrame:
     """(doc, digest, ranges): byte ranges to remove, possibly overlapping, of each document that has some."""
+    if length < K + 16:
+        raise ValueError(f"strings have {K + 16} bytes at least")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = _documents(docs)
-    found = _all_anchors(texts, length)
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    marks = found.join(twice, "anchor").groupBy("doc", "digest").agg(F.collect_set("pos").alias("marks"))
-    marks = spool(marks, "marks")
-    marked = texts.join(marks, ["doc", "digest"])
-    dealt = _pieces(marked, length).repartition(parts, "anchor").sortWithinPartitions("anchor")
-    gone = _gone(dealt, length).groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return spool(gone, "ranges")
+    runs = spool(_anchor_runs(texts, length), "runs")
+    # A table of its own, so that the join below has plain exchanges and a common anchor can be split there.
+    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = spool(twice.select("anchor", (F.col("n") > bounds.common).alias("common")), "twice")
+    mark = F.struct("anchor", "pos", "lead", "size", "common")
+    marks = spool(runs.join(twice, "anchor").groupBy("doc", "digest").agg(F.collect_list(mark).alias("marks")), "marks")
+    unspool(runs)
+    unspool(twice)
+    pieces = _pieces(texts.join(marks, ["doc", "digest"]), length, bounds)
+    gone = []
+    while True:
+        # What goes anyway isn't dealt by bucket.
+        to = F.when(F.col("bytes").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("key"))
+        settled = spool(_settled(pieces.repartition(parts, to).sortWithinPartitions("key"), length, bounds), f"settled{len(gone)}")
+        gone.append(settled.where("bytes IS NULL"))
+        pieces = settled.where("bytes IS NOT NULL")
+        if pieces.isEmpty():
+            break
+    spans = reduce(DataFrame.union, gone).select("doc", "digest", "start", (F.col("stop") - 1 + length).alias("stop"))
+    return spool(spans.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -308,9 +455,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, bounds: Bounds = Bounds()) -> DataFrame:
     """For every row: doc_id, n_bytes, spans (maximal removed byte runs) and kept (the other bytes)."""
-    ranges = repeated_ranges(docs, length).select(F.col("doc").alias("d"), F.col("digest").alias("g"), "ranges")
+    ranges = repeated_ranges(docs, length, bounds).select(F.col("doc").alias("d"), F.col("digest").alias("g"), "ranges")
     texts = _documents(docs)
     both = texts.join(ranges, (F.col("doc") == F.col("d")) & (F.col("digest") == F.col("g")), "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

@@ -545,13 +545,49 @@ def test_repeats_equal_brute_force(docs, texts, odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_small_alphabets_and_chunk_edges(spark, monkeypatch):
+def _as_brute(got):
+    return {r.doc_id: [r.n_bytes, sum(x.stop - x.start for x in r.spans), len(r.spans), brute.sha(bytes(r.kept))] for r in got}
+
+
+def test_small_alphabets_and_large_buckets(spark):
     import random
 
     rng = random.Random(2)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 512)
     texts = ["".join(rng.choice("ab") for _ in range(900)) for _ in range(3)]
     texts += [texts[0][200:700] + texts[1][100:450], "a" * 700, "abc" * 250, texts[2], "ü" * 300]
+    passage = "".join(rng.choice("abcdefgh") for _ in range(150))
+    texts += ["".join(rng.choice("wxyz") for _ in range(60)) + passage + "".join(rng.choice("uv") for _ in range(60)) for _ in range(60)]
     data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: [r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), brute.sha(bytes(r.kept))] for r in suffix_dedup.remove_repeats(data).collect()}
-    assert got == {d: x for d, *x in brute.repeats(dict(enumerate(texts)))}
+    want = {d: x for d, *x in brute.repeats(dict(enumerate(texts)))}
+    assert _as_brute(suffix_dedup.remove_repeats(data).collect()) == want
+    # Buckets that are cut once they are too large, or at once; small blocks; nothing held back.
+    for bounds in (suffix_dedup.Bounds(bucket=3), suffix_dedup.Bounds(bucket=2, common=1, block=500, held=1)):
+        assert _as_brute(suffix_dedup.remove_repeats(data, bounds=bounds).collect()) == want
+
+
+def test_anchors_are_the_same_across_chunks(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    raw = "".join(rng.choice("abc") for _ in range(5000)).encode()
+    whole = suffix_dedup.anchors(raw, 100)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 512)
+    cut = suffix_dedup.anchors(raw, 100)
+    starts = lambda runs: [(h, p, s) for h, p, a, b in zip(*runs, strict=True) for s in range(a, b)]
+    assert [x[1:] for x in starts(whole)] == [x[1:] for x in starts(cut)] and [x[2] for x in starts(whole)] == list(range(4901))
+
+
+def test_suffixes_are_sorted_with_a_difference_cover():
+    import random
+
+    import numpy as np
+
+    assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
+    rng = random.Random(4)
+    for period in (1, 2, 3, 13, 400):
+        base = "".join(rng.choice("ab") for _ in range(period))
+        raw = (base * 900)[:900] + "".join(rng.choice("ab") for _ in range(300)) + (base * 700)[:700]
+        text = np.frombuffer(raw.encode() + bytes(64), dtype=np.uint8)
+        where = np.arange(len(raw) - 100)
+        order, _ = suffix_dedup.suffix_order(text, where, where // 1000, 100)
+        assert [(i // 1000, raw[i : i + 100]) for i in order] == sorted((i // 1000, raw[i : i + 100]) for i in where)
