@@ -37,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,19 @@ def _hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def _hash_at(raw: bytes, pos: np.ndarray) -> np.ndarray:
+    """What ``_hashes`` gives for the substrings at ``pos``."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    h = np.zeros(len(pos), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(K):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + data[pos + k] + np.uint64(1)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first start, end of starts) of each run of strings with one anchor."""
     parts = []
@@ -235,18 +249,22 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds]
-    )
+    """Rows that lack the last columns have nulls there."""
+    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds)]
+    columns += [pa.nulls(len(rows), t) for _, t in kinds[len(columns) :]]
+    return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds])
 
 
 #: A piece has the strings that start from ``start`` to ``stop``, those whose anchor at ``pos`` is ``low`` to ``high`` (exclusive) bytes behind
-#: their start; without bytes, all of them also start earlier.
+#: their start.  A row with ``doc``, ``digest``, ``start`` and ``stop`` only says that those strings also start earlier.
 PIECE = [
-    ("key", pa.int64()), ("doc", pa.int64()), ("digest", pa.int64()), ("pos", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
+    ("doc", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()),
     ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary()),
 ]
-PIECE_SCHEMA = "key long, doc long, digest long, pos long, start long, stop long, low int, high int, bytes binary"
+PIECE_SCHEMA = "doc long, digest long, start long, stop long, key long, pos long, low int, high int, bytes binary"
+#: Bits of a run's lead and size; they count starts of one string's length at most.
+LEAD = 1 << 14
+SIZE = 1 << 14
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -256,8 +274,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, doc, digest, pos, lead, size) of every run: its ``size`` starts begin ``lead`` bytes before the anchor."""
-    names = ["anchor", "doc", "digest", "pos", "lead", "size"]
+    """(anchor, doc, digest, mark) of every run; a mark has the anchor's place, how far before it the starts begin, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,49 +284,62 @@ def _anchor_runs(texts: DataFrame, length: int) -> DataFrame:
             n = np.array([len(f[0]) for f in found])
             h, pos, begin, end = (np.concatenate([f[k] for f in found]) for k in range(4))
             ids = [np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1)]
-            columns = [h, *ids, pos.astype(np.int32), (pos - begin).astype(np.int32), (end - begin).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            mark = (pos * LEAD + pos - begin) * SIZE + end - begin
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, *ids, mark)], names=["anchor", "doc", "digest", "mark"])
 
-    return texts.mapInArrow(run, "anchor long, doc long, digest long, pos int, lead int, size int")
+    return texts.mapInArrow(run, "anchor long, doc long, digest long, mark long")
 
 
 class Collapse:
-    """Pieces on their way to an exchange: of equal ones the first is kept, the others lose their bytes."""
+    """Pieces on their way to an exchange: of equal ones the first is kept, for the others only their place."""
 
     def __init__(self, held: int) -> None:
         self.most, self.size = held, 0
         self.first: dict[tuple, tuple] = {}
         self.out: list[tuple] = []
+        self.gone: list[tuple] = []
 
     def add(self, piece: tuple) -> None:
-        key, doc, digest, pos, start, stop, _, _, blob = piece
-        name = (key, pos - start, blob)
+        name = (piece[4], piece[5] - piece[2], piece[8])
         was = self.first.get(name)
         if was is None:
             self.first[name] = piece
-            self.size += len(blob) + 300
+            self.size += len(piece[8]) + 300
             if self.size > self.most:
                 self.out += self.first.values()
                 self.first, self.size = {}, 0
-        elif was[1:4] != piece[1:4]:
-            low, high = (piece, was) if piece[1:4] < was[1:4] else (was, piece)
-            self.first[name] = low
-            self.out.append((*high[:8], None))
+        elif was[:3] != piece[:3]:
+            if piece[:3] < was[:3]:
+                self.first[name], piece = piece, was
+            self.gone.append(piece[:4])
 
     def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         if last:
             self.out += self.first.values()
             self.first, self.size = {}, 0
-        while len(self.out) >= (1 if last else 20_000):
-            yield _batch(self.out[:20_000], PIECE)
-            self.out = self.out[20_000:]
+        for rows in (self.out, self.gone):
+            while len(rows) >= (1 if last else 20_000):
+                yield _batch(rows[:20_000], PIECE)
+                del rows[:20_000]
+
+    def join_gone(self, since: int) -> None:
+        """Makes one of those rows from ``since`` on that lie behind each other in one document."""
+        rows = self.gone[since:]
+        del self.gone[since:]
+        rows.sort()
+        for r in rows:
+            last = self.gone[-1] if len(self.gone) > since else None
+            if last and last[:2] == r[:2] and last[3] >= r[2]:
+                self.gone[-1] = (*last[:3], max(last[3], r[3]))
+            else:
+                self.gone.append(r)
 
 
 def quarters(piece: tuple, length: int) -> Iterator[tuple]:
     """The piece cut by the place of the anchor; each part's key comes from all bytes that its strings share."""
     import xxhash
 
-    key, doc, digest, pos, start, stop, low, high, blob = piece
+    doc, digest, start, stop, key, pos, low, high, blob = piece
     step = -(-(high - low) // 4)
     for a in range(low, high, step):
         b = min(high, a + step)
@@ -317,31 +347,35 @@ def quarters(piece: tuple, length: int) -> Iterator[tuple]:
         if s < e:
             shared = blob[pos - a - start : pos - b + 1 + length - start]
             own = xxhash.xxh3_64_intdigest(shared, a << 8 | b) ^ key & (1 << 64) - 1
-            yield own - (own >> 63 << 64), doc, digest, pos, s, e, a, b, blob[s - start : e + length - 1 - start]
+            yield doc, digest, s, e, own - (own >> 63 << 64), pos, a, b, blob[s - start : e + length - 1 - start]
 
 
 def _pieces(marked: DataFrame, length: int, bounds: Bounds) -> DataFrame:
-    """Pieces around the marked anchors of (doc, digest, text, marks)."""
+    """Pieces around the marked anchors of (doc, digest, text, marks); the last bit of a mark tells a common anchor."""
     width = length - K + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Collapse(bounds.held)
         for batch in batches:
-            marks = batch.column(3)
-            ends = marks.offsets.to_numpy()
-            fields = [marks.values.field(k).to_pylist() for k in range(5)]
-            docs, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, text in enumerate(batch.column(2)):
-                raw = text.as_py().encode()
-                for k in range(ends[i], ends[i + 1]):
-                    anchor, pos, lead, size, common = (f[k] for f in fields)
-                    start = pos - lead
-                    piece = (anchor, docs[i], digests[i], pos, start, start + size, 0, width, raw[start : start + size + length - 1])
-                    if common:
+            ends = batch.column(3).offsets.to_numpy()
+            every = batch.column(3).values.to_numpy()
+            for i, (doc, digest, text) in enumerate(zip(*(batch.column(k) for k in range(3)), strict=True)):
+                raw, doc, digest = text.as_py().encode(), doc.as_py(), digest.as_py()
+                marks = every[ends[i] : ends[i + 1]]
+                common, marks = marks & 1, marks >> 1
+                pos = marks // (LEAD * SIZE)
+                start = pos - marks // SIZE % LEAD
+                stop = start + marks % SIZE
+                key = _hash_at(raw, pos).view(np.int64)
+                since = len(found.gone)
+                for k, p, s, e, cut in zip(key.tolist(), pos.tolist(), start.tolist(), stop.tolist(), common.tolist(), strict=True):
+                    piece = (doc, digest, s, e, k, p, 0, width, raw[s : e + length - 1])
+                    if cut:
                         for part in quarters(piece, length):
                             found.add(part)
                     else:
                         found.add(piece)
+                found.join_gone(since)
                 yield from found.batches()
         yield from found.batches(last=True)
 
@@ -349,20 +383,20 @@ def _pieces(marked: DataFrame, length: int, bounds: Bounds) -> DataFrame:
 
 
 def _settled(dealt: DataFrame, length: int, bounds: Bounds) -> DataFrame:
-    """From pieces dealt and sorted by key: those that go, without bytes, and the parts of buckets that are too large, with bytes."""
+    """From pieces dealt and sorted by key: places that go, and the parts of buckets that are too large, as pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = Collapse(bounds.held)
-        block: list[tuple[int, list[tuple]]] = []
+        block: list[list[tuple]] = []
         size = 0
         out: list[tuple] = []
 
         def settle() -> None:
             nonlocal block, size
-            pieces = [(p[8], p[3] - p[4], p[1:4], n) for n, (_, bucket) in enumerate(block) for p in bucket]
-            rows = [p for _, bucket in block for p in bucket]
+            pieces = [(p[8], p[5] - p[2], p[:3], n) for n, bucket in enumerate(block) for p in bucket]
+            rows = [p for bucket in block for p in bucket]
             for p, flags in zip(rows, repeated_starts(pieces, length) if pieces else (), strict=True):
-                out.extend((*p[:4], p[4] + a, p[4] + b, *p[6:8], None) for a, b in _runs(flags))
+                out.extend((p[0], p[1], p[2] + a, p[2] + b) for a, b in _runs(flags))
             block, size = [], 0
 
         key, first, large = None, {}, False
@@ -370,24 +404,25 @@ def _settled(dealt: DataFrame, length: int, bounds: Bounds) -> DataFrame:
         def close() -> None:
             nonlocal size
             if len(first) > 1:
-                block.append((key, list(first.values())))
+                block.append(list(first.values()))
                 size += sum(len(p[8]) for p in first.values())
 
         for batch in batches:
+            decided = batch.column(8).is_null()
+            if decided.true_count:
+                yield batch.filter(decided)
+                batch = batch.filter(pc.invert(decided))
             for p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if p[8] is None:
-                    out.append(p)
-                    continue
-                if p[0] != key:
+                if p[4] != key:
                     close()
-                    key, first, large = p[0], {}, False
+                    key, first, large = p[4], {}, False
                     if size >= bounds.block:
                         settle()
                 if large:
                     for part in quarters(p, length):
                         later.add(part)
                     continue
-                name = (p[3] - p[4], p[8])
+                name = (p[5] - p[2], p[8])
                 was = first.get(name)
                 if was is None:
                     first[name] = p
@@ -397,10 +432,10 @@ def _settled(dealt: DataFrame, length: int, bounds: Bounds) -> DataFrame:
                             for part in quarters(q, length):
                                 later.add(part)
                         first, large = {}, True
-                elif was[1:4] != p[1:4]:
-                    low, high = (p, was) if p[1:4] < was[1:4] else (was, p)
-                    first[name] = low
-                    out.append((*high[:8], None))
+                elif was[:3] != p[:3]:
+                    if p[:3] < was[:3]:
+                        first[name], p = p, was
+                    out.append(p[:4])
             yield from later.batches()
             while len(out) >= 20_000:
                 yield _batch(out[:20_000], PIECE)
@@ -416,15 +451,15 @@ def _settled(dealt: DataFrame, length: int, bounds: Bounds) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = 100, bounds: Bounds = Bounds()) -> DataFrame:
     """(doc, digest, ranges): byte ranges to remove, possibly overlapping, of each document that has some."""
-    if length < K + 16:
-        raise ValueError(f"strings have {K + 16} bytes at least")
+    if not K + 16 <= length <= LEAD:
+        raise ValueError(f"strings have {K + 16} to {LEAD} bytes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = _documents(docs)
     runs = spool(_anchor_runs(texts, length), "runs")
     # A table of its own, so that the join below has plain exchanges and a common anchor can be split there.
     twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = spool(twice.select("anchor", (F.col("n") > bounds.common).alias("common")), "twice")
-    mark = F.struct("anchor", "pos", "lead", "size", "common")
+    twice = spool(twice.select("anchor", (F.col("n") > bounds.common).cast("int").alias("common")), "twice")
+    mark = F.col("mark") * 2 + F.col("common")
     marks = spool(runs.join(twice, "anchor").groupBy("doc", "digest").agg(F.collect_list(mark).alias("marks")), "marks")
     unspool(runs)
     unspool(twice)
