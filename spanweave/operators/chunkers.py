@@ -2,17 +2,18 @@
 
 A chunk row is (config_id, doc_id, chunk_idx, start_offset, end_offset, text,
 tokens, lo, hi): offsets in code points, ``lo``/``hi`` the range of document
-tokens that the chunk touches.  Strategies that columns can express stay in
-columns, with the configurations exploded from a literal array; the sequential
-scanners run in one Arrow pass for all their configurations.
+tokens that the chunk touches.  One Arrow pass reads each document once, finds
+its token ends once, and yields the chunks of every configuration, so cost is
+linear in the text and no row carries more than its own chunk.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-from functools import partial, reduce
+from collections.abc import Callable, Iterator, Mapping
+from functools import partial
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,18 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.arrays import let, offsets
-from ..functions.text import token_bounds, token_count
 from ..schema import Config
 from . import kernels
 
 COLUMNS = ["config_id", "doc_id", "chunk_idx", "start_offset", "end_offset", "text", "tokens", "lo", "hi"]
-PAGE = r"(?md)(?=^##[ \t]*Page[ \t]+\d+[ \t]*$)"
-SECTION = r"(?md)(?=^#{1,2}[ \t]+\S)"
+# Markers of pages, regions and sections.
 HEADING = r"(?md)(?=^#{1,3}[ \t]+\S)"
+_PAGE = re.compile(r"(?m)^##[ \t]*Page[ \t]+[0-9]+[ \t]*$")
+_SECTION = re.compile(r"(?m)^#{1,2}[ \t]+[^ \t\n\x0b\f\r]")
 _HEADS = re.compile(r"(?m)^#{1,3}[ \t]+\S")
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 #: Strategies whose token windows are plain fixed ones, and the parameter with their size.
 WINDOWED = {"fixed_tokens": ("max_tokens", 512, 1), "late_chunking": ("chunk_size_tokens", 256, 16)}
+#: What a strategy of the caller's own does: (text, parameters, token ends) to spans in code points.
+Kernel = Callable[[str, Mapping[str, Any], list[int]], Iterator[kernels.Span]]
 
 
 def _window(config: Config) -> tuple[int, int]:
@@ -41,32 +44,6 @@ def _window(config: Config) -> tuple[int, int]:
     return most, most - min(max(0, int(config.params.get("overlap_tokens", 0))), most - 1)
 
 
-def _array(rows: list[tuple], names: list[str]) -> Column:
-    return F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows))
-
-
-def _starts(n: Column, most: Column, step: Column) -> Column:
-    """Indices where token windows start, none for an empty text."""
-    last = F.greatest(n - most, F.lit(0)) + step - 1
-    return F.when(n > 0, F.sequence(F.lit(0), last, step)).otherwise(F.array().cast("array<int>"))
-
-
-def fixed_windows(docs: DataFrame, configs: list[Config]) -> DataFrame:
-    """Token windows of the regex tokenizer; bounds are found once a document, whatever the grid."""
-    grid = _array([(c.id, *_window(c)) for c in configs], ["config_id", "most", "step"])
-    rows = docs.select("doc_id", "content", token_bounds(F.col("content")).alias("bounds"))
-    rows = rows.withColumn("c", F.explode(grid)).withColumn("n", F.size("bounds") - 1)
-    rows = rows.select(
-        "doc_id", "content", "bounds", "n", "c.config_id", "c.most", F.posexplode(_starts(F.col("n"), F.col("c.most"), F.col("c.step"))).alias("chunk_idx", "lo")
-    )
-    hi = F.least(F.col("n"), F.col("lo") + F.col("most"))
-    rows = rows.withColumn("hi", hi).withColumns(
-        {"start_offset": F.get("bounds", F.col("lo")).cast("int"), "end_offset": F.get("bounds", F.col("hi")).cast("int")}
-    )
-    text = F.substring("content", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    return rows.withColumn("text", text).withColumn("tokens", F.col("hi") - F.col("lo")).select(*COLUMNS)
-
-
 def parts(text: Column, marker: str) -> Column:
     """Pieces that start at each hit of a lookahead, as (start, text)."""
     pieces = F.split(text, marker)
@@ -79,67 +56,6 @@ def parts(text: Column, marker: str) -> Column:
     )
 
 
-def regions(text: Column) -> Column:
-    """Pages where there are page headings, else sections of the first two levels."""
-    return F.when(text.rlike(PAGE.replace("(?=", "(?:")), parts(text, PAGE)).otherwise(parts(text, SECTION))
-
-
-def region_slices(docs: DataFrame, configs: list[Config], default: int = 4000) -> DataFrame:
-    """(doc_id, config_id, params..., at, piece): regions cut every ``max_region_chars``."""
-    sizes = [(c.id, int(c.params.get("max_region_chars", default))) for c in configs]
-    if any(s < 1 for _, s in sizes):
-        raise ValueError("max_region_chars must be positive")
-    rows = docs.select("*", F.explode(regions(F.col("content"))).alias("r")).where("r.text <> ''")
-    rows = rows.withColumn("c", F.explode(_array(sizes, ["config_id", "most"])))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("r.text") - 1, F.col("c.most"))))
-    return rows.select(
-        *docs.columns, "c.config_id", (F.col("r.start") + F.col("k")).alias("at"), F.substring("r.text", F.col("k") + 1, F.col("c.most")).alias("piece")
-    )
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("config_id", "doc_id").orderBy("start_offset", "end_offset")
-    return rows.withColumn("chunk_idx", F.row_number().over(order) - 1)
-
-
-def _touched(bounds: Column, a: Column, b: Column) -> dict[str, Column]:
-    """Token range that the characters from a to b touch."""
-    return {
-        "lo": (F.size(F.filter(bounds, lambda x: x <= a)) - 1).cast("int"),
-        "hi": F.least(F.size(F.filter(bounds, lambda x: x < b)), F.size(bounds) - 1).cast("int"),
-    }
-
-
-def by_region(docs: DataFrame, configs: list[Config]) -> DataFrame:
-    rows = region_slices(docs.withColumn("bounds", token_bounds(F.col("content"))), configs)
-    rows = rows.select(
-        "config_id", "doc_id", "bounds", F.col("at").alias("start_offset"), (F.col("at") + F.length("piece")).alias("end_offset"),
-        F.col("piece").alias("text"), token_count(F.col("piece")).alias("tokens"),
-    )
-    rows = rows.withColumns(_touched(F.col("bounds"), F.col("start_offset"), F.col("end_offset")))
-    return _numbered(rows).select(*COLUMNS)
-
-
-def region_windows(docs: DataFrame, configs: list[Config]) -> DataFrame:
-    """Fixed windows within regions."""
-    cut = region_slices(docs.withColumn("whole", token_bounds(F.col("content"))), configs, default=8000)
-    wide = [(c.id, most, most - min(max(0, int(c.params.get("overlap_tokens", 0))), most - 1)) for c in configs for most in [max(32, int(c.params.get("max_tokens", 512)))]]
-    table = F.create_map(*(x for i, m, s in wide for x in (F.lit(i), F.struct(F.lit(m).alias("most"), F.lit(s).alias("step")))))
-    rows = cut.withColumn("c", F.element_at(table, F.col("config_id"))).withColumn("bounds", token_bounds(F.col("piece")))
-    rows = rows.withColumn("n", F.size("bounds") - 1)
-    rows = rows.withColumn("i", F.explode(_starts(F.col("n"), F.col("c.most"), F.col("c.step"))))
-    rows = rows.withColumn("j", F.least(F.col("n"), F.col("i") + F.col("c.most")))
-    a, b = F.get("bounds", F.col("i")).cast("int"), F.get("bounds", F.col("j")).cast("int")
-    rows = rows.select(
-        "config_id", "doc_id", "whole", (F.col("at") + a).alias("start_offset"), (F.col("at") + b).alias("end_offset"),
-        F.substring("piece", a + 1, b - a).alias("text"), (F.col("j") - F.col("i")).alias("tokens"),
-    )
-    rows = rows.withColumns(_touched(F.col("whole"), F.col("start_offset"), F.col("end_offset")))
-    return _numbered(rows).select(*COLUMNS)
-
-
 def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section_idx, start_offset, end_offset): markdown sections that aren't blank."""
     rows = docs.select("doc_id", F.posexplode(parts(F.col("content"), HEADING)).alias("i", "s"))
@@ -149,7 +65,18 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def _spans(config: Config, text: str, ends: list[int]) -> Iterator[kernels.Span]:
+def _regions(text: str, most: int) -> Iterator[kernels.Span]:
+    """Pages where there are page headings, else sections of the first two levels, cut every ``most`` characters."""
+    if most < 1:
+        raise ValueError("max_region_chars must be positive")
+    marks = _PAGE if _PAGE.search(text) else _SECTION
+    edges = sorted({0, *(m.start() for m in marks.finditer(text)), len(text)})
+    for a, b in zip(edges, edges[1:]):
+        for at in range(a, b, most):
+            yield at, min(b, at + most)
+
+
+def _spans(config: Config, text: str, ends: list[int], bounds: kernels.Bounds) -> Iterator[kernels.Span]:
     p, count = config.params, kernels.counter(ends)
     overlap, most = int(p.get("overlap_tokens", 0)), int(p.get("max_tokens", 512))
     match config.strategy:
@@ -163,6 +90,12 @@ def _spans(config: Config, text: str, ends: list[int]) -> Iterator[kernels.Span]
             edges = sorted({0, *(m.start() for m in _HEADS.finditer(text)), len(text)})
             for a, b in zip(edges, edges[1:]):
                 yield from kernels.budgeted(text, most, overlap, count, a, b)
+        case "pdf_structural":
+            yield from _regions(text, int(p.get("max_region_chars", 4000)))
+        case "structural_semantic":
+            for a, b in _regions(text, int(p.get("max_region_chars", 8000))):
+                for x, y in kernels.windows(bounds(text[a:b]), max(32, most), overlap):
+                    yield a + x, a + y
         case "code_window":
             yield from kernels.line_windows(text, most, int(p.get("overlap_lines", 2)), count)
         case "code_ast":
@@ -181,52 +114,125 @@ def _spans(config: Config, text: str, ends: list[int]) -> Iterator[kernels.Span]
             raise KeyError(config.strategy)
 
 
-def by_kernel(docs: DataFrame, configs: list[Config], bounds: kernels.Bounds = kernels.regex_bounds) -> DataFrame:
-    """Every scanner in one Arrow pass; rows leave in batches, so a long text times a large grid stays small in memory."""
+BUILT_IN = frozenset(
+    "fixed_tokens recursive_character semantic markdown_semantic pdf_structural structural_semantic late_chunking code_ast code_window agentic".split()
+)
+
+
+def pieces(
+    config: Config,
+    text: str,
+    ends: list[int],
+    bounds: kernels.Bounds = kernels.regex_bounds,
+    own: Mapping[str, Kernel] | None = None,
+    recorded: list[tuple[int, int]] | None = None,
+) -> Iterator[tuple[int, int, str, int, int, int]]:
+    """(start, end, text, tokens, lo, hi) of each chunk of one document; ``recorded`` spans stand for those of ``agentic``."""
+    if own and config.strategy in own:
+        found = own[config.strategy](text, config.params, ends)
+    elif recorded and config.strategy == "agentic":
+        found = iter(recorded)
+    else:
+        found = _spans(config, text, ends, bounds)
+    last = len(ends) - 1
+    for a, b in found:
+        if not 0 <= a < b <= len(text):
+            raise ValueError(f"{config.id}: span {a} to {b} in a text of {len(text)}")
+        piece = text[a:b]
+        lo, hi = bisect_right(ends, a) - 1, min(bisect_left(ends, b), last)
+        # A piece has a part of each token of the regex tokenizer that it touches, and each part is one token.
+        yield a, b, piece, hi - lo if bounds is kernels.regex_bounds else len(bounds(piece)) - 1, lo, hi
+
+
+def by_kernel(
+    docs: DataFrame,
+    configs: list[Config],
+    bounds: kernels.Bounds = kernels.regex_bounds,
+    own: Mapping[str, Kernel] | None = None,
+    errors: bool = False,
+) -> DataFrame:
+    """Every configuration in one Arrow pass; rows leave in batches, so a long text times a large grid stays small in memory.
+
+    ``docs`` may have ``spans``, recorded ones of ``agentic``.  With ``errors`` a
+    configuration that fails on a document gives a row with nothing but
+    ``error`` there, and all others go on; without, the job fails.
+    """
     doc_type = docs.schema["doc_id"].dataType
+    with_spans = "spans" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field(0).type
             rows: list[tuple] = []
             size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            spans = batch.column(2).to_pylist() if with_spans else [None] * batch.num_rows
+            for doc, text, known in zip(batch.column(0).to_pylist(), batch.column(1), spans, strict=True):
                 text = text.as_py() or ""
                 ends = bounds(text)
-                for config in configs:
-                    for i, (a, b) in enumerate(_spans(config, text, ends) if text else ()):
-                        piece = text[a:b]
-                        lo, hi = bisect_right(ends, a) - 1, min(bisect_left(ends, b), len(ends) - 1)
-                        rows.append((config.id, doc, i, a, b, piece, len(bounds(piece)) - 1, lo, hi))
-                        size += len(piece)
+                recorded = [(s["a"], s["b"]) for s in known or ()]
+                for config in configs if text else ():
+                    first = len(rows)
+                    try:
+                        for i, piece in enumerate(pieces(config, text, ends, bounds, own, recorded)):
+                            rows.append((config.id, doc, i, *piece, None))
+                            size += len(piece[2])
+                    except Exception as e:
+                        if not errors:
+                            raise
+                        del rows[first:]
+                        rows.append((config.id, doc, *[None] * 7, f"{type(e).__name__}: {e}"))
                     if size > 4_000_000:
-                        yield _chunk_batch(rows, kind)
+                        yield _chunk_batch(rows, kind, errors)
                         rows, size = [], 0
             if rows:
-                yield _chunk_batch(rows, kind)
+                yield _chunk_batch(rows, kind, errors)
 
-    kinds = [StringType(), doc_type, IntegerType(), IntegerType(), IntegerType(), StringType(), IntegerType(), IntegerType(), IntegerType()]
-    schema = StructType([StructField(n, t) for n, t in zip(COLUMNS, kinds, strict=True)])
-    return docs.select("doc_id", "content").mapInArrow(run, schema)
+    n, s = IntegerType(), StringType()
+    names = COLUMNS + ["error"] * errors
+    schema = StructType([StructField(c, t) for c, t in zip(names, [s, doc_type, n, n, n, s, n, n, n, s])])
+    return docs.select("doc_id", "content", *["spans"] * with_spans).mapInArrow(run, schema)
 
 
-def _chunk_batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
+def _chunk_batch(rows: list[tuple], doc_type: pa.DataType, errors: bool) -> pa.RecordBatch:
     n, s = pa.int32(), pa.string()
-    kinds = [s, doc_type, n, n, n, s, n, n, n]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=COLUMNS)
-
-
-NATIVE = {"fixed_tokens": fixed_windows, "late_chunking": fixed_windows, "pdf_structural": by_region, "structural_semantic": region_windows}
-
-
-def chunk(docs: DataFrame, configs: list[Config], ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Chunks of ``docs`` (doc_id, content) for every configuration; ``ranks`` and ``pattern`` choose a BPE tokenizer."""
-    if ranks:
-        return by_kernel(docs, configs, partial(kernels.bpe_bounds, ranks=ranks, pattern=pattern))
-    groups: dict[object, list[Config]] = {}
+    kinds, names = [s, doc_type, n, n, n, s, n, n, n, s], [*COLUMNS, "error"]
+    most = len(names) if errors else len(COLUMNS)
+    columns = list(zip(*rows, strict=True))[:most]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names[:most])
+
+
+def with_spans(docs: DataFrame, recorded: DataFrame) -> DataFrame:
+    """``docs`` with ``spans``: those of (doc_id, i, start_offset, end_offset) in the order of ``i``, null where there are none."""
+    span = F.struct("i", F.col("start_offset").alias("a"), F.col("end_offset").alias("b"))
+    held = recorded.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return docs.join(held, "doc_id", "left")
+
+
+def chunk(
+    docs: DataFrame,
+    configs: list[Config],
+    ranks: str | None = None,
+    pattern: str | None = None,
+    own: Mapping[str, Kernel] | None = None,
+    recorded: DataFrame | None = None,
+    errors: bool = False,
+    misaligned: str = "snap",
+) -> DataFrame:
+    """Chunks of ``docs`` (doc_id, content) for every configuration.
+
+    ``ranks`` and ``pattern`` choose a BPE tokenizer, and ``misaligned`` what
+    becomes of token ends within a character: ``snap`` or ``error``.  ``own``
+    has the kernels of the caller's own strategies, ``recorded`` the spans that
+    a model proposed for ``agentic``.
+    """
     for c in configs:
-        groups.setdefault(NATIVE.get(c.strategy, by_kernel), []).append(c)
-    return reduce(DataFrame.unionByName, (build(docs, some) for build, some in groups.items()))
+        if c.strategy not in BUILT_IN and c.strategy not in (own or {}):
+            raise KeyError(f"{c.strategy} has no kernel")
+        if int(c.params.get("max_region_chars", 1)) < 1:
+            raise ValueError("max_region_chars must be positive")
+    bounds = partial(kernels.bpe_bounds, ranks=ranks, pattern=pattern, misaligned=misaligned) if ranks else kernels.regex_bounds
+    rows = docs.select("doc_id", "content")
+    return by_kernel(with_spans(rows, recorded) if recorded is not None else rows, configs, bounds, own, errors)
 
 
 def violations(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -235,3 +241,12 @@ def violations(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     a, b = F.col("start_offset"), F.col("end_offset")
     wrong = (a < 0) | (a >= b) | (b > F.length("content")) | (F.substring("content", a + 1, b - a) != F.col("text"))
     return both.where(wrong).select("config_id", "doc_id", "chunk_idx", "start_offset", "end_offset")
+
+
+def sampled(chunks: DataFrame, seed: int = 42) -> DataFrame:
+    """All chunks if there are 500 at most, else a tenth of them, 50 to 200, in an order that the seed fixes; the sample is the feature."""
+    n = chunks.count()
+    if n <= 500:
+        return chunks
+    order = F.xxhash64(F.lit(seed), "config_id", "doc_id", "chunk_idx")
+    return chunks.orderBy(order, "config_id", "doc_id", "chunk_idx").limit(min(200, max(50, n // 10)))

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from typing import Any
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import token_f1
-from .embed import each_with
+from . import kernels
+from .embed import SENT
 
 FIELDS = ["query_id", "doc_id", "question", "answer_spans", "reference_answer"]
 
@@ -62,14 +72,109 @@ def anchored(docs: DataFrame, anchors: list[tuple[str, str, str]], before: int =
     )
 
 
+def anchored_or_trivial(docs: DataFrame, anchors: list[tuple[str, str, str]], before: int = 50, after: int = 100) -> DataFrame:
+    """``anchored``, or ``trivial`` if no document has any of the phrases."""
+    found = anchored(docs, anchors, before, after)
+    none = found.limit(1).groupBy().agg(F.count(F.lit(1)).alias("_found"))
+    # Whether there are any is one row, so the choice is part of the plan.
+    rest = trivial(docs).crossJoin(F.broadcast(none)).where("_found = 0").drop("_found")
+    return found.unionByName(rest)
+
+
+def chosen(proposed: DataFrame | None, heuristic: DataFrame, least: int = 10) -> DataFrame:
+    """Questions that a model proposed if there are ``least`` of them, else the heuristic ones."""
+    return heuristic if proposed is None or proposed.limit(least).count() < least else proposed
+
+
+def prompts(docs: DataFrame, most: int = 50_000) -> DataFrame:
+    """(doc_id, prompt, truncated): the part of each document that a model is asked about; the limit is part of the feature."""
+    return docs.select("doc_id", F.left("content", F.lit(most)).alias("prompt"), (F.length("content") > most).alias("truncated"))
+
+
+#: Bytes by which phrases are looked up; shorter ones are searched one by one.
+GRAM = 16
+
+
+def _gram_keys(raw: bytes) -> np.ndarray:
+    """A number for each ``GRAM`` bytes of ``raw``."""
+    if len(raw) < GRAM:
+        return np.zeros(0, dtype=np.uint64)
+    word = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    with np.errstate(over="ignore"):
+        key = word[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (word[8:] + np.uint64(0x7F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        return (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class PhraseIndex:
+    """Phrases by one gram each, that with the smallest key, so phrases that begin alike don't meet."""
+
+    def __init__(self, phrases: list[tuple[Any, str]]) -> None:
+        self.short: list[tuple[Any, bytes]] = []
+        self.by_key: dict[int, list[tuple[Any, int, bytes]]] = {}
+        for item, phrase in phrases:
+            raw = phrase.encode()
+            keys = _gram_keys(raw)
+            if len(keys):
+                at = int(keys.argmin())
+                self.by_key.setdefault(int(keys[at]), []).append((item, at, raw))
+            else:
+                self.short.append((item, raw))
+        self.keys = np.sort(np.fromiter(self.by_key, dtype=np.uint64, count=len(self.by_key)))
+
+    def first_hits(self, text: str) -> Iterator[tuple[Any, int, int]]:
+        """(item, start, end) of the first hit of each phrase, in code points."""
+        raw, found = text.encode(), {}
+        keys = _gram_keys(raw)
+        if len(keys) and len(self.keys):
+            near = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)]
+            for at in np.flatnonzero(near == keys).tolist():
+                for item, offset, phrase in self.by_key[int(keys[at])]:
+                    if item not in found and at >= offset and raw.startswith(phrase, at - offset):
+                        found[item] = at - offset, phrase
+        for item, phrase in self.short:
+            at = raw.find(phrase)
+            if at >= 0:
+                found[item] = at, phrase
+        for item, (at, phrase) in found.items():
+            start = len(raw[:at].decode())
+            yield item, start, start + len(phrase.decode())
+
+
 def phrase_hits(docs: DataFrame, phrases: DataFrame, most: int = 100_000) -> DataFrame:
-    """(item_id, doc_id, start_offset, end_offset) of the first hit of each phrase in each document.
+    """(item_id, doc_id, start_offset, end_offset) of the first hit of each phrase (item_id, phrase) in each document.
 
-    Phrases are sent to every task if they are at most ``most``, else they go by slices.
+    An index of the phrases is sent to every task, and each document is read
+    once against all of them.  A set of more than ``most`` phrases or ``SENT``
+    bytes goes by slices, one after the other, each cut off by a checkpoint.
     """
-    rows = each_with(docs.select("doc_id", "content"), "doc_id", phrases, "item_id", most).where(F.contains("content", "phrase"))
-    at = _place(F.col("phrase"), F.col("content")) - 1
-    return rows.select("item_id", "doc_id", at.alias("start_offset"), (at + F.length("phrase")).alias("end_offset"))
+    spark = docs.sparkSession
+    known = phrases.select("item_id", "phrase").where("phrase IS NOT NULL").dropDuplicates(["item_id", "phrase"])
+    held = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("bytes")).first()
+    slices = max(1, -(-held["n"] // most), -(-held["bytes"] // SENT))
+    item_type, doc_type = phrases.schema["item_id"].dataType, docs.schema["doc_id"].dataType
+    schema = StructType([StructField("item_id", item_type), StructField("doc_id", doc_type), StructField("start_offset", IntegerType()), StructField("end_offset", IntegerType())])
+    texts = docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
+    found = []
+    for k in range(slices):
+        some = known.where(F.pmod(F.xxhash64("item_id", "phrase"), F.lit(slices)) == k).collect()
+        index = spark.sparkContext.broadcast([(r["item_id"], r["phrase"]) for r in some])
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = PhraseIndex(index.value)
+            kind = to_arrow_type(item_type)
+            for batch in batches:
+                rows = [(item, doc, a, b) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for item, a, b in own.first_hits(text.as_py())]
+                if rows:
+                    kinds = [kind, batch.schema.field(0).type, pa.int32(), pa.int32()]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item_id", "doc_id", "start_offset", "end_offset"])
+
+        hits = texts.mapInArrow(run, schema)
+        if slices > 1 and spark.sparkContext.getCheckpointDir():
+            hits = hits.checkpoint()
+            index.destroy()
+        found.append(hits)
+    return reduce(DataFrame.union, found)
 
 
 def first_functions(docs: DataFrame, most: int | None = 40) -> DataFrame:
@@ -98,21 +203,33 @@ def accepted(proposals: DataFrame, docs: DataFrame, per_doc: int, least_f1: floa
     return both.where((ref == "") | (token_f1(span, ref) >= least_f1))
 
 
-def parsed_spans(responses: DataFrame, docs: DataFrame, most: int = 40) -> DataFrame:
-    """(doc_id, i, start_offset, end_offset) from recorded JSON of an LLM: clamped, not blank, agreeing with its own text."""
+def proposed_spans(response: Column) -> Column:
+    """The items of a model's answer, in whatever shape they stand: think blocks go, a fenced block is taken alone, then what parses from the first bracket on."""
+
+    def items(texts: pd.Series) -> pd.Series:
+        return pd.Series([kernels.proposed_spans(t) for t in texts], dtype=object)
+
+    items.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.from_json(F.pandas_udf(items, "string")(response), "array<struct<a:int,b:int,t:string>>")
+
+
+def parsed_spans(responses: DataFrame, docs: DataFrame, most: int = 40, prefix: int = 50_000) -> DataFrame:
+    """(doc_id, i, start_offset, end_offset) from recorded answers of a model: clamped to its prompt, not blank, agreeing with their own text.
+
+    Items stand in ``chunks``, in ``chunks.chunks`` or alone as an array; their
+    offsets are called start_offset and end_offset or start and end, their text
+    text, chunk_text or content.  Answers without JSON have no items.
+    """
     from ..functions.text import token_jaccard_ok
 
-    item = "struct<start_offset:int,start:int,end_offset:int,end:int,text:string>"
-    parsed = F.from_json("response", f"struct<chunks:array<{item}>>")
-    rows = responses.select("doc_id", F.slice(parsed["chunks"], 1, most).alias("items")).join(docs.select("doc_id", "content"), "doc_id")
+    rows = responses.select("doc_id", F.slice(proposed_spans(F.col("response")), 1, most).alias("items"))
+    rows = rows.join(docs.select("doc_id", F.left("content", F.lit(prefix)).alias("content")), "doc_id")
     rows = rows.select("doc_id", "content", F.posexplode("items").alias("i", "x"))
     size = F.length("content")
-    a = F.greatest(F.lit(0), F.least(F.coalesce("x.start_offset", "x.start", F.lit(0)), size))
-    rows = rows.withColumn("start_offset", a)
-    b = F.greatest(F.col("start_offset"), F.least(F.coalesce("x.end_offset", "x.end", F.lit(0)), size))
-    rows = rows.withColumn("end_offset", b)
+    rows = rows.withColumn("start_offset", F.greatest(F.lit(0), F.least("x.a", size)))
+    rows = rows.withColumn("end_offset", F.greatest(F.col("start_offset"), F.least(F.col("x.b"), size)))
     piece = F.substring("content", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    rows = rows.where(piece.rlike(r"[^ \t\n\r]") & token_jaccard_ok(piece, F.coalesce("x.text", F.lit("")), 0.5))
+    rows = rows.where(piece.rlike(r"[^ \t\n\r]") & token_jaccard_ok(piece, F.col("x.t"), 0.5))
     return rows.select("doc_id", "i", "start_offset", "end_offset")
 
 

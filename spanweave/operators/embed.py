@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..schema import Config
+
 #: 32 rounds of SHA-256, 8 numbers each.
 ROUNDS = 32
 Embedder = Callable[[pd.Series], pd.Series]
@@ -34,6 +38,47 @@ def hash_embedder(seed: int = 0) -> Embedder:
     return embed
 
 
+#: Texts of one call to a provider, tries of a call, and seconds before the second try and at most before a later one.
+CALL, TRIES, FIRST_WAIT, LONGEST_WAIT = 64, 4, 4.0, 60.0
+
+
+def provider_embedder(call: Callable[[list[str]], list[tuple[int, list[float]]]], most: int = CALL, tries: int = TRIES, wait: float = FIRST_WAIT) -> Embedder:
+    """An embedder over a provider's ``call``, which takes texts and gives (index, vector) pairs in any order.
+
+    It is asked for at most ``most`` texts at once and again after a failure,
+    with a wait that doubles up to a minute; the last failure is raised.
+    """
+
+    def once(texts: list[str]) -> list[list[float]]:
+        pause = wait
+        for left in reversed(range(tries)):
+            try:
+                found = dict(call(texts))
+                return [found[i] for i in range(len(texts))]
+            except Exception:
+                if not left:
+                    raise
+                time.sleep(pause)
+                pause = min(2 * pause, LONGEST_WAIT)
+        raise ValueError("tries must be positive")
+
+    def embed(texts: pd.Series) -> pd.Series:
+        every = texts.tolist()
+        vectors = [np.asarray(v, dtype=float) for at in range(0, len(every), most) for v in once(every[at : at + most])]
+        return pd.Series(vectors, index=texts.index, dtype=object)
+
+    return embed
+
+
+def embedder_for(model: str | None, call: Callable[[list[str]], list[tuple[int, list[float]]]] | None = None, dummy: bool = False) -> tuple[str, Embedder]:
+    """(profile, embedder): the hash embedder if asked for or without a model, else the model's provider, which must be given."""
+    if dummy or not model:
+        return "hash_v1", hash_embedder(0)
+    if call is None:
+        raise ValueError(f"no provider is given for {model}")
+    return model, provider_embedder(call)
+
+
 def embed_column(embedder: Embedder, text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return embedder(texts)
@@ -42,9 +87,14 @@ def embed_column(embedder: Embedder, text: Column) -> Column:
     return F.pandas_udf(run, ArrayType(DoubleType()))(text)
 
 
-def text_key(profile: str, text: Column) -> Column:
-    """The cache key: SHA-256 of model and text."""
-    return F.sha2(F.concat(F.lit(f"{profile}|"), text), 256)
+def text_key(profile: str, text: Column, role: str = "document") -> Column:
+    """The cache key: SHA-256 of model and text; what is embedded as a query has keys of its own."""
+    return F.sha2(F.concat(F.lit(f"{profile}|" if role == "document" else f"{profile}|{role}|"), text), 256)
+
+
+def params_json(params: Column) -> Column:
+    """A map of parameters as JSON with sorted keys, equal maps as equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
 
 
 def chunk_key(content: Column, strategy: Column, params: Column) -> Column:
@@ -58,27 +108,82 @@ def embed_distinct(texts: DataFrame, embedder: Embedder, profile: str = "hash_v1
     return keyed.dropDuplicates(["text_hash"]).select("text_hash", embed_column(embedder, F.col("text")).alias("vec"))
 
 
-def split_by_cache(texts: DataFrame, cache: DataFrame, profile: str) -> tuple[DataFrame, DataFrame]:
+def split_by_cache(texts: DataFrame, cache: DataFrame, profile: str, role: str = "document") -> tuple[DataFrame, DataFrame]:
     """(hits with their vectors, distinct misses)."""
-    keyed = texts.select("text").distinct().withColumn("text_hash", text_key(profile, F.col("text")))
+    keyed = texts.select("text").distinct().withColumn("text_hash", text_key(profile, F.col("text"), role))
     known = cache.where(F.col("profile") == profile).select("text_hash", "vec")
     return keyed.join(known, "text_hash"), keyed.join(known, "text_hash", "left_anti")
 
 
-def embed_cached(texts: DataFrame, path: str, embedder: Embedder, profile: str) -> DataFrame:
+def _path(spark: SparkSession, path: str):
+    """(file system, path) in the terms of Hadoop, whatever the store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    store, where = _path(spark, path)
+    return spark.read.schema(schema).parquet(path) if store.exists(where) else spark.createDataFrame([], schema)
+
+
+def cache_clear(spark: SparkSession, path: str) -> bool:
+    """Deletes a cache; false if there was none."""
+    store, where = _path(spark, path)
+    return bool(store.delete(where, True))
+
+
+VECTOR_CACHE = "text_hash string, vec array<double>, profile string"
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The cache of vectors at ``path``, empty if there is none."""
+    return _table(spark, path, VECTOR_CACHE)
+
+
+def embed_cached(texts: DataFrame, path: str, embedder: Embedder, profile: str, role: str = "document") -> DataFrame:
     """Vectors of all distinct texts; misses are embedded and appended to the table at ``path``, partitioned by profile."""
     spark = texts.sparkSession
-    schema = "text_hash string, vec array<double>, profile string"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    cache = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-    _, misses = split_by_cache(texts, cache, profile)
+    _, misses = split_by_cache(texts, opened(spark, path), profile, role)
     fresh = misses.select("text_hash", embed_column(embedder, F.col("text")).alias("vec"), F.lit(profile).alias("profile"))
     fresh.write.mode("append").partitionBy("profile").parquet(path)
-    hits, _ = split_by_cache(texts, spark.read.schema(schema).parquet(path), profile)
+    hits, _ = split_by_cache(texts, opened(spark, path), profile, role)
     return hits
 
 
+CHUNK_CACHE = "chunk_key string, chunks array<struct<chunk_idx:int,start_offset:int,end_offset:int,text:string,tokens:int,lo:int,hi:int>>"
+
+
+def chunk_cached(docs: DataFrame, configs: list[Config], path: str, build: Callable[[DataFrame, list[Config]], DataFrame]) -> DataFrame:
+    """What ``build`` gives for (doc_id, content), by way of a table keyed by content, strategy and parameters.
+
+    Equal contents share an entry, so an entry doesn't know its documents.  Each
+    distinct content that the table lacks for some configuration is chunked for
+    that configuration and appended.
+    """
+    spark = docs.sparkSession
+    named = F.array(*(F.struct(F.lit(c.id).alias("config_id"), F.lit(c.strategy).alias("strategy"), F.lit(c.params_json).alias("params")) for c in configs))
+    wanted = docs.select("doc_id", "content", F.explode(named).alias("c"))
+    wanted = wanted.select("doc_id", "content", "c.config_id", chunk_key(F.col("content"), F.col("c.strategy"), F.col("c.params")).alias("chunk_key"))
+    known = _table(spark, path, CHUNK_CACHE)
+    missing = wanted.join(known.select("chunk_key"), "chunk_key", "left_anti").dropDuplicates(["chunk_key"])
+    # Contents stand for documents here, named by their keys.
+    chunks = [
+        build(missing.where(F.col("config_id") == c.id).select(F.col("chunk_key").alias("doc_id"), "content"), [c]) for c in configs
+    ]
+    item = F.struct("chunk_idx", "start_offset", "end_offset", "text", "tokens", "lo", "hi")
+    found = reduce(DataFrame.unionByName, chunks).groupBy(F.col("doc_id").alias("chunk_key")).agg(F.array_sort(F.collect_list(item)).alias("chunks"))
+    # An empty content has no chunks but an entry, so it isn't missing again.
+    rows = missing.select("chunk_key").join(found, "chunk_key", "left")
+    rows.select("chunk_key", F.coalesce("chunks", F.array().cast(CHUNK_CACHE.split(" ", 3)[3])).alias("chunks")).write.mode("append").parquet(path)
+    held = wanted.select("doc_id", "config_id", "chunk_key").join(spark.read.schema(CHUNK_CACHE).parquet(path), "chunk_key")
+    return held.select("config_id", "doc_id", F.explode("chunks").alias("k")).select("config_id", "doc_id", "k.*")
+
+
+def chunk_cache_stats(cache: DataFrame) -> DataFrame:
+    """Entries and approximate bytes of a chunk cache."""
+    return cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.octet_length(F.to_json("chunks"))), F.lit(0)).cast("long").alias("approx_bytes"))
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     """Rows and approximate bytes."""
     return cache.agg(
@@ -95,30 +200,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def cosine_udf(a: Column, b: Column) -> Column:
-    """The same in Arrow batches, for long vectors."""
+def scored_text(embedder: Embedder, text: Column, vector: Column) -> Column:
+    """Cosine of the text's vector and ``vector``, in the pass that embeds."""
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
+    def run(texts: pd.Series, others: pd.Series) -> pd.Series:
+        if not len(texts):
             return pd.Series([], dtype=float)
-        left, right = np.stack(x.to_numpy()), np.stack(y.to_numpy())
+        left, right = np.stack(list(embedder(texts))), np.stack(others.to_numpy())
         norms = [np.sqrt((m * m).sum(axis=1)) + 1e-9 for m in (left, right)]
         return pd.Series((left * right).sum(axis=1) / (norms[0] * norms[1]))
 
-    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")(a, b)
+    run.__annotations__ = {"texts": pd.Series, "others": pd.Series, "return": pd.Series}
+    return F.round(F.pandas_udf(run, "double")(text, vector), 9)
 
 
 #: Parts that rows are dealt into where what they meet is too large to be sent to every task.
 PARTS = 64
 
 
-def each_with(rows: DataFrame, row_id: str, asked: DataFrame, asked_id: str, most: int) -> DataFrame:
-    """Every row of ``rows`` with every one of ``asked``, which is sent to every task if it has at most ``most`` rows.
+#: Bytes of rows that are sent to every task at once.
+SENT = 32_000_000
+
+
+def each_with(rows: DataFrame, row_id: str, asked: DataFrame, asked_id: str, most: int, size: Column) -> DataFrame:
+    """Every row of ``rows`` with every one of a stated set ``asked``, which is sent to every task if it is small.
 
-    A larger one is cut into slices of about ``most`` rows; each slice meets each part of ``rows`` in an exchange.
+    Small is at most ``most`` rows and ``SENT`` bytes, a row having ``size``.  A
+    larger one is cut into slices about so small; each meets each part of
+    ``rows`` in an exchange.
     """
-    slices = -(-asked.count() // most)
+    held = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    slices = max(-(-held["n"] // most), -(-int(held["bytes"]) // SENT))
     if slices <= 1:
         return rows.join(F.broadcast(asked))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -131,11 +243,11 @@ def each_with(rows: DataFrame, row_id: str, asked: DataFrame, asked_id: str, mos
 def nearest_by_query(vectors: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) for each of a stated set of ``queries`` (query_id, query).
 
-    The query set is sent to every task if it has at most ``most`` rows, else it goes by slices.
+    The query set is sent to every task if it is small, else it goes by slices.
     """
     from pyspark.sql.window import Window
 
-    rows = each_with(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", queries, "query_id", most)
+    rows = each_with(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", queries, "query_id", most, F.size("query") * 8)
     rows = rows.select("query_id", "vec_id", F.round(cosine(F.col("v"), F.col("query")), 9).alias("sim"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

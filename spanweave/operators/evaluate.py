@@ -8,15 +8,24 @@ sorted by start; no token is ever exploded.  Everything of a query is keyed by
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrays import total
-from ..functions.text import token_bounds, token_count
-from .embed import Embedder, cosine_udf, embed_distinct, text_key
+from ..functions.text import token_count
+from ..schema import Config
+from .chunkers import Kernel, pieces, with_spans
+from .embed import Embedder, embed_distinct, scored_text, text_key
+from .kernels import regex_bounds
 
 BUDGET = 2000
 AT = (1, 3, 5)
@@ -39,28 +48,52 @@ def with_effective_k(stats: DataFrame, budget: int = BUDGET) -> DataFrame:
     return stats.withColumn("effective_k", F.greatest(F.lit(1), k.cast("int")))
 
 
+def _asked(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, content, asked): the documents with their queries, in one row each."""
+    per_doc = queries.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "answer_spans")).alias("asked"))
+    return docs.select("doc_id", "content").join(per_doc, "doc_id")
+
+
+def _ranges(ends: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint token ranges that the character spans touch."""
+    out: list[tuple[int, int]] = []
+    seen = 0
+    for lo, hi in sorted((bisect_right(ends, a) - 1, min(bisect_left(ends, b), len(ends) - 1)) for a, b in spans):
+        if max(lo, seen) < hi:
+            out.append((max(lo, seen), hi))
+            seen = hi
+    return out
+
+
+GOLD = "gold array<struct<lo:int,hi:int>>, gold_size long"
+
+
 def gold_ranges(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, gold, gold_size): disjoint token ranges of the answer spans; bounds are found once a document.
+    """(query_id, doc_id, gold, gold_size): disjoint token ranges of the answer spans; token ends are found once a document.
 
     Queries without a document are left out, as are those whose spans touch no
     token; ``queries_without_document`` lists the former.
     """
-    needed = docs.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
-    bounds = needed.select("doc_id", token_bounds(F.col("content")).alias("bounds"))
-    rows = queries.select("query_id", "doc_id", F.explode("answer_spans").alias("s")).join(bounds, "doc_id")
-    lo = F.size(F.filter("bounds", lambda x: x <= F.col("s.a"))) - 1
-    hi = F.least(F.size(F.filter("bounds", lambda x: x < F.col("s.b"))), F.size("bounds") - 1)
-    rows = rows.select("query_id", "doc_id", lo.alias("lo"), hi.alias("hi")).where("lo < hi")
-    spans = rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    cut = F.transform(
-        "spans",
-        lambda x, i: F.struct(
-            F.greatest(x["lo"], F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda y: y["hi"])), F.lit(0))).alias("lo"), x["hi"].alias("hi")
-        ),
-    )
-    gold = F.filter(cut, lambda x: x["lo"] < x["hi"])
-    out = spans.select("query_id", "doc_id", gold.alias("gold"))
-    return out.withColumn("gold_size", total(F.transform("gold", lambda x: x["hi"] - x["lo"])))
+    rows = _asked(queries, docs)
+    types = {f.name: f.dataType for f in queries.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
+        for batch in batches:
+            found = []
+            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ends = regex_bounds(text.as_py())
+                for q in asked:
+                    gold = _ranges(ends, [(s["a"], s["b"]) for s in q["answer_spans"] or ()])
+                    if gold:
+                        found.append((q["query_id"], doc, [{"lo": lo, "hi": hi} for lo, hi in gold], sum(hi - lo for lo, hi in gold)))
+            if found:
+                kinds = [batch.schema.field(2).type.value_type.field("query_id").type, batch.schema.field(0).type, pa.list_(span), pa.int64()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "gold", "gold_size"])
+
+    schema = StructType([StructField("query_id", types["query_id"]), StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL(GOLD)])
+    return rows.mapInArrow(run, schema)
 
 
 def queries_without_document(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -72,26 +105,107 @@ def _shared(gold: Column, lo: Column, hi: Column) -> Column:
     return total(F.transform(gold, lambda g: F.greatest(F.lit(0), F.least(hi, g["hi"]) - F.greatest(lo, g["lo"]))))
 
 
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """Pairs of a query and a chunk with ``sim``, ranked within each query; ties go to the earlier chunk."""
+    order = Window.partitionBy(*KEY).orderBy(F.desc("sim"), "chunk_idx")
+    rel = F.exists("gold", lambda g: (g["lo"] < F.col("hi")) & (g["hi"] > F.col("lo")))
+    return pairs.withColumn("rank", F.row_number().over(order)).withColumn("rel", rel.cast("int"))
+
+
+#: Questions whose vectors are sent to every task; more are joined in an exchange.
+MOST_QUESTIONS = 10_000
+
+
 def rank_chunks(chunks: DataFrame, queries: DataFrame, gold: DataFrame, embedder: Embedder, profile: str = "hash_v1") -> DataFrame:
     """(config_id, query_id, doc_id, chunk_idx, lo, hi, tokens, sim, rank, rel, gold, gold_size): all chunks of the query's document.
 
-    Texts are embedded once each over the whole grid; ties go to the earlier chunk.
+    For chunks that are at hand: each distinct text is embedded once for each
+    distinct question it meets, and scored in the same pass, so no vector of a
+    chunk leaves it.  ``score_grid`` does the same without moving texts.
     """
     asked = queries.join(gold, ["query_id", "doc_id"]).select("query_id", "doc_id", text_key(profile, F.col("question")).alias("q_hash"), "gold", "gold_size")
-    own = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    keyed = own.select("config_id", "doc_id", "chunk_idx", "lo", "hi", "tokens", text_key(profile, F.col("text")).alias("text_hash"))
-    c_vec = embed_distinct(own.select("text"), embedder, profile)
-    q_vec = embed_distinct(queries.select(F.col("question").alias("text")), embedder, profile).select(
-        F.col("text_hash").alias("q_hash"), F.col("vec").alias("q_vec")
-    )
-    # Scored on distinct pairs of texts, so vectors meet once and never travel with chunks.
+    keyed = chunks.select("config_id", "doc_id", "chunk_idx", "lo", "hi", "tokens", "text", text_key(profile, F.col("text")).alias("text_hash"))
     pairs = keyed.join(asked, "doc_id")
-    scored = pairs.select("text_hash", "q_hash").distinct().join(c_vec, "text_hash").join(q_vec, "q_hash")
-    scored = scored.select("text_hash", "q_hash", F.round(cosine_udf(F.col("vec"), F.col("q_vec")), 9).alias("sim"))
-    ranked = pairs.join(scored, ["text_hash", "q_hash"]).drop("text_hash", "q_hash")
-    order = Window.partitionBy(*KEY).orderBy(F.desc("sim"), "chunk_idx")
-    rel = F.exists("gold", lambda g: (g["lo"] < F.col("hi")) & (g["hi"] > F.col("lo")))
-    return ranked.withColumn("rank", F.row_number().over(order)).withColumn("rel", rel.cast("int"))
+    vectors = embed_distinct(queries.select(F.col("question").alias("text")), embedder, profile)
+    vectors = vectors.select(F.col("text_hash").alias("q_hash"), F.col("vec").alias("q_vec"))
+    if queries.select("question").distinct().limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS:
+        vectors = F.broadcast(vectors)
+    scored = pairs.select("text_hash", "q_hash", "text").dropDuplicates(["text_hash", "q_hash"]).join(vectors, "q_hash")
+    scored = scored.select("text_hash", "q_hash", scored_text(embedder, F.col("text"), F.col("q_vec")).alias("sim"))
+    return _ranked(pairs.drop("text").join(scored, ["text_hash", "q_hash"]).drop("text_hash", "q_hash"))
+
+
+def score_grid(docs: DataFrame, queries: DataFrame, configs: list[Config], embedder: Embedder, own: Mapping[str, Kernel] | None = None, recorded: DataFrame | None = None) -> DataFrame:
+    """Chunks of every configuration without their texts, with ``sims`` (query_id, sim) for the queries of their document, and ``error``.
+
+    One Arrow pass chunks a document with the whole grid, embeds each distinct
+    chunk text and question of it once, and compares them, so neither texts nor
+    vectors are moved.  A configuration that fails on a document gives a row
+    with ``error`` there.
+    """
+    per_doc = queries.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "question")).alias("asked"))
+    rows = docs.select("doc_id", "content").join(per_doc, "doc_id", "left")
+    if recorded is not None:
+        rows = with_spans(rows, recorded)
+    rows = rows.select("doc_id", "content", "asked", *["spans"] * (recorded is not None))
+    doc_type, query_type = rows.schema["doc_id"].dataType, queries.schema["query_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, batch.schema.field(2).type.value_type.field("query_id").type]
+            out: list[tuple] = []
+            spans = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for doc, text, asked, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), spans, strict=True):
+                text = text.as_py() or ""
+                ends, asked = regex_bounds(text), asked or []
+                found: list[tuple] = []
+                for config in configs if text else ():
+                    try:
+                        own_pieces = list(pieces(config, text, ends, regex_bounds, own, [(s["a"], s["b"]) for s in known or ()]))
+                    except Exception as e:
+                        out.append((config.id, doc, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                        continue
+                    found += [(config.id, i, lo, hi, n, piece) for i, (_, _, piece, n, lo, hi) in enumerate(own_pieces)]
+                texts = list(dict.fromkeys(f[5] for f in found)) if asked else []
+                sims: dict[str, list[dict]] = {t: [] for t in texts}
+                if texts:
+                    questions = list(dict.fromkeys(q["question"] for q in asked))
+                    vectors = np.stack(list(embedder(pd.Series([*questions, *texts]))))
+                    norms = np.sqrt((vectors * vectors).sum(axis=1)) + 1e-9
+                    for q in asked:
+                        at = questions.index(q["question"])
+                        near = (vectors[len(questions) :] * vectors[at]).sum(axis=1) / (norms[len(questions) :] * norms[at])
+                        for t, x in zip(texts, near.tolist(), strict=True):
+                            sims[t].append({"query_id": q["query_id"], "sim": x})
+                out += [(c, doc, i, lo, hi, n, sims.get(piece, []), None) for c, i, lo, hi, n, piece in found]
+                if len(out) > 20_000:
+                    yield _scored_batch(out, *kinds)
+                    out = []
+            if out:
+                yield _scored_batch(out, *kinds)
+
+    sim = StructType([StructField("query_id", query_type), StructField("sim", DoubleType())])
+    n = IntegerType()
+    kinds = [StringType(), doc_type, n, n, n, n, ArrayType(sim), StringType()]
+    return rows.mapInArrow(run, StructType([StructField(c, t) for c, t in zip(SCORED, kinds, strict=True)]))
+
+
+SCORED = ["config_id", "doc_id", "chunk_idx", "lo", "hi", "tokens", "sims", "error"]
+
+
+def _scored_batch(rows: list[tuple], doc_type: pa.DataType, query_type: pa.DataType) -> pa.RecordBatch:
+    n, sim = pa.int32(), pa.struct([("query_id", query_type), ("sim", pa.float64())])
+    kinds = [pa.string(), doc_type, n, n, n, n, pa.list_(sim), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=SCORED)
+
+
+def rank_scored(scored: DataFrame, gold: DataFrame) -> DataFrame:
+    """What ``rank_chunks`` gives, from ``score_grid``."""
+    pairs = scored.select("config_id", "doc_id", "chunk_idx", "lo", "hi", "tokens", F.explode("sims").alias("s"))
+    pairs = pairs.select("config_id", "s.query_id", "doc_id", "chunk_idx", "lo", "hi", "tokens", F.round("s.sim", 9).alias("sim"))
+    return _ranked(pairs.join(gold, ["query_id", "doc_id"]))
 
 
 def per_query(ranked: DataFrame, stats: DataFrame) -> DataFrame:
@@ -147,6 +261,28 @@ def contexts(ranked: DataFrame, stats: DataFrame, chunks: DataFrame) -> DataFram
     return found.select(*KEY, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("context"))
 
 
+def answered(found: DataFrame, queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """(config_id, query_id, question, context, reference_answer, answer): what a judge scores, from ``contexts`` and recorded (config_id, query_id, answer)."""
+    asked = queries.select("query_id", "question", "reference_answer")
+    return found.join(answers.select(*KEY, "answer"), KEY).join(asked, "query_id").select(*KEY, "question", "context", "reference_answer", "answer")
+
+
+def judged_by(rows: DataFrame, judge: Callable[[Any], Any]) -> DataFrame:
+    """(config_id, query_id, faithfulness, answer_relevancy) of ``answered`` rows by a caller's scorer.
+
+    ``judge`` takes a pandas frame of (question, context, reference_answer,
+    answer) and gives one with both scores; it runs in the executors.
+    """
+
+    def run(frames: Iterator[Any]) -> Iterator[Any]:
+        for frame in frames:
+            scores = judge(frame)
+            yield frame[KEY].assign(faithfulness=scores["faithfulness"].to_numpy(), answer_relevancy=scores["answer_relevancy"].to_numpy())
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInPandas(run, f"config_id {types['config_id']}, query_id {types['query_id']}, faithfulness double, answer_relevancy double")
+
+
 def with_generation(metrics: DataFrame, judged: DataFrame) -> DataFrame:
     """``metrics`` with the means of recorded judgements (config_id, faithfulness, answer_relevancy); null where there are none."""
     means = judged.groupBy("config_id").agg(F.avg("faithfulness").alias("faithfulness"), F.avg("answer_relevancy").alias("answer_relevancy"))
@@ -174,7 +310,13 @@ def by_config(each: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFram
 
 
 def evaluate(docs: DataFrame, queries: DataFrame, chunks: DataFrame, embedder: Embedder, budget: int = BUDGET) -> DataFrame:
-    """Metrics of every configuration in ``chunks`` over ``queries``."""
+    """Metrics of every configuration in ``chunks`` over ``queries``, for chunks that are at hand."""
     stats = with_effective_k(chunk_stats(chunks), budget)
     ranked = rank_chunks(chunks, queries, gold_ranges(queries, docs), embedder)
     return by_config(per_query(ranked, stats), stats, queries)
+
+
+def evaluate_scored(docs: DataFrame, queries: DataFrame, scored: DataFrame, budget: int = BUDGET, stats: DataFrame | None = None) -> DataFrame:
+    """Metrics of every configuration in ``scored``, which ``score_grid`` gives; ``stats`` of the chunks come from it too if not at hand."""
+    stats = with_effective_k(chunk_stats(scored) if stats is None else stats, budget)
+    return by_config(per_query(rank_scored(scored, gold_ranges(queries, docs)), stats), stats, queries)

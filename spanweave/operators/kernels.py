@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
@@ -32,8 +33,13 @@ def _bpe(ranks: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def bpe_bounds(text: str, ranks: str, pattern: str) -> list[int]:
-    """Token ends as character offsets; an end within a character maps to that character's index."""
+def bpe_ids(text: str, ranks: str, pattern: str) -> list[int]:
+    """Token ids; the strings of special tokens are ordinary text."""
+    return _bpe(ranks, pattern).encode_ordinary(text)
+
+
+def bpe_bounds(text: str, ranks: str, pattern: str, misaligned: str = "snap") -> list[int]:
+    """Token ends as character offsets; an end within a character maps to that character's index, or is refused with ``error``."""
     import numpy as np
 
     encoding = _bpe(ranks, pattern)
@@ -42,6 +48,8 @@ def bpe_bounds(text: str, ranks: str, pattern: str) -> list[int]:
     ends = np.cumsum([0, *(len(encoding.decode_single_token_bytes(i)) for i in encoding.encode_ordinary(text))])
     # A boundary within a character has counted its lead byte already.
     inside = np.concatenate(((raw & 0xC0) == 0x80, [False]))
+    if misaligned == "error" and inside[ends].any():
+        raise ValueError("a token ends within a character")
     return (chars[ends] - inside[ends]).tolist()
 
 
@@ -164,3 +172,40 @@ def python_definitions(text: str) -> list[Span] | None:
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
     found = [n for n in tree.body if isinstance(n, kinds) and not n.decorator_list]
     return [(chars(n.lineno, n.col_offset), chars(n.end_lineno, n.end_col_offset)) for n in found] or None
+
+
+_THOUGHT = re.compile(r"(?is)<think>.*?</think>")
+_FENCED = re.compile(r"```(?:json)?\s*([\s\S]*?)```")
+
+
+def first_json(answer: str | None) -> str | None:
+    """The first JSON object or array of a model's answer as text; None if there is none."""
+    rest = _THOUGHT.sub("", answer or "").strip()
+    fenced = _FENCED.search(rest)
+    rest = fenced[1].strip() if fenced else rest
+    decoder = json.JSONDecoder()
+    for m in re.finditer(r"[{\[]", rest):
+        try:
+            return rest[m.start() : decoder.raw_decode(rest, m.start())[1]]
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def proposed_spans(answer: str | None) -> str:
+    """The spans that a model's answer proposes, as a JSON array of objects with a, b and t (their own text); items that are none are left out."""
+    found = first_json(answer)
+    items = json.loads(found) if found else []
+    for _ in range(2):
+        if isinstance(items, dict):
+            items = items.get("chunks", [])
+    spans = []
+    for x in items if isinstance(items, list) else ():
+        try:
+            a, b = (int(x.get(long, x.get(short, 0))) for long, short in (("start_offset", "start"), ("end_offset", "end")))
+        except (AttributeError, TypeError, ValueError, OverflowError):
+            continue
+        text = next((x[k] for k in ("text", "chunk_text", "content") if x.get(k)), "")
+        low, high = -(1 << 31), (1 << 31) - 1
+        spans.append({"a": min(max(a, low), high), "b": min(max(b, low), high), "t": text if isinstance(text, str) else ""})
+    return json.dumps(spans)

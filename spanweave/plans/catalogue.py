@@ -20,10 +20,10 @@ from ..operators import evaluate as V
 from ..operators import kernels
 from ..operators import score as S
 from ..schema import Config
-from ..sources.readers import corpus
+from ..sources.readers import corpus, is_public, read_pages
 from . import oracles as O
 from . import tuner
-from .strategies import REGISTRY
+from .strategies import REGISTRY, label_column, params_label
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,6 +156,33 @@ def _(spark, sf_dir):
     return D.transcripts(_read(spark, sf_dir, "conversations"), prefixed=True, most=2000)
 
 
+# Files and pages, from bytes and addresses made by id.
+@query("decode_text", "SELECT doc_id, md5(coalesce(text, '')) AS digest, doc_id % 2 = 0 AND regexp_full_match(coalesce(text, ''), '[\\x00-\\xFF]*') AND regexp_matches(coalesce(text, ''), '[\\x80-\\xFF]') AS latin1 FROM documents")
+def _(spark, sf_dir):
+    text = F.col("content")
+    narrow = (F.col("doc_id") % 2 == 0) & text.rlike(r"\A[\x00-\xFF]*\z")
+    raw = F.when(narrow, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    rows = corpus(spark, sf_dir).select("doc_id", raw.alias("raw"))
+    latin1 = F.try_validate_utf8(F.col("raw").cast("string")).isNull()
+    return rows.select("doc_id", F.md5(X.decoded(F.col("raw"))).alias("digest"), latin1.alias("latin1"))
+
+
+_URL_SQL = "CASE page_id % 8 WHEN 0 THEN 'http://10.0.0.' || page_id WHEN 1 THEN 'http://LOCALHOST:80/x' WHEN 2 THEN 'https://172.20.1.1/y' WHEN 3 THEN 'ftp://a.b/c' WHEN 4 THEN 'http://user@192.168.0.1/' WHEN 5 THEN 'http://[::1]:8080/' ELSE url END"
+
+
+@query("public_urls", f"SELECT page_id, page_id % 8 >= 6 AND regexp_matches(url, '^https?://') AS is_public FROM pages")
+def _(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", is_public(F.expr(_URL_SQL)).alias("is_public"))
+
+
+@query(
+    "page_documents",
+    f"SELECT url AS source_url, md5({_TRIM % _strip_sql(_ENDS % (_BLANK % (_NL % 'html')))}) AS digest, 'html' AS content_type FROM pages WHERE regexp_matches(url, '^https?://')",
+)
+def _(spark, sf_dir):
+    return read_pages(_read(spark, sf_dir, "pages")).select("source_url", F.md5("content").alias("digest"), "content_type")
+
+
 # Tokens.
 @query("token_count_regex", O.with_(O.DOCS, O.TOKENS) + "SELECT doc_id, len(tk)::INT AS n_tokens FROM t")
 def _(spark, sf_dir):
@@ -195,6 +222,19 @@ def _(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.pandas_udf(ends, "array<int>")("content").alias("bounds"))
 
 
+@query("token_count_bpe")
+def _(spark, sf_dir):
+    import pandas as pd
+
+    own = _local_bpe()
+
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(kernels.bpe_ids(t, **own)) for t in texts], dtype=int)
+
+    count.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return corpus(spark, sf_dir).select("doc_id", F.pandas_udf(count, "int")("content").alias("n_tokens"))
+
+
 @query("chunk_fixed_bpe")
 def _(spark, sf_dir):
     return C.chunk(corpus(spark, sf_dir), [Config("fixed_tokens", {"max_tokens": 128, "overlap_tokens": 16})], **_local_bpe()).drop("lo", "hi")
@@ -371,6 +411,12 @@ def _(spark, sf_dir):
     return C.violations(wrong, docs)
 
 
+@query("offset_violations_sampled", "SELECT '' AS config_id, 0::BIGINT AS doc_id, 0 AS chunk_idx, 0 AS start_offset, 0 AS end_offset WHERE false")
+def _(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return C.violations(C.sampled(C.chunk(docs, REGISTRY.configs("text")[:2])), docs)
+
+
 # Datasets.
 def _flat(queries: DataFrame) -> DataFrame:
     s = F.col("answer_spans")[0]
@@ -398,6 +444,11 @@ def _(spark, sf_dir):
     return _flat(D.anchored(corpus(spark, sf_dir), _ANCHORS))
 
 
+@query("dataset_anchor_fallback", O.with_(O.DOCS, O.TRIVIAL) + "SELECT query_id, doc_id, question, a::INT AS a, b::INT AS b, NULL::VARCHAR AS reference_answer FROM q")
+def _(spark, sf_dir):
+    return _flat(D.anchored_or_trivial(corpus(spark, sf_dir), [("none", "a phrase that no document has \u2603", "?")]))
+
+
 @query(
     "dataset_passages",
     "SELECT item_id, doc_id, (strpos(d.text, b.text) - 1)::INT AS start_offset, (strpos(d.text, b.text) - 1 + length(b.text))::INT AS end_offset FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
@@ -444,11 +495,12 @@ def _(spark, sf_dir):
     return D.accepted(*_proposals(spark, sf_dir), per_doc=5).select("doc_id", "i", "question", "a", "b")
 
 
-_HALVES_SQL = "h AS (SELECT doc_id, left(content, 300) AS a, substr(content, 101, 300) AS b FROM d)"
+_HALVES_SQL = "h AS (SELECT doc_id, left(content, length(content) // 2) AS a, substr(content, length(content) // 2 + 1) AS b FROM d)"
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("doc_id", F.left("content", F.lit(300)).alias("a"), F.substring("content", 101, 300).alias("b"))
+    half = F.floor(F.length("content") / 2).cast("int")
+    return corpus(spark, sf_dir).select("doc_id", F.left("content", half).alias("a"), F.substring("content", half + 1, F.length("content")).alias("b"))
 
 
 @query("token_f1", O.with_(O.DOCS, _HALVES_SQL) + f"SELECT doc_id, round({_f1_sql('a', 'b')}, 9) AS f1 FROM h")
@@ -504,6 +556,39 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "chunk_agentic",
+    O.with_(O.DOCS, O.TOKENS, _PARSED_SQL, "nd AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM ok))", O.separators(_FALLBACK.id, 1200, 100, C.SEPARATORS, "nd"))
+    + f"""SELECT {O.lit(_FALLBACK.id)} AS config_id, doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_idx, a::INT AS start_offset, b::INT AS end_offset FROM ok
+UNION ALL SELECT config_id, doc_id, chunk_idx, start_offset, end_offset FROM rc_chunks""",
+)
+def _(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    found = C.chunk(docs, [_FALLBACK], recorded=D.parsed_spans(_responses(spark, sf_dir), docs))
+    return found.select("config_id", "doc_id", "chunk_idx", "start_offset", "end_offset")
+
+
+@query("agentic_prompts", O.with_(O.DOCS) + "SELECT doc_id, md5(left(content, 50000)) AS digest, length(content) > 50000 AS truncated FROM d")
+def _(spark, sf_dir):
+    return D.prompts(corpus(spark, sf_dir)).select("doc_id", F.md5("prompt").alias("digest"), "truncated")
+
+
+#: A model's answers in their several shapes, by id.
+_SHAPES_SQL = """CASE doc_id % 6 WHEN 0 THEN '<think>[1]</think>Here: {"chunks": [{"start": 0, "end": 40}]}' WHEN 1 THEN '```json' || chr(10) || '[{"start_offset": 5, "end_offset": 30}]' || chr(10) || '```'
+WHEN 2 THEN '{"chunks": {"chunks": [{"start": 0, "end_offset": 25}]}}' WHEN 3 THEN 'a {b [{"start": 2, "end": 22, "chunk_text": "qq zz"}, {"start": 1, "end": 21}] rest' WHEN 4 THEN 'no answer' ELSE '[7, {"start": 0, "end": 10}]' END"""
+
+
+@query(
+    "agentic_shapes",
+    O.with_(O.DOCS, "r AS (SELECT doc_id, content, [0, 5, 0, 1, NULL, 0][doc_id % 6 + 1] AS ra, [40, 30, 25, 21, NULL, 10][doc_id % 6 + 1] AS rb FROM d)")
+    + r"SELECT doc_id, least(ra, length(content))::INT AS start_offset, least(rb, length(content))::INT AS end_offset FROM r WHERE regexp_matches(substr(content, ra + 1, rb - ra), '[^ \t\n\r]')",
+)
+def _(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    answers = docs.select("doc_id", F.expr(_SHAPES_SQL).alias("response"))
+    return D.parsed_spans(answers, docs).select("doc_id", "start_offset", "end_offset")
+
+
 @query(
     "content_type_guard_report",
     f"""WITH {_PATH_SQL}, y AS (SELECT {_TYPE_SQL} AS content_type, count(*) AS docs FROM x GROUP BY 1),
@@ -623,14 +708,25 @@ def _(spark, sf_dir):
     return spark.range(1).select(F.explode(grid).alias("c")).select("c.*", (F.col("c.grid_idx") == 0).alias("is_baseline"))
 
 
-@query(
-    "hash_embedding",
-    O.with_(O.DOCS, "s AS (SELECT content AS t FROM d)", O.vectors("s"))
-    + "SELECT doc_id, " + ", ".join(f"round(v[{i}] / (norm + 1e-9), 9) AS v{i}" for i in (1, 2, 9, 256)) + " FROM d JOIN vec ON t = content",
-)
+def _vector_query(name: str, seed: int) -> None:
+    sql = O.with_(O.DOCS, "s AS (SELECT content AS t FROM d)", O.vectors("s", seed))
+    sql += "SELECT doc_id, i::INT AS i, round(v[i] / (norm + 1e-9), 9) AS v FROM (SELECT *, unnest(range(1, 257)) AS i FROM d JOIN vec ON t = content)"
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = corpus(spark, sf_dir).select("doc_id", E.embed_column(E.hash_embedder(seed), F.col("content")).alias("v"))
+        return v.select("doc_id", F.posexplode("v").alias("i", "v")).select("doc_id", (F.col("i") + 1).alias("i"), F.round("v", 9).alias("v"))
+
+    query(name, sql)(build)
+
+
+_vector_query("hash_embedding", 0)
+_vector_query("hash_embedding_query", 1)
+
+
+@query("query_cache_keys", O.with_(O.DOCS) + "SELECT doc_id, sha256('hash_v1|query|' || content) AS query_key, sha256('hash_v1|query|' || content) <> sha256('hash_v1|' || content) AS differs FROM d")
 def _(spark, sf_dir):
-    v = corpus(spark, sf_dir).select("doc_id", E.embed_column(E.hash_embedder(0), F.col("content")).alias("v"))
-    return v.select("doc_id", *(F.round(F.col("v")[i - 1], 9).alias(f"v{i}") for i in (1, 2, 9, 256)))
+    asked, document = (E.text_key("hash_v1", F.col("content"), r) for r in ("query", "document"))
+    return corpus(spark, sf_dir).select("doc_id", asked.alias("query_key"), (asked != document).alias("differs"))
 
 
 @query("embed_distinct_texts", O.with_(*_BASE, _GRID_SQL) + "SELECT sha256('hash_v1|' || text) AS text_hash FROM (SELECT DISTINCT text FROM ch)")
@@ -638,9 +734,8 @@ def _(spark, sf_dir):
     return E.embed_distinct(_grid(spark, sf_dir)[2].select("text"), E.hash_embedder(0)).select("text_hash")
 
 
-def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = corpus(spark, sf_dir).where("doc_id % 2 = 0").select(F.col("content").alias("text"))
-    return E.embed_distinct(even, E.hash_embedder(0)).withColumn("profile", F.lit("hash_v1"))
+def _cache(docs: DataFrame) -> DataFrame:
+    return E.embed_distinct(docs.select(F.col("content").alias("text")), E.hash_embedder(0)).withColumn("profile", F.lit("hash_v1"))
 
 
 @query(
@@ -648,7 +743,9 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     O.with_(O.DOCS) + "SELECT sha256('hash_v1|' || content) AS text_hash, bool_or(doc_id % 2 = 0) AS hit FROM d GROUP BY content",
 )
 def _(spark, sf_dir):
-    hits, misses = E.split_by_cache(corpus(spark, sf_dir).select(F.col("content").alias("text")), _cache(spark, sf_dir), "hash_v1")
+    docs = corpus(spark, sf_dir)
+    # A cache that has half of the documents, so that there are hits and misses.
+    hits, misses = E.split_by_cache(docs.select(F.col("content").alias("text")), _cache(docs.where("doc_id % 2 = 0")), "hash_v1")
     return hits.select("text_hash", F.lit(True).alias("hit")).unionByName(misses.select("text_hash", F.lit(False).alias("hit")))
 
 
@@ -657,7 +754,8 @@ def _(spark, sf_dir):
     O.with_(O.DOCS) + "SELECT count(DISTINCT content) AS misses FROM d",
 )
 def _(spark, sf_dir):
-    _, misses = E.split_by_cache(corpus(spark, sf_dir).select(F.col("content").alias("text")), _cache(spark, sf_dir), "another")
+    docs = corpus(spark, sf_dir)
+    _, misses = E.split_by_cache(docs.select(F.col("content").alias("text")), _cache(docs), "another")
     return misses.agg(F.count(F.lit(1)).alias("misses"))
 
 
@@ -673,9 +771,20 @@ def _(spark, sf_dir):
     )
 
 
-@query("cache_stats", O.with_(O.DOCS) + "SELECT count(DISTINCT content) AS entries, (count(DISTINCT content) * (256 * 4 + 32))::BIGINT AS approx_bytes FROM d WHERE doc_id % 2 = 0")
+@query("cache_stats", O.with_(O.DOCS) + "SELECT count(DISTINCT content) AS entries, (count(DISTINCT content) * (256 * 4 + 32))::BIGINT AS approx_bytes FROM d")
 def _(spark, sf_dir):
-    return E.cache_stats(_cache(spark, sf_dir))
+    return E.cache_stats(_cache(corpus(spark, sf_dir)))
+
+
+@query(
+    "params_json",
+    O.with_(O.DOCS) + """SELECT doc_id, '{' || CASE WHEN doc_id % 2 = 0 THEN '"max_tokens":"64",' ELSE '' END || '"overlap":"' || doc_id % 7 || '","z":"' || doc_id || '"}' AS params FROM d""",
+)
+def _(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    pairs = F.map_from_arrays(F.array(F.lit("z"), F.lit("overlap")), F.array(i, (F.col("doc_id") % 7).cast("string")))
+    params = F.when(F.col("doc_id") % 2 == 0, F.map_concat(pairs, F.create_map(F.lit("max_tokens"), F.lit("64")))).otherwise(pairs)
+    return corpus(spark, sf_dir).select("doc_id", E.params_json(params).alias("params"))
 
 
 @query(
@@ -694,10 +803,15 @@ def _(spark, sf_dir):
 _EVAL = (*_BASE, O.evaluation(_GRID_SQL))
 
 
+def _scored(spark: SparkSession, sf_dir: str, configs: list[Config] = _GRID) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    docs = corpus(spark, sf_dir)
+    queries = D.trivial(docs)
+    return docs, queries, V.score_grid(docs, queries, configs, E.hash_embedder(0)), V.chunk_stats(C.chunk(docs, configs))
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, queries, chunks = _grid(spark, sf_dir)
-    stats = V.with_effective_k(V.chunk_stats(chunks))
-    return V.rank_chunks(chunks, queries, V.gold_ranges(queries, docs), E.hash_embedder(0)), stats, queries
+    docs, queries, scored, stats = _scored(spark, sf_dir)
+    return V.rank_scored(scored, V.gold_ranges(queries, docs)), V.with_effective_k(stats), queries
 
 
 @query("rank_chunks", O.with_(*_EVAL) + "SELECT config_id, query_id, chunk_idx, round(sim, 6) AS sim, rank::INT AS rank, rel FROM rk")
@@ -705,6 +819,13 @@ def _(spark, sf_dir):
     return _ranked(spark, sf_dir)[0].select("config_id", "query_id", "chunk_idx", F.round("sim", 6).alias("sim"), "rank", "rel")
 
 
+@query("rank_given_chunks", O.with_(*_EVAL) + "SELECT config_id, query_id, chunk_idx, round(sim, 6) AS sim, rank::INT AS rank, rel FROM rk")
+def _(spark, sf_dir):
+    docs, queries, chunks = _grid(spark, sf_dir)
+    ranked = V.rank_chunks(chunks, queries, V.gold_ranges(queries, docs), E.hash_embedder(0))
+    return ranked.select("config_id", "query_id", "chunk_idx", F.round("sim", 6).alias("sim"), "rank", "rel")
+
+
 @query("topk_effective", O.with_(*_EVAL) + "SELECT config_id, query_id, chunk_idx, rank::INT AS rank, ek AS effective_k FROM tp")
 def _(spark, sf_dir):
     ranked, stats, _ = _ranked(spark, sf_dir)
@@ -732,8 +853,8 @@ _ALL = (*O.MEANS, "avg_tokens_per_query", "avg_chunk_length", "chunk_length_std"
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries, chunks = _grid(spark, sf_dir)
-    return V.evaluate(docs, queries, chunks.persist(), E.hash_embedder(0))
+    docs, queries, scored, stats = _scored(spark, sf_dir)
+    return V.evaluate_scored(docs, queries, scored, stats=stats)
 
 
 @query("metrics_by_config", O.with_(*_EVAL) + f"SELECT config_id, {O.rounded(_ALL)}, effective_k, total_embedding_tokens FROM al")
@@ -798,7 +919,59 @@ def _(spark, sf_dir):
 
 @query("recommend_full_grid")
 def _(spark, sf_dir):
-    return tuner.recommend(corpus(spark, sf_dir), _FULL).orderBy("rank")
+    return tuner.recommend(corpus(spark, sf_dir), _FULL).drop("scoring_ms").orderBy("rank")
+
+
+#: The full grid but for the strategy that SQL can't express.
+_IN_SQL = [c for c in _FULL if c.strategy != "semantic"]
+_SIZES = {c.id: (1200, 100) if c.strategy == "agentic" else (int(c.params["chunk_size_chars"]), int(c.params["chunk_overlap_chars"])) for c in _IN_SQL if c.strategy in ("recursive_character", "agentic")}
+_IN_SQL_CHUNKS = ", ".join(
+    [
+        O.fixed(O.window(c) for c in _IN_SQL if c.strategy in C.WINDOWED),
+        *(O.separators(i, size, lap, C.SEPARATORS, name=f"rc{n}") for n, (i, (size, lap)) in enumerate(_SIZES.items())),
+        "ra_ AS (" + " UNION ALL ".join(f"SELECT * FROM rc{n}_chunks" for n in range(len(_SIZES))) + ")",
+        f"rt AS ({O.TOUCHED.format(tok=O.TOKEN, chunks='ra_')}), ch AS (SELECT * FROM fixed_chunks UNION ALL SELECT * FROM rt)",
+    ]
+)
+_IN_SQL_ORDER = "CASE config_id " + " ".join(f"WHEN {O.lit(c.id)} THEN {i}" for i, c in enumerate(_IN_SQL)) + " END"
+
+
+@query(
+    "recommend_sql_grid",
+    O.with_(*_BASE, O.evaluation(_IN_SQL_CHUNKS))
+    + f"""SELECT config_id, {O.rounded(_ALL)}, effective_k, total_embedding_tokens, round(score, 6) AS score,
+row_number() OVER (ORDER BY score DESC, {_IN_SQL_ORDER})::INT AS rank FROM (SELECT *, round({O.score(S.PROFILES['rag_qa'])}, 9) AS score FROM al)""",
+)
+def _(spark, sf_dir):
+    m = tuner.recommend(corpus(spark, sf_dir), _IN_SQL)
+    return m.select("config_id", *(F.round(F.col(x).cast("double"), 6).alias(x) for x in _ALL), "effective_k", "total_embedding_tokens", F.round("score", 6).alias("score"), "rank")
+
+
+@query("list_strategies", "SELECT * FROM (VALUES " + ", ".join(
+    f"({O.lit(n)}, {O.lit(REGISTRY.get(n).says)}, {list(REGISTRY.get(n).types)!r}, {len(REGISTRY.get(n).params)}, {len(REGISTRY.get(n).grid)})" for n in REGISTRY.names()
+) + ") v(strategy, description, content_types, n_params, grid_points)")
+def _(spark, sf_dir):
+    n = F.size(F.json_object_keys("params_schema")).alias("n_params")
+    return REGISTRY.table(spark).select("strategy", "description", "content_types", n, "grid_points")
+
+
+@query("config_labels", f"SELECT config_id, label FROM (VALUES {', '.join(f'({O.lit(c.id)}, {O.lit(params_label(c))})' for c in _FULL)}) v(config_id, label)")
+def _(spark, sf_dir):
+    ids = spark.range(1).select(F.explode(F.array(*(F.lit(c.id) for c in _FULL))).alias("config_id"))
+    return ids.select("config_id", label_column(_FULL).alias("label"))
+
+
+@query(
+    "run_summary",
+    O.with_(*_EVAL, _RANKING)
+    + f"""SELECT documents, queries, configs, 0::BIGINT AS failed, best_config, round(best, 6) AS best, round(base, 6) AS base, round(best - base, 6) AS delta FROM
+(SELECT count(*) AS configs, max(score) FILTER (rank = 1) AS best, max(config_id) FILTER (rank = 1) AS best_config, max(score) FILTER (config_id = {O.lit(_GRID[0].id)}) AS base FROM ra),
+(SELECT count(*) AS documents FROM d), (SELECT count(*) AS queries FROM q)""",
+)
+def _(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    r = tuner.summary(tuner.recommend(docs, _GRID), docs, D.trivial(docs))
+    return r.select("documents", "queries", "configs", "failed", "best_config", *(F.round(c, 6).alias(c) for c in ("best", "base", "delta")))
 
 
 @query(
@@ -852,10 +1025,25 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs, queries, chunks = _grid(spark, sf_dir)
     stats = V.with_effective_k(V.chunk_stats(chunks))
-    ranked = V.rank_chunks(chunks, queries, V.gold_ranges(queries, docs), E.hash_embedder(0))
+    ranked = _ranked(spark, sf_dir)[0]
     return V.contexts(ranked, stats, chunks).select("config_id", "query_id", F.md5("context").alias("digest"))
 
 
+@query(
+    "answers_to_judge",
+    O.with_(*_EVAL)
+    + "SELECT config_id, query_id, q.question, md5(string_agg(ct, chr(10) || chr(10) ORDER BY rank)) AS digest, 'answer ' || q.doc_id AS answer FROM tp JOIN q USING (query_id) WHERE q.doc_id % 3 = 0 GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    docs, queries, chunks = _grid(spark, sf_dir)
+    ranked, stats, _ = _ranked(spark, sf_dir)
+    some = F.array(*(F.lit(c.id) for c in _GRID))
+    # Recorded answers to a third of the questions.
+    answers = queries.where("doc_id % 3 = 0").select(F.explode(some).alias("config_id"), "query_id", F.concat(F.lit("answer "), "doc_id").alias("answer"))
+    rows = V.answered(V.contexts(ranked, stats, chunks), queries, answers)
+    return rows.select("config_id", "query_id", "question", F.md5("context").alias("digest"), "answer")
+
+
 @query(
     "generation_means",
     O.with_(*_BASE, _GRID_SQL)

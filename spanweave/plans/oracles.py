@@ -33,7 +33,7 @@ fixed_chunks AS (SELECT config_id, doc_id, (row_number() OVER (PARTITION BY conf
   array_to_string(tk[lo + 1:least(n, lo + most)], '') AS text, (least(n, lo + most) - lo)::INT AS tokens, lo::INT AS lo, least(n, lo + most)::INT AS hi FROM fx)"""
 
 
-def separators(config_id: str, size: int, overlap: int, seps: list[str], source: str = "d") -> str:
+def separators(config_id: str, size: int, overlap: int, seps: list[str], source: str = "d", name: str = "rc") -> str:
     """A recursive scan; each step finds the end of one window."""
 
     def chars(s: str) -> str:
@@ -44,10 +44,10 @@ def separators(config_id: str, size: int, overlap: int, seps: list[str], source:
     step = f"""SELECT doc_id, a, CASE WHEN a + {size} < n AND cut - a <= {overlap} THEN a + {size} ELSE cut END AS b, n FROM
   (SELECT *, {cut} AS cut FROM (SELECT doc_id, a, n, substr(content, a + 1, {size}) AS w FROM (%s)))"""
     first = f"SELECT doc_id, content, 0 AS a, length(content) AS n FROM {source} WHERE content <> ''"
-    later = f"SELECT rc.doc_id, content, greatest(rc.a + 1, rc.b - {overlap}) AS a, n FROM rc JOIN {source} ON rc.doc_id = {source}.doc_id WHERE rc.b < n"
-    return f"""rc(doc_id, a, b, n) AS ({step % first} UNION ALL {step % later}),
-rc_chunks AS (SELECT {lit(config_id)} AS config_id, rc.doc_id, (row_number() OVER (PARTITION BY rc.doc_id ORDER BY a) - 1)::INT AS chunk_idx,
-  a::INT AS start_offset, b::INT AS end_offset, substr(content, a + 1, b - a) AS text FROM rc JOIN {source} ON rc.doc_id = {source}.doc_id)"""
+    later = f"SELECT {name}.doc_id, content, greatest({name}.a + 1, {name}.b - {overlap}) AS a, n FROM {name} JOIN {source} ON {name}.doc_id = {source}.doc_id WHERE {name}.b < n"
+    return f"""{name}(doc_id, a, b, n) AS ({step % first} UNION ALL {step % later}),
+{name}_chunks AS (SELECT {lit(config_id)} AS config_id, {name}.doc_id, (row_number() OVER (PARTITION BY {name}.doc_id ORDER BY a) - 1)::INT AS chunk_idx,
+  a::INT AS start_offset, b::INT AS end_offset, substr(content, a + 1, b - a) AS text FROM {name} JOIN {source} ON {name}.doc_id = {source}.doc_id)"""
 
 
 TOUCHED = """SELECT c.config_id, c.doc_id, c.chunk_idx, c.start_offset, c.end_offset, c.text, len(regexp_extract_all(c.text, '{tok}'))::INT AS tokens,
@@ -56,11 +56,11 @@ TOUCHED = """SELECT c.config_id, c.doc_id, c.chunk_idx, c.start_offset, c.end_of
 CHUNK_COLUMNS = "config_id, doc_id, chunk_idx, start_offset, end_offset, text, tokens"
 
 
-def vectors(source: str) -> str:
+def vectors(source: str, seed: int = 0) -> str:
     """(t, norm, v): the 256 numbers of each distinct text, before scaling."""
     number = "('0x' || substr(h, j*8+7, 2) || substr(h, j*8+5, 2) || substr(h, j*8+3, 2) || substr(h, j*8+1, 2))::UBIGINT / 4294967296.0"
     return f"""tx AS (SELECT DISTINCT t FROM {source}),
-hx(t, k, h) AS (SELECT t, 0, sha256('0:' || t) FROM tx UNION ALL SELECT t, k + 1, sha256(unhex(h)) FROM hx WHERE k < 31),
+hx(t, k, h) AS (SELECT t, 0, sha256('{seed}:' || t) FROM tx UNION ALL SELECT t, k + 1, sha256(unhex(h)) FROM hx WHERE k < 31),
 vec AS (SELECT t, sqrt(sum(x * x)) AS norm, list(x ORDER BY k, j) AS v FROM (SELECT t, k, j, {number} AS x FROM hx, range(8) r(j)) GROUP BY t)"""
 
 

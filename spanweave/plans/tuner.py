@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import time
+from typing import Any
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import HEADING, content_type, token_count, trim_ends
 from ..operators.chunkers import chunk
 from ..operators.datasets import trivial
 from ..operators.embed import Embedder, hash_embedder
-from ..operators.evaluate import evaluate
-from ..operators.score import ranked, weights_for
-from ..schema import Config
+from ..operators.evaluate import evaluate_scored, score_grid
+from ..operators.score import against_baseline, ranked, weights_for
+from ..schema import TYPES, Config
 from .strategies import REGISTRY
 
 #: Dollars for a million tokens, and tokens a minute, where no price list is at hand.
@@ -19,6 +24,23 @@ EMBED_PRICE, ASK_PRICE, PER_MINUTE = 0.02, 0.15, 200_000
 PREVIEW_CHARS = 500_000
 
 
+def guarded(docs: DataFrame, configs: list[Config]) -> DataFrame:
+    """``docs`` that fail when read if the type of one is no type of some configuration's strategy; a missing type counts as text."""
+    fits = [set(REGISTRY.get(c.strategy).types) for c in configs]
+    common = sorted(set(TYPES).intersection(*fits))
+    kind = F.coalesce("content_type", F.lit("text"))
+    names = ", ".join(sorted({c.strategy for c in configs}))
+    wrong = F.raise_error(F.concat(F.lit(f"not all of {names} take content of type "), kind))
+    return docs.withColumn("content", F.when(kind.isin(common), F.col("content")).otherwise(wrong.cast("string")))
+
+
+def chunked(docs: DataFrame, configs: list[Config], **how: Any) -> DataFrame:
+    """Chunks for checked configurations, with the kernels of registered strategies and, if ``docs`` has types, their guard."""
+    for c in configs:
+        REGISTRY.check(c)
+    return chunk(guarded(docs, configs) if "content_type" in docs.columns else docs, configs, own=REGISTRY.kernels(), **how)
+
+
 def recommend(
     docs: DataFrame,
     configs: list[Config],
@@ -27,24 +49,45 @@ def recommend(
     weights: dict[str, float] | None = None,
     embedder: Embedder | None = None,
     budget: int = 2000,
+    recorded: DataFrame | None = None,
 ) -> DataFrame:
     """Every configuration with its metrics, score and rank; the first one is the baseline.
 
-    The corpus is chunked once for the whole grid, and chunks are persisted
-    since sizes and ranking both read them.
+    The corpus is chunked, embedded and scored once for the whole grid; what is
+    kept of it meanwhile, to be read twice, has neither texts nor vectors.  The
+    result has a row for each configuration, so it is computed here.  A
+    configuration that failed on some document has ``error`` and no rank; if all
+    failed, the first error is raised.  ``scoring_ms`` is the time that chunking
+    and embedding took for the whole grid.
     """
     for c in configs:
         REGISTRY.check(c)
+    docs = guarded(docs, configs) if "content_type" in docs.columns else docs
     queries = trivial(docs) if queries is None else queries
-    chunks = chunk(docs, configs).persist()
-    metrics = evaluate(docs, queries, chunks, embedder or hash_embedder(0), budget)
-    return ranked(metrics, [c.id for c in configs], weights_for(use_case, weights), configs[0].id)
+    spark = docs.sparkSession
+    scored = score_grid(docs, queries, configs, embedder or hash_embedder(0), REGISTRY.kernels(), recorded).persist(StorageLevel.DISK_ONLY)
+    try:
+        start = time.perf_counter()
+        failed = {r["config_id"]: r["error"] for r in scored.where("error IS NOT NULL").groupBy("config_id").agg(F.min("error").alias("error")).collect()}
+        spent = round((time.perf_counter() - start) * 1000, 1)
+        if configs and len(failed) == len({c.id for c in configs}):
+            raise RuntimeError(f"all configurations failed, the first with {failed[configs[0].id]}")
+        good = scored.where(~F.col("config_id").isin(list(failed))) if failed else scored
+        metrics = evaluate_scored(docs, queries, good, budget)
+        ranking = ranked(metrics, [c.id for c in configs], weights_for(use_case, weights), configs[0].id)
+        ranking = ranking.withColumn("error", F.lit(None).cast("string")).withColumn("scoring_ms", F.lit(spent))
+        empty = dict.fromkeys(ranking.columns)
+        rows = [tuple(r) for r in ranking.collect()]
+        rows += [tuple((empty | {"config_id": c, "is_best": False, "is_baseline": c == configs[0].id, "error": e, "scoring_ms": spent}).values()) for c, e in failed.items()]
+        return spark.createDataFrame(rows, StructType([StructField(f.name, f.dataType) for f in ranking.schema]))
+    finally:
+        scored.unpersist()
 
 
 def recommend_mixed(docs: DataFrame, names: list[str] | None = None, use_case: str = "rag_qa") -> dict[str, DataFrame]:
-    """A ranking for each content type in ``docs``; the types are one of a fixed few."""
-    found = sorted(r[0] for r in docs.select("content_type").distinct().collect())
-    return {t: recommend(docs.where(F.col("content_type") == t), REGISTRY.configs(t, names), use_case=use_case) for t in found}
+    """A ranking for each content type in ``docs``, of those that there are; others have no strategies."""
+    found = {r[0] for r in docs.where(F.col("content_type").isin(list(TYPES))).select("content_type").distinct().collect()}
+    return {t: recommend(docs.where(F.col("content_type") == t), REGISTRY.configs(t, names), use_case=use_case) for t in sorted(found)}
 
 
 def compare(docs: DataFrame, names: list[str], queries: DataFrame | None = None) -> DataFrame:
@@ -52,12 +95,19 @@ def compare(docs: DataFrame, names: list[str], queries: DataFrame | None = None)
     return recommend(docs, [Config(n, REGISTRY.get(n).grid[0]) for n in names], queries)
 
 
+def summary(ranking: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: documents, queries, configurations, failed ones, the best one with its score, and what it gains on the baseline."""
+    counts = ranking.agg(F.count(F.lit(1)).alias("configs"), F.count("error").alias("failed"), F.max(F.when(F.col("is_best"), F.col("config_id"))).alias("best_config"))
+    sizes = docs.agg(F.count(F.lit(1)).alias("documents")).crossJoin(queries.agg(F.count(F.lit(1)).alias("queries")))
+    return sizes.crossJoin(counts).crossJoin(against_baseline(ranking))
+
+
 def preview(spark: SparkSession, text: str, config: Config, most: int = PREVIEW_CHARS) -> DataFrame:
     """Chunks of one text, their texts shortened to 120 characters."""
     if len(text) > most:
         raise ValueError(f"a preview takes at most {most} characters")
     docs = spark.createDataFrame([("preview", text)], "doc_id string, content string")
-    return shortened(chunk(docs, [REGISTRY.check(config)]))
+    return shortened(chunked(docs, [config]))
 
 
 def shortened(chunks: DataFrame, most: int = 120) -> DataFrame:

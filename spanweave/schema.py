@@ -23,6 +23,10 @@ class Config:
     strategy: str
     params: dict[str, Any] = field(default_factory=dict, hash=False)
 
+    @property
+    def params_json(self) -> str:
+        return json.dumps(self.params, sort_keys=True, separators=(",", ":"))
+
     @property
     def id(self) -> str:
-        return f"{self.strategy}:{json.dumps(self.params, sort_keys=True, separators=(',', ':'))}"
+        return f"{self.strategy}:{self.params_json}"

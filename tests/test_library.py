@@ -32,10 +32,23 @@ def test_every_text_strategy_keeps_its_offsets(spark, corpus):
     assert chunks.where("lo >= hi").count() == 0
 
 
-def test_native_windows_equal_the_kernel(spark, corpus):
-    some = [Config("fixed_tokens", {"max_tokens": m, "overlap_tokens": o}) for m, o in ((4, 0), (5, 2), (1, 9))]
-    native, kernel = C.fixed_windows(corpus, some), C.by_kernel(corpus, some)
-    assert native.exceptAll(kernel).count() == kernel.exceptAll(native).count() == 0
+def test_windows_equal_slices_of_the_tokens(spark, corpus):
+    import re
+
+    some = {(m, o): Config("fixed_tokens", {"max_tokens": m, "overlap_tokens": o}) for m, o in ((4, 0), (5, 2), (1, 9))}
+    got = {(r.config_id, r.doc_id, r.chunk_idx): (r.text, r.tokens, r.lo, r.hi) for r in C.by_kernel(corpus, list(some.values())).collect()}
+    want = {}
+    for r in corpus.collect():
+        tokens = re.findall(r"[^ \t\n\r]+[ \t\n\r]*|[ \t\n\r]+", r.content)
+        for (most, overlap), c in some.items():
+            at = i = 0
+            while tokens:
+                hi = min(len(tokens), at + most)
+                want[c.id, r.doc_id, i] = ("".join(tokens[at:hi]), hi - at, at, hi)
+                if hi == len(tokens):
+                    break
+                at, i = at + most - min(overlap, most - 1), i + 1
+    assert got == want
 
 
 def test_partitioning_changes_nothing(spark, corpus):
