@@ -160,7 +160,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     schema = f"name string, queries array<{_QUERY}>"
     if path.rsplit(".", 1)[-1].lower() in ("yaml", "yml"):
         # One file that a person wrote, so it is read whole and handed on as JSON.
-        text = spark.read.option("wholetext", "true").text(path).first()[0]
+        text = spark.read.text(path, wholetext=True).first()[0]
         rows = spark.createDataFrame([(json.dumps(parse_yaml(text) or {}, default=str),)], "text string").select(F.from_json("text", schema).alias("f")).select("f.*")
     else:
         rows = spark.read.schema(schema).option("multiLine", "true").json(path)
