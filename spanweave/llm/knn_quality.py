@@ -14,7 +14,8 @@ whatever the corpus.  Every document is scored, whole.
 Defined results: a null or empty text has no features and gets the score of an
 even vote of its (zero) similarities, that is the prior of one half times two
 classes, 0.5; without labelled rows of both classes every score is 0.5; repeated
-rows get equal scores; an empty table gives an empty result.  Labels are null or
+rows get equal scores; neighbours tied with the last one vote too; a null id is
+never a training row; an empty table gives an empty result.  Labels are null or
 0/1; null ones are left out.  Of the inputs only the named columns are read.
 """
 
@@ -124,15 +125,20 @@ def fit_model(texts: list[str], labels: list[int], fit: Fit) -> Model | None:
 
 
 def vote(model: Model, rows: np.ndarray) -> np.ndarray:
-    """Scores of a block of feature rows."""
+    """Scores of a block of feature rows.
+
+    Cosines count to four places, so equal texts score alike in any block, and
+    all neighbours as near as the last one vote.
+    """
     vectors = (rows * model.idf) @ model.basis
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    cosine = vectors @ model.vectors.T
+    cosine = np.round((vectors @ model.vectors.T).astype(np.float64), 4)
     k = min(model.fit.neighbours, cosine.shape[1])
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    sim = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** 4 * model.weights[near]
-    good = (sim * model.labels[near]).sum(axis=1)
-    total = sim.sum(axis=1)
+    last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k][:, None]
+    at, near = np.nonzero(cosine >= last)
+    weight = np.maximum(cosine[at, near], 0.0) ** 4 * model.weights[near]
+    good = np.bincount(at, weight * model.labels[near], len(rows))
+    total = np.bincount(at, weight, len(rows))
     return np.where(total > 1e-12, good / np.maximum(total, 1e-12), 0.5)
 
 
@@ -147,7 +153,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: str, fit: Fit = Fit()) ->
     found = docs.select("doc_id", text_of().alias("text")).join(few, "doc_id")
     rows, size = [], 0
     for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * fit.sample).toLocalIterator():
-        size += len(row["text"])
+        size += len(row["text"].encode())
         if size > fit.sample_bytes:
             break
         rows.append((row["text"], row["y"]))

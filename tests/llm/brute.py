@@ -225,3 +225,18 @@ def main_text(page, share):
     for r in kept:
         out[r[2]] = out.get(r[2], "") + r[1]
     return " ".join(x for x in (" ".join(t.split()) for t in out.values()) if x)
+
+
+def vote(model, row):
+    """One text's features against every labelled vector, sorted by nearness."""
+    import math
+
+    if not any(row):
+        return 0.5
+    own = [sum(float(x) for x in (row * model.idf) * model.basis[:, k]) for k in range(model.basis.shape[1])]
+    norm = math.sqrt(sum(x * x for x in own))
+    near = [round(sum(a * float(b) for a, b in zip(own, v)) / norm, 4) for v in model.vectors]
+    last = sorted(near, reverse=True)[:15][-1]
+    votes = [(max(x, 0) ** 4 * w, y) for x, w, y in zip(near, model.weights, model.labels) if x >= last]
+    total = sum(v for v, _ in votes)
+    return sum(v for v, y in votes if y) / total if total > 1e-12 else 0.5

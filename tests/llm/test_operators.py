@@ -591,3 +591,21 @@ def test_suffixes_are_sorted_with_a_difference_cover():
         where = np.arange(len(raw) - 100)
         order, _ = suffix_dedup.suffix_order(text, where, where // 1000, 100)
         assert [(i // 1000, raw[i : i + 100]) for i in order] == sorted((i // 1000, raw[i : i + 100]) for i in where)
+
+
+def test_votes_of_tied_neighbours_and_odd_rows(spark, odd):
+    import numpy as np
+
+    fit = knn_quality.Fit(neighbours=2, rank=4)
+    texts = ["one two three"] * 4 + ["four five six!"] * 3
+    model = knn_quality.fit_model(texts, [1, 1, 0, 0, 0, 0, 0], fit)
+    row = knn_quality.features("one two three", fit.buckets)[None]
+    # All four equal texts vote, though two neighbours are asked for; each class weighs a half in all.
+    want = (2 * 0.5 / (2 / 7)) / (2 * 0.5 / (2 / 7) + 2 * 0.5 / (5 / 7))
+    assert abs(knn_quality.vote(model, row)[0] - want) < 1e-6
+    many = np.repeat(row, 700, axis=0)
+    assert len(set(knn_quality.vote(model, many).tolist())) == 1
+    got = knn_quality.score_documents(odd, model, "score").collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got) and got[0].asDict().keys() == dict.fromkeys(odd.columns).keys()
+    kept = knn_quality.keep_good(odd, model, 0.0)
+    assert kept.columns == odd.columns and kept.count() == 6
