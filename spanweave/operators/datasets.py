@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import token_f1
 from . import kernels
-from .embed import SENT
+from .embed import by_slices, slices_of
 
 FIELDS = ["query_id", "doc_id", "question", "answer_spans", "reference_answer"]
 
@@ -149,32 +148,25 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, most: int = 100_000) -> Dat
     """
     spark = docs.sparkSession
     known = phrases.select("item_id", "phrase").where("phrase IS NOT NULL").dropDuplicates(["item_id", "phrase"])
-    held = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("bytes")).first()
-    slices = max(1, -(-held["n"] // most), -(-held["bytes"] // SENT))
     item_type, doc_type = phrases.schema["item_id"].dataType, docs.schema["doc_id"].dataType
     schema = StructType([StructField("item_id", item_type), StructField("doc_id", doc_type), StructField("start_offset", IntegerType()), StructField("end_offset", IntegerType())])
     texts = docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
-    found = []
-    for k in range(slices):
-        some = known.where(F.pmod(F.xxhash64("item_id", "phrase"), F.lit(slices)) == k).collect()
-        index = spark.sparkContext.broadcast([(r["item_id"], r["phrase"]) for r in some])
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = PhraseIndex(index.value)
-            kind = to_arrow_type(item_type)
+
+    def searched(some: list[Row]) -> tuple[DataFrame, Any]:
+        sent = spark.sparkContext.broadcast([(r["item_id"], r["phrase"]) for r in some])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, kind = PhraseIndex(sent.value), to_arrow_type(item_type)
             for batch in batches:
-                rows = [(item, doc, a, b) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for item, a, b in own.first_hits(text.as_py())]
+                rows = [(item, doc, a, b) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for item, a, b in index.first_hits(text.as_py())]
                 if rows:
                     kinds = [kind, batch.schema.field(0).type, pa.int32(), pa.int32()]
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=["item_id", "doc_id", "start_offset", "end_offset"])
 
-        hits = texts.mapInArrow(run, schema)
-        if slices > 1 and spark.sparkContext.getCheckpointDir():
-            hits = hits.checkpoint()
-            index.destroy()
-        found.append(hits)
-    return reduce(DataFrame.union, found)
+        return texts.mapInArrow(run, schema), sent
+
+    return by_slices(known, ["item_id", "phrase"], slices_of(known, F.octet_length("phrase"), most), searched)
 
 
 def first_functions(docs: DataFrame, most: int | None = 40) -> DataFrame:

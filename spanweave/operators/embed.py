@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..schema import Config
 
@@ -191,15 +194,6 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    norm = lambda v: F.sqrt(dot(v, v)) + F.lit(1e-9)
-    return dot(a, b) / (norm(a) * norm(b))
-
-
 def scored_text(embedder: Embedder, text: Column, vector: Column) -> Column:
     """Cosine of the text's vector and ``vector``, in the pass that embeds."""
 
@@ -214,40 +208,88 @@ def scored_text(embedder: Embedder, text: Column, vector: Column) -> Column:
     return F.round(F.pandas_udf(run, "double")(text, vector), 9)
 
 
-#: Parts that rows are dealt into where what they meet is too large to be sent to every task.
-PARTS = 64
-
-
 #: Bytes of rows that are sent to every task at once.
 SENT = 32_000_000
+#: Cosines that one block of vectors makes with the queries.
+PAIRS = 4_000_000
 
 
-def each_with(rows: DataFrame, row_id: str, asked: DataFrame, asked_id: str, most: int, size: Column) -> DataFrame:
-    """Every row of ``rows`` with every one of a stated set ``asked``, which is sent to every task if it is small.
-
-    Small is at most ``most`` rows and ``SENT`` bytes, a row having ``size``.  A
-    larger one is cut into slices about so small; each meets each part of
-    ``rows`` in an exchange.
-    """
+def slices_of(asked: DataFrame, size: Column, most: int) -> int:
+    """Parts of a stated set ``asked`` that have at most about ``most`` rows and ``SENT`` bytes each, a row having ``size``."""
     held = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    slices = max(-(-held["n"] // most), -(-int(held["bytes"]) // SENT))
-    if slices <= 1:
-        return rows.join(F.broadcast(asked))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("_part", deal(row_id, PARTS)).withColumn("_slice", every(slices))
-    right = asked.withColumn("_slice", deal(asked_id, slices)).withColumn("_part", every(PARTS))
-    return left.join(right, ["_slice", "_part"]).drop("_slice", "_part")
+    return max(1, -(-held["n"] // most), -(-int(held["bytes"]) // SENT))
+
+
+def by_slices(asked: DataFrame, keys: list[str], slices: int, build: Callable[[list[Row]], tuple[DataFrame, Any]]) -> DataFrame:
+    """The results of ``build`` for each slice of ``asked``; with several, each is cut off by a checkpoint, and what it sent is let go."""
+    spark, found = asked.sparkSession, []
+    for k in range(slices):
+        rows, sent = build(asked.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == k).collect())
+        if slices > 1 and spark.sparkContext.getCheckpointDir():
+            rows = rows.checkpoint()
+            sent.destroy()
+        found.append(rows)
+    return reduce(DataFrame.union, found)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / (np.sqrt((rows * rows).sum(axis=1)) + 1e-9)[:, None]
+
+
+def _best(query: np.ndarray, sim: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each query, ties by the smaller id."""
+    order = np.lexsort((ident, -sim, query))
+    sorted_query = query[order]
+    first = np.searchsorted(sorted_query, sorted_query)
+    return order[np.arange(len(order)) - first < k]
 
 
 def nearest_by_query(vectors: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """The ``k`` nearest of ``vectors`` (vec_id, embedding) for each of a stated set of ``queries`` (query_id, query).
+    """The ``k`` nearest of ``vectors`` (vec_id, embedding) for each of a stated set of ``queries`` (query_id, query), ties by the smaller id.
 
-    The query set is sent to every task if it is small, else it goes by slices.
+    The queries are sent to every task, in slices if they are many.  Each task
+    compares its vectors with all of them, block by block, and keeps ``k`` for
+    each query, so what is ranked at the end doesn't grow with the vectors but
+    with the tasks.  Null vectors are left out.
     """
     from pyspark.sql.window import Window
 
-    rows = each_with(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", queries, "query_id", most, F.size("query") * 8)
-    rows = rows.select("query_id", "vec_id", F.round(cosine(F.col("v"), F.col("query")), 9).alias("sim"))
+    spark = vectors.sparkSession
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).where("query IS NOT NULL")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    query_type, vector_type = asked.schema["query_id"].dataType, rows.schema["vec_id"].dataType
+    schema = StructType([StructField("query_id", query_type), StructField("vec_id", vector_type), StructField("sim", DoubleType())])
+
+    def compared(some: list[Row]) -> tuple[DataFrame, Any]:
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in some], np.array([r["query"] for r in some])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
+            if not ids:
+                return
+            unit = _unit(matrix)
+            query, sim, ident = np.zeros(0, dtype=np.int64), np.zeros(0), None
+            step = max(1, PAIRS // len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    own = part.column(0).to_numpy(zero_copy_only=False)
+                    values = part.column(1)
+                    cosine = np.round(_unit(values.flatten().to_numpy().reshape(part.num_rows, -1)) @ unit.T, 9)
+                    low = np.partition(cosine, max(0, len(own) - k), axis=0)[max(0, len(own) - k)]
+                    r, q = np.nonzero(cosine >= low)
+                    query, sim = np.concatenate([query, q]), np.concatenate([sim, cosine[r, q]])
+                    ident = own[r] if ident is None else np.concatenate([ident, own[r]])
+                    if len(query) > 4 * k * len(ids):
+                        keep = _best(query, sim, ident, k)
+                        query, sim, ident = query[keep], sim[keep], ident[keep]
+            if len(query):
+                keep = _best(query, sim, ident, k)
+                columns = [pa.array([ids[i] for i in query[keep]], to_arrow_type(query_type)), pa.array(ident[keep], to_arrow_type(vector_type)), pa.array(sim[keep])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "sim"])
+
+        return rows.mapInArrow(run, schema), sent
+
+    best = by_slices(asked, ["query_id"], slices_of(asked, F.size("query") * 8, most), compared)
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("sim", F.round("sim", 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
