@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan
+from . import html_text, quality_rules, secret_scan
 
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t, source AS host FROM documents)"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -68,4 +68,36 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in se
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 
-SQL: dict[str, str] = {"op1_quality_rules": _quality(), "op4_secret_scan": _secrets(), "op5_line_dedup": _lines()}
+def _repeats(length: int = 100) -> str:
+    """Every string of ``length`` bytes, as twice as many hexadecimal digits, against all others."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * length}) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS i FROM d)),
+g AS (SELECT doc_id, i AS a, i + {length} AS b FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
+t AS (SELECT doc_id, a, b, sum((before IS NULL OR before < a)::INT) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM m),
+r AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM t GROUP BY doc_id, run),
+p AS (SELECT r.*, h, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS behind FROM r JOIN d ON d.doc_id = r.doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, (2 * behind + 1)::BIGINT, (2 * (a - behind))::BIGINT), '' ORDER BY a) AS head, max(b) AS stop, count(*) AS n, sum(b - a) AS gone FROM p GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(stop, 0) + 1)::BIGINT))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+def _pages() -> str:
+    """The one article element of each page of these tables, cut at block tags; SQL has no general reader of HTML."""
+    tags = "|".join(sorted(html_text.BLOCK))
+    text = "regexp_replace(x, '<[^>]*>', '', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{char}', 'g')"
+    return f"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:{tags})(?:\\s[^>]*)?>'), lambda x: trim(regexp_replace({text}, '[ \\t\\r\\n\\f]+', ' ', 'g'))) AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), ' ') AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c"""
+
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": _quality(),
+    "op4_secret_scan": _secrets(),
+    "op5_line_dedup": _lines(),
+    "op8_html_text": _pages(),
+    "op10_suffix_dedup": _repeats(),
+}
