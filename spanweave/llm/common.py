@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
+#: The setting above is the session's, so one write at a time has it.
+_writing = threading.Lock()
 
 
 def _sweep() -> None:
@@ -63,12 +66,13 @@ def spool(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_sweep)
     path = f"{shared_dir(spark).rstrip('/')}/spanweave-{uuid.uuid4().hex}/{label}"
     _written.append((spark, path.rpartition("/")[0]))
-    was = spark.conf.get(_DROP_SHUFFLES, None)
-    spark.conf.set(_DROP_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_DROP_SHUFFLES) if was is None else spark.conf.set(_DROP_SHUFFLES, was)
+    with _writing:
+        was = spark.conf.get(_DROP_SHUFFLES, None)
+        spark.conf.set(_DROP_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(_DROP_SHUFFLES) if was is None else spark.conf.set(_DROP_SHUFFLES, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

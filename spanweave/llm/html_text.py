@@ -13,7 +13,8 @@ otherwise the smallest element around all content.  Content outside it goes.
 Within an article or main element, blocks of weak paths (captions, short items)
 stay.  Within other containers headings stay, and weak blocks that aren't links
 if the container is within the body, if they stand between content, or if no
-element that sets parts of a page apart separates them from the body.
+element that sets parts of a page apart separates them from the body; a title
+just before the container is taken in.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed
 and cut-off mark-up is read as far as it goes, a quote that never closes ends
@@ -63,8 +64,11 @@ NAMED = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu "
     "submenu sidebar sidenav footer comment comments commentlist reply replies disqus discussion cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination "
-    "pager login signup toolbar widget skip hidden masthead copyright legal disclaimer".split()
+    "pager login signup toolbar widget skip hidden masthead copyright legal disclaimer announcement announcements toast snackbar promoted "
+    "adbox adslot adunit adbanner outbrain taboola respond responses cookiebar cookiebanner".split()
 )
+#: "header" names the site's header, outside articles, if nothing but these stands with it.
+SITE = {"header", "site", "top", "global", "bar"}
 #: An article element is the article unless its name is one of these.
 NAMED_ARTICLE = {"comment", "reply", "advert", "sponsored", "related"}
 ABOUT = {"with", "without", "has", "no", "open"}
@@ -110,6 +114,7 @@ class Page:
     articles: list[int] = field(default_factory=lambda: [0])
     mains: list[int] = field(default_factory=lambda: [0])
     links: list[bool] = field(default_factory=lambda: [False])
+    heads: list[bool] = field(default_factory=lambda: [False])
     #: (element, text, block)
     runs: list[tuple[int, str, int]] = field(default_factory=list)
 
@@ -129,6 +134,8 @@ def _is_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         # "with-sidebar" names what stands around a sidebar.
         if words & marks and not words & ABOUT:
             return True
+        if "header" in words and words <= SITE and not inside:
+            return True
     return False
 
 
@@ -263,6 +270,7 @@ def parse(page: str) -> Page:
         out.articles.append(out.articles[above] or is_article * number)
         out.mains.append(out.mains[above] or is_main * number)
         out.links.append(tag == "a" or out.links[above])
+        out.heads.append(tag in HEADINGS or out.heads[above])
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             stop = end.start() if end else size
@@ -318,13 +326,21 @@ def _container(page: Page, content: list[tuple[int, float]]) -> tuple[list[bool]
     for n in range(top + 1, len(below)):
         inside[n] = inside[page.parents[n]]
         keeps[n] = keeps[page.parents[n]] and (tight or page.tags[n] not in MODULES)
-    # Headings straight in an element around the container belong to it.
+    # Headings straight in an element around the container belong to it, or else the last h1 before it that stands beside it.
     around, n = set(), page.parents[top]
     while n >= 0:
         around.add(n)
         n = page.parents[n]
+    titles = {n for n in range(1, top) if page.tags[n] in HEADINGS and page.parents[n] in around}
+    if not titles and top:
+        beside = [False] * top
+        beside[page.parents[top]] = True
+        for n in range(page.parents[top] + 1, top):
+            beside[n] = beside[page.parents[n]]
+        said = {n for n, text, _ in page.runs if n < top and text.strip()}
+        titles = set([n for n in range(1, top) if page.tags[n] == "h1" and beside[n] and n in said][-1:])
     for n in range(1, top):
-        inside[n] |= page.tags[n] in HEADINGS and page.parents[n] in around
+        inside[n] = inside[n] or n in titles or inside[page.parents[n]]
     return inside, keeps, False
 
 
@@ -343,7 +359,7 @@ def main_text(page: str, share: float = SHARE) -> str:
     strong = [block for block, own in said.items() if any(tree.paths[n] in chosen for n in own)]
 
     def stays(block: int, own: list[int]) -> bool:
-        if not own or any(tree.paths[n] in chosen or tree.tags[n] in HEADINGS for n in own):
+        if not own or any(tree.paths[n] in chosen or tree.heads[n] for n in own):
             return True
         if not links and all(tree.links[n] for n in own):
             return False

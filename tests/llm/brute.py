@@ -205,20 +205,27 @@ def main_text(page, share):
         tight = bool(common) and common[-1][0] not in ("html", "body")
         blocks = [r[2] for r in strong]
 
+        before = lambda r: depth and r[0] and r[0][-1][1] < common[-1][1]
+        titles = []
+        for r in parser.runs if depth else ():
+            for k, (tag, number, _) in enumerate(r[0]):
+                if tag in H.HEADINGS and k < depth and r[0][:k] == common[:k] and number < common[-1][1]:
+                    titles.append(number)
+        if not titles:
+            titles = [r[0][-1][1] for r in said if before(r) and r[0][-1][0] == "h1" and r[0][: depth - 1] == common[:-1]][-1:]
+
+        def heads(r):
+            return any(number in titles for _, number, _ in r[0])
+
         def stays(block):
-            rs = [r for r in said if r[2] == block]
-            rs = [r for r in rs if r[0][:depth] == common] or [r for r in rs if heads(r)]
-            if any(path(r) in chosen or r[0] and r[0][-1][0] in H.HEADINGS for r in rs) or not rs:
+            rs = [r for r in said if r[2] == block and (r[0][:depth] == common or heads(r))]
+            if not rs or any(path(r) in chosen or any(t in H.HEADINGS for t, _, _ in r[0]) for r in rs):
                 return True
             if all(map(link, rs)):
                 return False
             free = all(tight or not any(t in H.MODULES for t, _, _ in r[0][depth:]) for r in rs)
             return free or blocks[0] < block < blocks[-1]
 
-        def heads(r):
-            around = r[0][:-1]
-            return bool(r[0]) and r[0][-1][0] in H.HEADINGS and len(around) < depth and around == common[: len(around)] and r[0][-1][1] < common[-1][1]
-
         held = [r for r in parser.runs if r[0][:depth] == common or heads(r)]
         kept = [r for r in held if stays(r[2])]
     out = {}

@@ -481,6 +481,9 @@ PAGES = [
     (f"<body><article>{BODY}<article class='comment'>{BODY}</article></article><article><p>{SAID[3]}</p></article></body>", f"{ALL} {SAID[3]}"),
     (f"<body><section><div><span>&lt;b&gt; &amp; c,</span> {SAID[0]}</div><div>{SAID[1]}</div></section><nav>{BODY}</nav></body>", f"<b> & c, {SAID[0]} {SAID[1]}"),
     ("<body><p>Only this.</p></body>", "Only this."),
+    (f"<body><div class='site-header'><h1>Site</h1><p>We write, daily; always.</p></div><div class='entry-header'><h1>Title</h1></div><div>{BODY}</div></body>", f"Title {ALL}"),
+    (f"<body><div class=logo><h1>Site</h1></div><div><h1><a href=/>Title</a></h1><div>{BODY}</div></div></body>", f"Title {ALL}"),
+    (f"<body><div id=header><p>We write, daily; always.</p></div><article><div class=header><h1>Title</h1></div>{BODY}</article></body>", f"Title {ALL}"),
 ]
 
 
