@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,6 +135,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
         return 0
     workspace = Workspace.read(args.workspace)
     spark = spark or SparkSession.builder.appName("spanweave").getOrCreate()
+    start = time.perf_counter()
     result, best = args.run(spark, args, workspace)
     if "config_id" in result.columns and args.command in ("recommend", "compare", "evaluate"):
         ids = [r["config_id"] for r in result.select("config_id").distinct().collect()]
@@ -140,6 +143,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
         named = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
         result = result.withColumn("label", F.element_at(named, F.col("config_id"))).orderBy(F.col("rank").asc_nulls_last())
     print(said(result, args.format, best), end="")
+    logging.getLogger(__name__).info("%s took %.0f ms", args.command, (time.perf_counter() - start) * 1000)
     return 0
 
 

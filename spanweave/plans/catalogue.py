@@ -354,21 +354,27 @@ def _(spark, sf_dir):
 _LINES = Config("code_window", {"max_tokens": 64, "overlap_lines": 2})
 
 
-@query(
-    "chunk_code_window",
-    O.with_(
-        O.DOCS,
+def _lines_sql(config_id: str, most: int, docs: str = O.DOCS) -> tuple[tuple[str, ...], str]:
+    """CTEs and a query for windows of whole lines, two of which overlap."""
+    ctes = (
+        docs,
         rf"""l AS (SELECT doc_id, content, ls, list_transform(ls, lambda x: len(regexp_extract_all(x, '{O.TOKEN}'))) AS ns
   FROM (SELECT doc_id, content, regexp_extract_all(content, '[^\n]*\n|[^\n]+') AS ls FROM d) WHERE len(ls) > 0)""",
         "p AS (SELECT doc_id, content, ls, list_transform(range(len(ns) + 1), lambda k: coalesce(list_sum(ns[1:k]), 0)) AS sums FROM l)",
-        """w(doc_id, i, j) AS (SELECT doc_id, 0::BIGINT, greatest(1, len(list_filter(sums[2:], lambda x: x <= 64))) FROM p UNION ALL
-  SELECT w.doc_id, k, k + greatest(1, len(list_filter(sums[k + 2:], lambda x: x - sums[k + 1] <= 64))) FROM
+        f"""w(doc_id, i, j) AS (SELECT doc_id, 0::BIGINT, greatest(1, len(list_filter(sums[2:], lambda x: x <= {most}))) FROM p UNION ALL
+  SELECT w.doc_id, k, k + greatest(1, len(list_filter(sums[k + 2:], lambda x: x - sums[k + 1] <= {most}))) FROM
   (SELECT w.doc_id, greatest(w.i + 1, w.j - 2) AS k, p.sums FROM w JOIN p ON p.doc_id = w.doc_id WHERE w.j < len(p.ls)) w)""",
     )
-    + f"""SELECT {O.lit(_LINES.id)} AS config_id, doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_idx, s::INT AS start_offset,
+    rows = f"""SELECT {O.lit(config_id)} AS config_id, doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_idx, s::INT AS start_offset,
 (s + length(text))::INT AS end_offset, text, len(regexp_extract_all(text, '{O.TOKEN}'))::INT AS tokens FROM (SELECT w.doc_id, i,
-coalesce(length(array_to_string(ls[1:i], '')), 0) AS s, array_to_string(ls[i + 1:j], '') AS text FROM w JOIN p ON p.doc_id = w.doc_id)""",
-)
+coalesce(length(array_to_string(ls[1:i], '')), 0) AS s, array_to_string(ls[i + 1:j], '') AS text FROM w JOIN p ON p.doc_id = w.doc_id)"""
+    return ctes, rows
+
+
+_LINES_CTES, _LINES_ROWS = _lines_sql(_LINES.id, 64)
+
+
+@query("chunk_code_window", O.with_(*_LINES_CTES) + _LINES_ROWS)
 def _(spark, sf_dir):
     return _chunks(spark, sf_dir, _LINES)
 
@@ -385,9 +391,18 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.when(i % 4 == 3, "text").otherwise("code").alias("content_type"), body.alias("content"))
 
 
-@query("chunk_code_ast")
+_AST = Config("code_ast", {"max_tokens": 64})
+#: Each function is one chunk; a text whose only function is indented at the top isn't Python and goes by lines.
+_AST_CTES, _AST_ROWS = _lines_sql(_AST.id, 64, _CODE_SQL + ", d AS (SELECT doc_id, content FROM k WHERE content_type = 'code' AND doc_id % 4 = 1)")
+
+
+@query(
+    "chunk_code_ast",
+    O.with_(*_AST_CTES, "fn AS (SELECT doc_id, 'def f' || doc_id || ' (x):' || chr(10) || '    return ' || doc_id AS text FROM k WHERE content_type = 'code' AND doc_id % 4 <> 1)")
+    + f"""{_AST_ROWS} UNION ALL SELECT {O.lit(_AST.id)}, doc_id, 0, 10, (10 + length(text))::INT, text, len(regexp_extract_all(text, '{O.TOKEN}'))::INT FROM fn""",
+)
 def _(spark, sf_dir):
-    return C.chunk(_code(spark, sf_dir).where("content_type = 'code'"), [Config("code_ast", {"max_tokens": 64})]).select(*O.CHUNK_COLUMNS.split(", "))
+    return C.chunk(_code(spark, sf_dir).where("content_type = 'code'"), [_AST]).select(*O.CHUNK_COLUMNS.split(", "))
 
 
 # Checks.

@@ -350,3 +350,10 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     with pytest.raises(SystemExit):
         (tmp_path / "empty").mkdir()
         command.main(["recommend", str(tmp_path / "empty")], spark)
+
+
+def test_samples(spark):
+    from spanweave.sources.samples import sample_transcripts
+
+    rows = D.anchored(sample_transcripts(spark), [("m", "operating margin", "?"), ("y", "year over year", "?")]).collect()
+    assert {r.query_id for r in rows} == {"q_harbour_m", "q_orchard_y"}
