@@ -74,10 +74,7 @@ def anchored(docs: DataFrame, anchors: list[tuple[str, str, str]], before: int =
 def anchored_or_trivial(docs: DataFrame, anchors: list[tuple[str, str, str]], before: int = 50, after: int = 100) -> DataFrame:
     """``anchored``, or ``trivial`` if no document has any of the phrases."""
     found = anchored(docs, anchors, before, after)
-    none = found.limit(1).groupBy().agg(F.count(F.lit(1)).alias("_found"))
-    # Whether there are any is one row, so the choice is part of the plan.
-    rest = trivial(docs).crossJoin(F.broadcast(none)).where("_found = 0").drop("_found")
-    return found.unionByName(rest)
+    return trivial(docs) if found.isEmpty() else found
 
 
 def chosen(proposed: DataFrame | None, heuristic: DataFrame, least: int = 10) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrays import total
@@ -48,10 +48,16 @@ def with_effective_k(stats: DataFrame, budget: int = BUDGET) -> DataFrame:
     return stats.withColumn("effective_k", F.greatest(F.lit(1), k.cast("int")))
 
 
-def _asked(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, content, asked): the documents with their queries, in one row each."""
-    per_doc = queries.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "answer_spans")).alias("asked"))
-    return docs.select("doc_id", "content").join(per_doc, "doc_id")
+#: Queries of one document that are handled together.
+TOGETHER = 1000
+
+
+def _asked(queries: DataFrame, *fields: str) -> DataFrame:
+    """(doc_id, asked, head): the queries of each document, in several rows if they are very many; one of these has ``head``."""
+    most = queries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-most // TOGETHER))))
+    held = queries.groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("query_id", *fields)).alias("asked"))
+    return held.select("doc_id", "asked", (F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) == 1).alias("head"))
 
 
 def _ranges(ends: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -74,7 +80,7 @@ def gold_ranges(queries: DataFrame, docs: DataFrame) -> DataFrame:
     Queries without a document are left out, as are those whose spans touch no
     token; ``queries_without_document`` lists the former.
     """
-    rows = _asked(queries, docs)
+    rows = docs.select("doc_id", "content").join(_asked(queries, "answer_spans"), "doc_id").select("doc_id", "content", "asked")
     types = {f.name: f.dataType for f in queries.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,18 +142,18 @@ def rank_chunks(chunks: DataFrame, queries: DataFrame, gold: DataFrame, embedder
 
 
 def score_grid(docs: DataFrame, queries: DataFrame, configs: list[Config], embedder: Embedder, own: Mapping[str, Kernel] | None = None, recorded: DataFrame | None = None) -> DataFrame:
-    """Chunks of every configuration without their texts, with ``sims`` (query_id, sim) for the queries of their document, and ``error``.
+    """Chunks of every configuration without their texts, with ``sims`` (query_id, sim) for queries of their document, and ``error``.
 
     One Arrow pass chunks a document with the whole grid, embeds each distinct
     chunk text and question of it once, and compares them, so neither texts nor
     vectors are moved.  A configuration that fails on a document gives a row
-    with ``error`` there.
+    with ``error`` there.  A chunk whose document has very many queries has
+    several rows, one of them with ``head``.
     """
-    per_doc = queries.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "question")).alias("asked"))
-    rows = docs.select("doc_id", "content").join(per_doc, "doc_id", "left")
+    rows = docs.select("doc_id", "content").join(_asked(queries, "question"), "doc_id", "left")
     if recorded is not None:
         rows = with_spans(rows, recorded)
-    rows = rows.select("doc_id", "content", "asked", *["spans"] * (recorded is not None))
+    rows = rows.select("doc_id", "content", "asked", F.coalesce("head", F.lit(True)).alias("head"), *["spans"] * (recorded is not None))
     doc_type, query_type = rows.schema["doc_id"].dataType, queries.schema["query_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +162,8 @@ def score_grid(docs: DataFrame, queries: DataFrame, configs: list[Config], embed
         for batch in batches:
             kinds = [batch.schema.field(0).type, batch.schema.field(2).type.value_type.field("query_id").type]
             out: list[tuple] = []
-            spans = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for doc, text, asked, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), spans, strict=True):
+            spans = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * batch.num_rows
+            for doc, text, asked, head, known in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3)), spans, strict=True):
                 text = text.as_py() or ""
                 ends, asked = regex_bounds(text), asked or []
                 found: list[tuple] = []
@@ -165,7 +171,7 @@ def score_grid(docs: DataFrame, queries: DataFrame, configs: list[Config], embed
                     try:
                         own_pieces = list(pieces(config, text, ends, regex_bounds, own, [(s["a"], s["b"]) for s in known or ()]))
                     except Exception as e:
-                        out.append((config.id, doc, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                        out.append((config.id, doc, *[None] * 5, head, f"{type(e).__name__}: {e}"))
                         continue
                     found += [(config.id, i, lo, hi, n, piece) for i, (_, _, piece, n, lo, hi) in enumerate(own_pieces)]
                 texts = list(dict.fromkeys(f[5] for f in found)) if asked else []
@@ -179,7 +185,7 @@ def score_grid(docs: DataFrame, queries: DataFrame, configs: list[Config], embed
                         near = (vectors[len(questions) :] * vectors[at]).sum(axis=1) / (norms[len(questions) :] * norms[at])
                         for t, x in zip(texts, near.tolist(), strict=True):
                             sims[t].append({"query_id": q["query_id"], "sim": x})
-                out += [(c, doc, i, lo, hi, n, sims.get(piece, []), None) for c, i, lo, hi, n, piece in found]
+                out += [(c, doc, i, lo, hi, n, sims.get(piece, []), head, None) for c, i, lo, hi, n, piece in found]
                 if len(out) > 20_000:
                     yield _scored_batch(out, *kinds)
                     out = []
@@ -188,16 +194,16 @@ def score_grid(docs: DataFrame, queries: DataFrame, configs: list[Config], embed
 
     sim = StructType([StructField("query_id", query_type), StructField("sim", DoubleType())])
     n = IntegerType()
-    kinds = [StringType(), doc_type, n, n, n, n, ArrayType(sim), StringType()]
+    kinds = [StringType(), doc_type, n, n, n, n, ArrayType(sim), BooleanType(), StringType()]
     return rows.mapInArrow(run, StructType([StructField(c, t) for c, t in zip(SCORED, kinds, strict=True)]))
 
 
-SCORED = ["config_id", "doc_id", "chunk_idx", "lo", "hi", "tokens", "sims", "error"]
+SCORED = ["config_id", "doc_id", "chunk_idx", "lo", "hi", "tokens", "sims", "head", "error"]
 
 
 def _scored_batch(rows: list[tuple], doc_type: pa.DataType, query_type: pa.DataType) -> pa.RecordBatch:
     n, sim = pa.int32(), pa.struct([("query_id", query_type), ("sim", pa.float64())])
-    kinds = [pa.string(), doc_type, n, n, n, n, pa.list_(sim), pa.string()]
+    kinds = [pa.string(), doc_type, n, n, n, n, pa.list_(sim), pa.bool_(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=SCORED)
 
 
@@ -318,5 +324,5 @@ def evaluate(docs: DataFrame, queries: DataFrame, chunks: DataFrame, embedder: E
 
 def evaluate_scored(docs: DataFrame, queries: DataFrame, scored: DataFrame, budget: int = BUDGET, stats: DataFrame | None = None) -> DataFrame:
     """Metrics of every configuration in ``scored``, which ``score_grid`` gives; ``stats`` of the chunks come from it too if not at hand."""
-    stats = with_effective_k(chunk_stats(scored) if stats is None else stats, budget)
+    stats = with_effective_k(chunk_stats(scored.where("head")) if stats is None else stats, budget)
     return by_config(per_query(rank_scored(scored, gold_ranges(queries, docs)), stats), stats, queries)

@@ -98,8 +98,9 @@ def compare(docs: DataFrame, names: list[str], queries: DataFrame | None = None)
 def summary(ranking: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """One row: documents, queries, configurations, failed ones, the best one with its score, and what it gains on the baseline."""
     counts = ranking.agg(F.count(F.lit(1)).alias("configs"), F.count("error").alias("failed"), F.max(F.when(F.col("is_best"), F.col("config_id"))).alias("best_config"))
-    sizes = docs.agg(F.count(F.lit(1)).alias("documents")).crossJoin(queries.agg(F.count(F.lit(1)).alias("queries")))
-    return sizes.crossJoin(counts).crossJoin(against_baseline(ranking))
+    row = {"documents": docs.count(), "queries": queries.count()} | counts.first().asDict() | against_baseline(ranking).first().asDict()
+    schema = "documents long, queries long, configs long, failed long, best_config string, best double, base double, delta double, delta_pct double"
+    return docs.sparkSession.createDataFrame([tuple(row.values())], schema)
 
 
 def preview(spark: SparkSession, text: str, config: Config, most: int = PREVIEW_CHARS) -> DataFrame:

@@ -105,6 +105,18 @@ def test_scores_of_the_grid_equal_those_of_given_chunks(spark, docs):
     assert one == two and len(one) > 50
 
 
+def test_many_queries_of_one_document_go_in_parts(spark, docs, monkeypatch):
+    grid = [Config("fixed_tokens", {"max_tokens": 9})]
+    queries = docs.where("doc_id < 2").selectExpr("doc_id", "explode(sequence(0, 20)) AS i", "content")
+    queries = queries.selectExpr("concat(doc_id, '_', i) AS query_id", "doc_id", "concat('Q', i) AS question", "array(struct(i AS a, i + 9 AS b)) AS answer_spans", "CAST(NULL AS string) AS reference_answer")
+    whole = tuner.recommend(docs, grid, queries).drop("scoring_ms").collect()
+    monkeypatch.setattr(V, "TOGETHER", 4)
+    scored = V.score_grid(docs, queries, grid, E.hash_embedder(0))
+    assert scored.count() > scored.where("head").count() == C.chunk(docs, grid).count()
+    parts = tuner.recommend(docs, grid, queries).drop("scoring_ms").collect()
+    assert [[round(x, 9) if isinstance(x, float) else x for x in r] for r in parts] == [[round(x, 9) if isinstance(x, float) else x for x in r] for r in whole]
+
+
 @pytest.mark.parametrize(
     ("answer", "found"),
     [
