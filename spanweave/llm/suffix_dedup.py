@@ -469,6 +469,8 @@ def repeated_ranges(docs: DataFrame, length: int = 100, bounds: Bounds = Bounds(
         # What goes anyway isn't dealt by bucket.
         to = F.when(F.col("bytes").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("key"))
         settled = spool(_settled(pieces.repartition(parts, to).sortWithinPartitions("key"), length, bounds), f"settled{len(gone)}")
+        if not gone:
+            unspool(marks)
         gone.append(settled.where("bytes IS NULL"))
         pieces = settled.where("bytes IS NOT NULL")
         if pieces.isEmpty():
