@@ -148,6 +148,10 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+#: Code points of a block that masked texts are put together from.
+BLOCK = 1024
+
+
 def masked(text: Column, secrets: Column) -> Column:
     """``text`` with every span replaced by its kind in angle brackets; a span within an earlier one goes with it.
 
@@ -161,20 +165,22 @@ def masked(text: Column, secrets: Column) -> Column:
             s, done, lambda x, d: F.struct(x["start"].alias("a"), x["end"].alias("b"), x["kind"].alias("k"), d.alias("done"))
         )
 
-    def pieces(e: Column) -> Column:
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """From a to b: of the blocks that hold it, so that a long text isn't walked through for each span."""
+        first = F.floor(a / BLOCK)
+        held = F.slice(blocks, (first + 1).cast("int"), (F.floor(b / BLOCK) - first + 1).cast("int"))
+        return F.substring(F.array_join(held, ""), (a - first * BLOCK + 1).cast("int"), (b - a).cast("int"))
+
+    def pieces(blocks: Column, e: Column) -> Column:
         head = F.transform(
             e,
-            lambda x: F.when(
-                x["a"] >= x["done"],
-                F.concat(
-                    F.substring(text, (x["done"] + 1).cast("int"), (x["a"] - x["done"]).cast("int")), F.lit("<"), x["k"], F.lit(">")
-                ),
-            ).otherwise(F.lit("")),
+            lambda x: F.when(x["a"] >= x["done"], F.concat(between(blocks, x["done"], x["a"]), F.lit("<"), x["k"], F.lit(">"))).otherwise(F.lit("")),
         )
         last = F.array_max(F.transform(e, lambda x: x["b"]))
         return F.concat(F.array_join(head, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    return F.when(F.size(secrets) == 0, text).otherwise(let(let(secrets, placed), pieces))
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(secrets) == 0, text).otherwise(let(whole, lambda blocks: let(let(secrets, placed), lambda e: pieces(blocks, e))))
 
 
 def _said(spans: Column) -> Column:

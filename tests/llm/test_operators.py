@@ -181,6 +181,10 @@ def test_texts_that_are_costly_to_match(spark):
     for i, t in enumerate(texts):
         base = [s for s in got[i].secrets if s.order < 3]
         assert (*(sum(s.kind == k for s in base) for k in brute.SECRETS), brute.sha(",".join(f"{s.kind}:{s.start}:{s.end}" for s in base))) == brute.base_secrets(t)
+    many = [" é ".join(f"token=abc{i:05d}" for i in range(30_000)), "x" * 2048 + " token=abcdef" + " y" * 1024]
+    start = time.time()
+    long = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    assert [r.text for r in secret_scan.mask_secrets(long).orderBy("doc_id").collect()] == [" é ".join(["<assign>"] * 30_000), "x" * 2048 + " <assign>" + " y" * 1024]
     masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(data).collect()}
     assert masked[0] == "<pem>" and masked[6] == ("x0" * 12 + " <assign> ") * 300 and masked[1] == texts[1]
     assert time.time() - start < 60
