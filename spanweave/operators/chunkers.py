@@ -37,6 +37,19 @@ WINDOWED = {"fixed_tokens": ("max_tokens", 512, 1), "late_chunking": ("chunk_siz
 Kernel = Callable[[str, Mapping[str, Any], list[int]], Iterator[kernels.Span]]
 
 
+#: Bytes, by the planner's estimate, below which a table is dealt to all cores before much work on each row.
+SMALL = 1 << 30
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt to all cores if they are few: a small file may be one task, and moving it costs next to nothing.
+
+    Larger tables stay as they are read, without an exchange.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL else rows
+
+
 def _window(config: Config) -> tuple[int, int]:
     """(tokens, step) that the configuration comes to."""
     key, default, least = WINDOWED[config.strategy]
@@ -190,7 +203,7 @@ def by_kernel(
     n, s = IntegerType(), StringType()
     names = COLUMNS + ["error"] * errors
     schema = StructType([StructField(c, t) for c, t in zip(names, [s, doc_type, n, n, n, s, n, n, n, s])])
-    return docs.select("doc_id", "content", *["spans"] * with_spans).mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "content", *["spans"] * with_spans)).mapInArrow(run, schema)
 
 
 def _chunk_batch(rows: list[tuple], doc_type: pa.DataType, errors: bool) -> pa.RecordBatch:

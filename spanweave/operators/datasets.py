@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import token_f1
 from . import kernels
+from .chunkers import spread
 from .embed import by_slices, slices_of
 
 FIELDS = ["query_id", "doc_id", "question", "answer_spans", "reference_answer"]
@@ -147,7 +148,7 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, most: int = 100_000) -> Dat
     known = phrases.select("item_id", "phrase").where("phrase IS NOT NULL").dropDuplicates(["item_id", "phrase"])
     item_type, doc_type = phrases.schema["item_id"].dataType, docs.schema["doc_id"].dataType
     schema = StructType([StructField("item_id", item_type), StructField("doc_id", doc_type), StructField("start_offset", IntegerType()), StructField("end_offset", IntegerType())])
-    texts = docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
+    texts = spread(docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content")))
 
     def searched(some: list[Row]) -> tuple[DataFrame, Any]:
         sent = spark.sparkContext.broadcast([(r["item_id"], r["phrase"]) for r in some])

@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrays import total
 from ..functions.text import token_count
 from ..schema import Config
-from .chunkers import Kernel, pieces, with_spans
+from .chunkers import Kernel, pieces, spread, with_spans
 from .embed import Embedder, embed_distinct, scored_text, text_key
 from .kernels import regex_bounds
 
@@ -150,7 +150,7 @@ def score_grid(docs: DataFrame, queries: DataFrame, configs: list[Config], embed
     with ``error`` there.  A chunk whose document has very many queries has
     several rows, one of them with ``head``.
     """
-    rows = docs.select("doc_id", "content").join(_asked(queries, "question"), "doc_id", "left")
+    rows = spread(docs.select("doc_id", "content")).join(_asked(queries, "question"), "doc_id", "left")
     if recorded is not None:
         rows = with_spans(rows, recorded)
     rows = rows.select("doc_id", "content", "asked", F.coalesce("head", F.lit(True)).alias("head"), *["spans"] * (recorded is not None))
@@ -322,6 +322,128 @@ def evaluate(docs: DataFrame, queries: DataFrame, chunks: DataFrame, embedder: E
     return by_config(per_query(ranked, stats), stats, queries)
 
 
+def grid_stats(docs: DataFrame, configs: list[Config], own: Mapping[str, Kernel] | None = None, recorded: DataFrame | None = None) -> DataFrame:
+    """What ``chunk_stats`` gives, and ``error`` where a configuration failed on some document; sums alone leave the pass that chunks."""
+    rows = spread(docs.select("doc_id", "content"))
+    if recorded is not None:
+        rows = with_spans(rows, recorded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {c.id: [0, 0, 0.0, None] for c in configs}
+        for batch in batches:
+            spans = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for text, known in zip(batch.column(1), spans, strict=True):
+                text = text.as_py() or ""
+                ends = regex_bounds(text)
+                for config in configs if text else ():
+                    held = sums[config.id]
+                    try:
+                        sizes = [p[3] for p in pieces(config, text, ends, regex_bounds, own, [(s["a"], s["b"]) for s in known or ()])]
+                    except Exception as e:
+                        held[3] = min(held[3] or "\U0010ffff", f"{type(e).__name__}: {e}")
+                        continue
+                    held[0] += len(sizes)
+                    held[1] += sum(sizes)
+                    held[2] += float(sum(n * n for n in sizes))
+        columns = [pa.array(c, t) for c, t in zip(zip(*((k, *v) for k, v in sums.items()), strict=True), (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["config_id", "n", "tokens", "squares", "error"])
+
+    sums = rows.mapInArrow(run, "config_id string, n long, tokens long, squares double, error string").groupBy("config_id")
+    sums = sums.agg(F.sum("n").alias("n_chunks"), F.sum("tokens").alias("chunk_tokens"), F.sum("squares").alias("squares"), F.min("error").alias("error"))
+    mean = F.try_divide(F.col("chunk_tokens"), F.col("n_chunks"))
+    deviation = F.sqrt(F.greatest(F.try_divide(F.col("squares"), F.col("n_chunks")) - mean * mean, F.lit(0.0)))
+    return sums.select("config_id", "n_chunks", mean.alias("avg_chunk_length"), deviation.alias("chunk_length_std"), "chunk_tokens", "error")
+
+
+def query_metrics(sims: np.ndarray, lo: np.ndarray, hi: np.ndarray, tokens: np.ndarray, gold: list[tuple[int, int]], most: int) -> tuple[float, ...]:
+    """``METRICS`` and the tokens in context for one question and the chunks of its document, the best ``most`` of which are its context."""
+    order = np.lexsort((np.arange(len(sims)), -sims))
+    rel = np.zeros(len(sims), dtype=bool)
+    for a, b in gold:
+        rel |= (a < hi) & (b > lo)
+    rel = rel[order]
+    gain = 1 / np.log2(np.arange(2, max(AT) + 2))
+    recall, ndcg = [], []
+    for k in AT:
+        found = int(rel[:k].sum())
+        recall.append(float(found > 0))
+        ndcg.append(float((gain[: len(rel[:k])] * rel[:k]).sum() / gain[:found].sum()) if found else 0.0)
+    first = int(rel.argmax()) if rel.any() else -1
+    top = order[:most]
+    covered = twice = hits = seen = doubled = 0
+    for i in sorted(top.tolist(), key=lambda i: (lo[i], hi[i], i)):
+        a, b = int(lo[i]), int(hi[i])
+        again = min(b, seen)
+        covered += max(0, b - max(a, seen))
+        twice += max(0, again - max(a, doubled))
+        hits += sum(max(0, min(b, y) - max(a, seen, x)) for x, y in gold)
+        seen, doubled = max(seen, b), max(doubled, again)
+    size = sum(y - x for x, y in gold)
+    ratio = lambda x, y: x / y if y > 0 else 0.0
+    return (
+        ratio(hits, covered + size - hits), ratio(hits, covered), ratio(hits, size), *recall, 1 / (first + 1) if first >= 0 else 0.0, *ndcg,
+        ratio(twice, covered) if len(top) > 1 else 0.0, int(tokens[top].sum()),
+    )
+
+
+def grid_metrics(
+    docs: DataFrame,
+    queries: DataFrame,
+    configs: list[Config],
+    in_context: Mapping[str, int],
+    embedder: Embedder,
+    own: Mapping[str, Kernel] | None = None,
+    recorded: DataFrame | None = None,
+) -> DataFrame:
+    """What ``per_query`` gives, for the whole grid in one pass: a document is chunked, embedded, ranked and measured where it is read.
+
+    ``in_context`` has the chunks that fit the budget by configuration.  Only a
+    row for each configuration and question leaves the pass.
+    """
+    rows = spread(docs.select("doc_id", "content")).join(_asked(queries, "question", "answer_spans"), "doc_id")
+    if recorded is not None:
+        rows = with_spans(rows, recorded)
+    rows = rows.select("doc_id", "content", "asked", *["spans"] * (recorded is not None))
+    names = [*KEY, *METRICS, "tokens_in_context"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+
+        for batch in batches:
+            kinds = [pa.string(), batch.schema.field(2).type.value_type.field("query_id").type, *[pa.float64()] * len(METRICS), pa.int64()]
+            out: list[tuple] = []
+            spans = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for text, asked, known in zip(batch.column(1), batch.column(2).to_pylist(), spans, strict=True):
+                text = text.as_py() or ""
+                ends = regex_bounds(text)
+                golds = [_ranges(ends, [(s["a"], s["b"]) for s in q["answer_spans"] or ()]) for q in asked]
+                if not any(golds):
+                    continue
+                spans_of = [(s["a"], s["b"]) for s in known or ()]
+                found = {c.id: list(pieces(c, text, ends, regex_bounds, own, spans_of)) for c in configs}
+                place = {t: i for i, t in enumerate(dict.fromkeys(p[2] for held in found.values() for p in held))}
+                if not place:
+                    continue
+                questions = {t: i for i, t in enumerate(dict.fromkeys(q["question"] for q in asked))}
+                vectors = np.stack(list(embedder(pd.Series([*questions, *place]))))
+                vectors = vectors / (np.sqrt((vectors * vectors).sum(axis=1)) + 1e-9)[:, None]
+                near = np.round(vectors[: len(questions)] @ vectors[len(questions) :].T, 9)
+                for config, held in found.items():
+                    if not held:
+                        continue
+                    at = np.fromiter((place[p[2]] for p in held), dtype=np.int64, count=len(held))
+                    tokens, lo, hi = (np.fromiter((p[k] for p in held), dtype=np.int64, count=len(held)) for k in (3, 4, 5))
+                    for q, gold in zip(asked, golds, strict=True):
+                        if gold:
+                            out.append((config, q["query_id"], *query_metrics(near[questions[q["question"]], at], lo, hi, tokens, gold, in_context[config])))
+            for first in range(0, len(out), 50_000):
+                columns = [pa.array(c, t) for c, t in zip(zip(*out[first : first + 50_000], strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = [StringType(), queries.schema["query_id"].dataType, *[DoubleType()] * len(METRICS), LongType()]
+    return rows.mapInArrow(run, StructType([StructField(c, t) for c, t in zip(names, kinds, strict=True)]))
+
+
 def evaluate_scored(docs: DataFrame, queries: DataFrame, scored: DataFrame, budget: int = BUDGET, stats: DataFrame | None = None) -> DataFrame:
     """Metrics of every configuration in ``scored``, which ``score_grid`` gives; ``stats`` of the chunks come from it too if not at hand."""
     stats = with_effective_k(chunk_stats(scored.where("head")) if stats is None else stats, budget)

@@ -5,16 +5,15 @@ from __future__ import annotations
 import time
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import HEADING, content_type, token_count, trim_ends
 from ..operators.chunkers import chunk
 from ..operators.datasets import trivial
 from ..operators.embed import Embedder, hash_embedder
-from ..operators.evaluate import evaluate_scored, score_grid
+from ..operators.evaluate import by_config, grid_metrics, grid_stats, with_effective_k
 from ..operators.score import against_baseline, ranked, weights_for
 from ..schema import TYPES, Config
 from .strategies import REGISTRY
@@ -53,35 +52,35 @@ def recommend(
 ) -> DataFrame:
     """Every configuration with its metrics, score and rank; the first one is the baseline.
 
-    The corpus is chunked, embedded and scored once for the whole grid; what is
-    kept of it meanwhile, to be read twice, has neither texts nor vectors.  The
-    result has a row for each configuration, so it is computed here.  A
-    configuration that failed on some document has ``error`` and no rank; if all
-    failed, the first error is raised.  ``scoring_ms`` is the time that chunking
-    and embedding took for the whole grid.
+    Two passes over the corpus: the first sums up chunk sizes, which tell how
+    many chunks fit the budget; the second chunks, embeds, ranks and measures
+    each document where it is read.  Neither chunks nor vectors are stored or
+    moved.  The result has a row for each configuration, so it is computed here.
+    A configuration that failed on some document has ``error`` and no rank; if
+    all failed, the first error is raised.  ``scoring_ms`` is the time that both
+    passes took for the whole grid.
     """
     for c in configs:
         REGISTRY.check(c)
     docs = guarded(docs, configs) if "content_type" in docs.columns else docs
     queries = trivial(docs) if queries is None else queries
-    spark = docs.sparkSession
-    scored = score_grid(docs, queries, configs, embedder or hash_embedder(0), REGISTRY.kernels(), recorded).persist(StorageLevel.DISK_ONLY)
-    try:
-        start = time.perf_counter()
-        failed = {r["config_id"]: r["error"] for r in scored.where("error IS NOT NULL").groupBy("config_id").agg(F.min("error").alias("error")).collect()}
-        spent = round((time.perf_counter() - start) * 1000, 1)
-        if configs and len(failed) == len({c.id for c in configs}):
-            raise RuntimeError(f"all configurations failed, the first with {failed[configs[0].id]}")
-        good = scored.where(~F.col("config_id").isin(list(failed))) if failed else scored
-        metrics = evaluate_scored(docs, queries, good, budget)
-        ranking = ranked(metrics, [c.id for c in configs], weights_for(use_case, weights), configs[0].id)
-        ranking = ranking.withColumn("error", F.lit(None).cast("string")).withColumn("scoring_ms", F.lit(spent))
-        empty = dict.fromkeys(ranking.columns)
-        rows = [tuple(r) for r in ranking.collect()]
-        rows += [tuple((empty | {"config_id": c, "is_best": False, "is_baseline": c == configs[0].id, "error": e, "scoring_ms": spent}).values()) for c, e in failed.items()]
-        return spark.createDataFrame(rows, StructType([StructField(f.name, f.dataType) for f in ranking.schema]))
-    finally:
-        scored.unpersist()
+    spark, own, start = docs.sparkSession, REGISTRY.kernels(), time.perf_counter()
+    stats = with_effective_k(grid_stats(docs, configs, own, recorded), budget)
+    sizes = stats.collect()
+    failed = {r["config_id"]: r["error"] for r in sizes if r["error"] is not None}
+    if configs and len(failed) == len({c.id for c in configs}):
+        raise RuntimeError(f"all configurations failed, the first with {failed[configs[0].id]}")
+    good = [r for r in sizes if r["config_id"] not in failed and r["n_chunks"]]
+    fits = {r["config_id"]: r["effective_k"] for r in good}
+    each = grid_metrics(docs, queries, [c for c in configs if c.id in fits], fits, embedder or hash_embedder(0), own, recorded)
+    metrics = by_config(each, spark.createDataFrame(good, stats.schema), queries)
+    ranking = ranked(metrics, [c.id for c in configs], weights_for(use_case, weights), configs[0].id)
+    rows = [r.asDict() | {"error": None} for r in ranking.collect()]
+    rows += [{"config_id": c, "is_best": False, "is_baseline": c == configs[0].id, "error": e} for c, e in failed.items()]
+    spent = round((time.perf_counter() - start) * 1000, 1)
+    schema = StructType([*ranking.schema, StructField("error", StringType()), StructField("scoring_ms", DoubleType())])
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
+    return spark.createDataFrame([tuple((r | {"scoring_ms": spent}).get(n) for n in schema.names) for r in rows], schema)
 
 
 def recommend_mixed(docs: DataFrame, names: list[str] | None = None, use_case: str = "rag_qa") -> dict[str, DataFrame]:

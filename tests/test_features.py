@@ -105,6 +105,23 @@ def test_scores_of_the_grid_equal_those_of_given_chunks(spark, docs):
     assert one == two and len(one) > 50
 
 
+def test_metrics_in_the_pass_equal_those_by_windows(spark, docs):
+    grid = [Config("fixed_tokens", {"max_tokens": m, "overlap_tokens": o}) for m, o in ((3, 2), (9, 0))] + [Config("recursive_character", {"chunk_size_chars": 60, "chunk_overlap_chars": 30})]
+    spans = "array(struct(3 AS a, 40 AS b), struct(90 AS a, 120 AS b), struct(30 AS a, 44 AS b))"
+    queries = D.trivial(docs).union(docs.selectExpr("concat('m_', doc_id) AS query_id", "doc_id", "'Many?' AS question", f"{spans} AS answer_spans", "CAST(NULL AS string) AS reference_answer"))
+    scored = V.score_grid(docs, queries, grid, E.hash_embedder(0))
+    stats = V.with_effective_k(V.chunk_stats(scored.where("head")), 40)
+    fits = {r.config_id: r.effective_k for r in stats.collect()}
+    want = V.per_query(V.rank_scored(scored, V.gold_ranges(queries, docs)), stats)
+    got = V.grid_metrics(docs, queries, grid, fits, E.hash_embedder(0))
+    columns = [*V.KEY, *V.METRICS, "tokens_in_context"]
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(columns).collect())
+    assert plain(got) == plain(want) and len(plain(got)) == 3 * 6
+    same = ["config_id", "n_chunks", "chunk_tokens", "avg_chunk_length", "chunk_length_std"]
+    one, two = (sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in s.select(same).collect()) for s in (stats, V.grid_stats(docs, grid)))
+    assert one == two
+
+
 def test_many_queries_of_one_document_go_in_parts(spark, docs, monkeypatch):
     grid = [Config("fixed_tokens", {"max_tokens": 9})]
     queries = docs.where("doc_id < 2").selectExpr("doc_id", "explode(sequence(0, 20)) AS i", "content")
