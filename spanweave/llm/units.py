@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 _INNER = re.compile(r"\s\x20\s")
 _SAFE = re.compile(r"\x20(?=\S)")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+_WORD = re.compile(_LETTERS)
 #: A word with marks behind it, and perhaps a line end and the word that begins the next line.
 _SHAPE = re.compile(rf"({_LETTERS})([.,;:!?#*$%&|]*)(?:\n({_LETTERS}))?")
 #: Characters of texts that are looked up together.
@@ -40,37 +41,43 @@ class UnitEncoder:
         one: Callable[[str], bytes],
         many: Callable[[list[str]], list[bytes]],
         words: Callable[[list[str]], list[bytes]],
-        most: int = 1_000_000,
+        most: int = 1_500_000,
         longest: int = 40,
     ) -> None:
         self.one, self.many, self.words, self.most, self.longest = one, many, words, most, longest
         self.after_space: dict[str, bytes] = {}
+        #: Values of words with a space before them, which most units are made of.
+        self.spaced: dict[str, bytes] = {}
         #: Values of pieces with nothing before them: first words of lines, marks, what texts begin with.
         self.bare: dict[str, bytes] = {}
 
     def _learn(self, missing: set[str], odd: set[str]) -> list[str]:
         """Makes ``missing`` known; what is returned must be forgotten after use: long units and those of ``odd``."""
-        known, bare = self.after_space, self.bare
-        plain, shaped = [], []
+        known, spaced, bare = self.after_space, self.spaced, self.bare
+        words, plain, shaped, whole = [], [], [], list(odd)
         for p in missing.difference(odd):
             if p.isalpha():
-                plain.append(p)
+                words.append(p)
             elif (m := _SHAPE.fullmatch(p)) and len(p) <= self.longest:
                 shaped.append((p, *m.groups()))
-            elif " " not in p:
-                plain.append(p)
-        whole = missing.difference(plain).difference([x[0] for x in shaped])
-        if shaped:
-            plain += {x[1] for x in shaped}.difference(known).difference(plain)
-            lines = list({x[3] for x in shaped if x[3]}.difference(bare))
-            if lines:
-                bare.update(zip(lines, self.words(lines), strict=True))
-        if plain:
-            known.update(zip(plain, self.many([f" {p}" for p in plain]), strict=True))
+            else:
+                (whole if " " in p else plain).append(p)
+        new = list({*words, *(x[1] for x in shaped)}.difference(spaced))
+        lines = list({x[3] for x in shaped if x[3]}.difference(bare))
+        if lines:
+            bare.update(zip(lines, self.words(lines), strict=True))
+        if new or plain:
+            found = self.many([f" {p}" for p in (*new, *plain)])
+            spaced.update(zip(new, found))
+            known.update(zip(plain, found[len(new) :]))
+        known.update(zip(words, map(spaced.__getitem__, words)))
         for p, word, marks, line in shaped:
-            known[p] = known[word] + self._bare(marks) + (self._bare("\n") + bare[line] if line else b"")
+            known[p] = spaced[word] + self._bare(marks) + (self._bare("\n") + bare[line] if line else b"")
         for p in whole:
             known[p] = self.one(f" {p}")
+        for p in new:
+            if len(p) > self.longest:
+                del spaced[p]
         return [*odd, *(p for p in missing if len(p) > self.longest and p not in odd)]
 
     def _bare(self, piece: str) -> bytes:
@@ -82,27 +89,40 @@ class UnitEncoder:
         return found
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        known = self.after_space
-        for cache in (known, self.bare):
+        for cache in (self.after_space, self.spaced, self.bare):
             if len(cache) > self.most:
                 cache.clear()
-        missing = set().union(*cut).difference(known)
+        known = self.after_space
+        cut = [t.split(" ") for t in texts]
+        heads = [c.pop(0) for c in cut]
+
+        def looked_up(pieces: list[str]) -> tuple[list, list[int]]:
+            values = list(map(known.get, pieces))
+            return values, [i for i, v in enumerate(values) if v is None] if None in values else []
+
+        found = [looked_up(pieces) for pieces in cut]
+        missing = {pieces[i] for pieces, (_, gaps) in zip(cut, found, strict=True) for i in gaps}
         # These aren't kept, so they show up here whenever a text may have a space that isn't safe to cut at.
         odd = {p for p in missing if not p or p[0].isspace()}
         if odd:
-            for i, pieces in enumerate(cut):
-                if not odd.isdisjoint(pieces) and _INNER.search(texts[i]):
-                    heads[i], *cut[i] = _SAFE.split(texts[i])
-            missing = set().union(*cut).difference(known)
+            for k, (_, gaps) in enumerate(found):
+                if any(cut[k][i] in odd for i in gaps) and _INNER.search(texts[k]):
+                    heads[k], *cut[k] = _SAFE.split(texts[k])
+                    found[k] = looked_up(cut[k])
+            missing = {pieces[i] for pieces, (_, gaps) in zip(cut, found, strict=True) for i in gaps}
             odd &= missing
         brief = self._learn(missing, odd) if missing else ()
-        value = known.__getitem__
-        found = [self._bare(head) + b"".join(map(value, pieces)) for head, pieces in zip(heads, cut, strict=True)]
+        first = [h for h in set(heads).difference(self.bare) if len(h) <= self.longest and _WORD.fullmatch(h)]
+        if first:
+            self.bare.update(zip(first, self.words(first), strict=True))
+        out = []
+        for head, pieces, (values, gaps) in zip(heads, cut, found, strict=True):
+            for i in gaps:
+                values[i] = known[pieces[i]]
+            out.append(self._bare(head) + b"".join(values))
         for p in brief:
             del known[p]
-        yield from found
+        yield from out
 
     def each(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
