@@ -28,6 +28,7 @@ LANGUAGES = {
 SCANNED = [x for x in CONTENT_TYPES if x != "tsx"]
 REPO_EXTENSIONS = ["py", "js", "ts", "tsx", "go", "java", "rs", "cpp", "c", "md", "txt"]
 VENDOR_PARTS = ["node_modules", "__pycache__", ".git", "dist", "build", ".venv", "venv"]
+# What a heading is, and elements that go from HTML.
 HEADING = r"(?md)^#{1,3}\s+\S"
 BOILERPLATE = ("script", "style", "nav", "footer")
 

@@ -174,6 +174,7 @@ def python_definitions(text: str) -> list[Span] | None:
     return [(chars(n.lineno, n.col_offset), chars(n.end_lineno, n.end_col_offset)) for n in found] or None
 
 
+# How models wrap their answers.
 _THOUGHT = re.compile(r"(?is)<think>.*?</think>")
 _FENCED = re.compile(r"```(?:json)?\s*([\s\S]*?)```")
 

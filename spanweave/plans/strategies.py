@@ -136,7 +136,7 @@ REGISTRY = Registry()
 
 
 def params_label(config: Config) -> str:
-    """The parameters of a configuration for people."""
+    """The parameters of a configuration for people; the formats are fixed values."""
     p = config.params
     overlap = p.get("overlap_tokens", 0)
     match config.strategy:
