@@ -23,20 +23,22 @@ ROUNDS = 32
 Embedder = Callable[[pd.Series], pd.Series]
 
 
-def hash_vector(text: str, seed: int = 0) -> np.ndarray:
-    """256 numbers of iterated SHA-256 of ``seed:text``, scaled to length one."""
+def _digests(text: str, seed: int) -> bytes:
+    """``ROUNDS`` rounds of SHA-256, from ``seed:text`` on."""
     digest = hashlib.sha256(f"{seed}:{text}".encode()).digest()
-    digests = [digest]
+    found = [digest]
     for _ in range(ROUNDS - 1):
         digest = hashlib.sha256(digest).digest()
-        digests.append(digest)
-    v = np.frombuffer(b"".join(digests), dtype="<u4") / 2.0**32
-    return v / (np.sqrt(np.dot(v, v)) + 1e-9)
+        found.append(digest)
+    return b"".join(found)
 
 
 def hash_embedder(seed: int = 0) -> Embedder:
+    """256 numbers of iterated SHA-256 of seed and text, scaled to length one."""
+
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([hash_vector(t, seed) for t in texts], dtype=object)
+        v = np.frombuffer(b"".join([_digests(t, seed) for t in texts]), dtype="<u4").reshape(len(texts), -1) / 2.0**32
+        return pd.Series(list(v / (np.sqrt((v * v).sum(axis=1)) + 1e-9)[:, None]), index=texts.index, dtype=object)
 
     return embed
 

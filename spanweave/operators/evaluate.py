@@ -8,6 +8,7 @@ sorted by start; no token is ever exploded.  Everything of a query is keyed by
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
@@ -355,24 +356,24 @@ def grid_stats(docs: DataFrame, configs: list[Config], own: Mapping[str, Kernel]
     return sums.select("config_id", "n_chunks", mean.alias("avg_chunk_length"), deviation.alias("chunk_length_std"), "chunk_tokens", "error")
 
 
-def query_metrics(sims: np.ndarray, lo: np.ndarray, hi: np.ndarray, tokens: np.ndarray, gold: list[tuple[int, int]], most: int) -> tuple[float, ...]:
-    """``METRICS`` and the tokens in context for one question and the chunks of its document, the best ``most`` of which are its context."""
-    order = np.lexsort((np.arange(len(sims)), -sims))
-    rel = np.zeros(len(sims), dtype=bool)
-    for a, b in gold:
-        rel |= (a < hi) & (b > lo)
-    rel = rel[order]
-    gain = 1 / np.log2(np.arange(2, max(AT) + 2))
+_GAIN = [1 / math.log2(k + 2) for k in range(max(AT))]
+
+
+def query_metrics(sims: list[float], spans: list[tuple[int, int, int]], gold: list[tuple[int, int]], most: int) -> tuple[float, ...]:
+    """``METRICS`` and the tokens in context for one question and the chunks (lo, hi, tokens) of its document, the best ``most`` of which are its context."""
+    # Sorting is stable, so ties go to the earlier chunk.
+    order = sorted(range(len(sims)), key=sims.__getitem__, reverse=True)
+    touches = lambda i: any(a < spans[i][1] and b > spans[i][0] for a, b in gold)
+    rel = [touches(i) for i in order[: max(AT)]]
+    first = next((k for k, i in enumerate(order) if (rel[k] if k < len(rel) else touches(i))), None)
     recall, ndcg = [], []
     for k in AT:
-        found = int(rel[:k].sum())
+        found = sum(rel[:k])
         recall.append(float(found > 0))
-        ndcg.append(float((gain[: len(rel[:k])] * rel[:k]).sum() / gain[:found].sum()) if found else 0.0)
-    first = int(rel.argmax()) if rel.any() else -1
+        ndcg.append(sum(g for g, r in zip(_GAIN, rel[:k]) if r) / sum(_GAIN[:found]) if found else 0.0)
     top = order[:most]
     covered = twice = hits = seen = doubled = 0
-    for i in sorted(top.tolist(), key=lambda i: (lo[i], hi[i], i)):
-        a, b = int(lo[i]), int(hi[i])
+    for a, b, _ in sorted((*spans[i][:2], i) for i in top):
         again = min(b, seen)
         covered += max(0, b - max(a, seen))
         twice += max(0, again - max(a, doubled))
@@ -381,8 +382,8 @@ def query_metrics(sims: np.ndarray, lo: np.ndarray, hi: np.ndarray, tokens: np.n
     size = sum(y - x for x, y in gold)
     ratio = lambda x, y: x / y if y > 0 else 0.0
     return (
-        ratio(hits, covered + size - hits), ratio(hits, covered), ratio(hits, size), *recall, 1 / (first + 1) if first >= 0 else 0.0, *ndcg,
-        ratio(twice, covered) if len(top) > 1 else 0.0, int(tokens[top].sum()),
+        ratio(hits, covered + size - hits), ratio(hits, covered), ratio(hits, size), *recall, 0.0 if first is None else 1 / (first + 1), *ndcg,
+        ratio(twice, covered) if len(top) > 1 else 0.0, sum(spans[i][2] for i in top),
     )
 
 
@@ -427,15 +428,15 @@ def grid_metrics(
                 questions = {t: i for i, t in enumerate(dict.fromkeys(q["question"] for q in asked))}
                 vectors = np.stack(list(embedder(pd.Series([*questions, *place]))))
                 vectors = vectors / (np.sqrt((vectors * vectors).sum(axis=1)) + 1e-9)[:, None]
-                near = np.round(vectors[: len(questions)] @ vectors[len(questions) :].T, 9)
+                near = np.round(vectors[: len(questions)] @ vectors[len(questions) :].T, 9).tolist()
                 for config, held in found.items():
                     if not held:
                         continue
-                    at = np.fromiter((place[p[2]] for p in held), dtype=np.int64, count=len(held))
-                    tokens, lo, hi = (np.fromiter((p[k] for p in held), dtype=np.int64, count=len(held)) for k in (3, 4, 5))
+                    at, where = [place[p[2]] for p in held], [(p[4], p[5], p[3]) for p in held]
                     for q, gold in zip(asked, golds, strict=True):
                         if gold:
-                            out.append((config, q["query_id"], *query_metrics(near[questions[q["question"]], at], lo, hi, tokens, gold, in_context[config])))
+                            of = near[questions[q["question"]]]
+                            out.append((config, q["query_id"], *query_metrics([of[i] for i in at], where, gold, in_context[config])))
             for first in range(0, len(out), 50_000):
                 columns = [pa.array(c, t) for c, t in zip(zip(*out[first : first + 50_000], strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
