@@ -83,6 +83,11 @@ def unspool(df: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: a table that grows with the input must not go through the driver, however small its files are."""
+    return df.hint("merge")
+
+
 def free_name(base: str, taken: list[str]) -> str:
     """``base``, with underscores behind it until no column of ``taken`` has that name in any case."""
     held = {c.lower() for c in taken}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool, unspool
+from .common import by_merge, spool, unspool
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     label next door, then replaces labels by their own labels; rounds grow with
     the logarithm of the longest path.  Each round is a table in the shared
     folder.  In every join one side has a key once, so a node with very many
-    edges can be split; minima are combined before the exchange.
+    edges can be split; minima are combined before the exchange.  All tables
+    grow with the input, so none is sent to the driver.
     """
     both = spool(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = spool(
@@ -24,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         seen = (
-            both.join(labels.select(F.col("node").alias("b"), "root"), "b")
+            both.join(by_merge(labels.select(F.col("node").alias("b"), "root")), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("root").alias("low"))
         )
-        hooks = labels.join(seen, "node")
+        hooks = labels.join(by_merge(seen), "node")
         lowered = (
             hooks.select("node", F.least("root", "low").alias("root"))
             .union(hooks.where(F.col("low") < F.col("root")).select(F.col("root").alias("node"), F.col("low").alias("root")))
@@ -37,9 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
         )
         lowered = spool(lowered, "lowered")
         jump = lowered.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = lowered.join(jump, "root").select("node", F.col("top").alias("root"))
+        after = lowered.join(by_merge(jump), "root").select("node", F.col("top").alias("root"))
         after = spool(after, "labels")
-        changed = after.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
+        changed = after.join(by_merge(labels.withColumnRenamed("root", "was")), "node").where("root <> was").limit(1).count()
         unspool(lowered)
         unspool(labels)
         labels = after

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import spool, table, text_of
+from .common import by_merge, spool, table, text_of
 from .components import components
 
 SEED = 42
@@ -122,7 +122,7 @@ def links(nodes: DataFrame) -> DataFrame:
             found.append(spokes.where((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"))))
             break
         shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        met = spool(cells.join(shared, "cell"), f"cells{segment}")
+        met = spool(cells.join(by_merge(shared), "cell"), f"cells{segment}")
         few = met.where(F.col("members") <= MEMBERS).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
         pairs = F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & _near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
         found.append(few.select(F.explode(F.flatten(pairs)).alias("e")).select("e.a", "e.b"))
@@ -134,17 +134,17 @@ def _roots(each: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint of ``each``: equal roots are one component."""
     nodes = spool(each.select("fp").distinct(), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(by_merge(roots), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest id reachable over links of at most 2 bits."""
     each = spool(fingerprints(docs, width), "fingerprints")
-    named = _roots(each).join(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    named = _roots(each).join(by_merge(each.groupBy("fp").agg(F.min("doc_id").alias("least"))), "fp")
     named = spool(named, "named")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(names, "root").select(F.col("fp").alias("its_fp"), "component_id")
-    return each.join(by_fp, F.col("fp") == F.col("its_fp"), "left").select("doc_id", "fp", "component_id")
+    by_fp = named.join(by_merge(names), "root").select(F.col("fp").alias("its_fp"), "component_id")
+    return each.join(by_merge(by_fp), F.col("fp") == F.col("its_fp"), "left").select("doc_id", "fp", "component_id")
 
 
 #: Blocks with more members are linked over hubs and in tiles, not pair by pair.

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from spanweave.llm import byte_bpe, html_text, knn_quality, line_dedup, matroska, packing, quality_rules, secret_scan, simhash, suffix_dedup
+from spanweave.llm import byte_bpe, components, html_text, knn_quality, line_dedup, matroska, packing, quality_rules, secret_scan, simhash, suffix_dedup
 from spanweave.llm.trigrams import trigram_query
 
 from . import brute
@@ -243,6 +243,22 @@ def test_simhash_equals_brute_force(docs, texts, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_send_no_table_through_the_driver(spark, docs, monkeypatch):
+    """Small tables would be broadcast if joins left it to the planner, and so would large ones whose files are small."""
+    plans = []
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return spool(df, label)
+
+    spool = simhash.spool
+    monkeypatch.setattr(simhash, "spool", seen)
+    monkeypatch.setattr(components, "spool", seen)
+    last = simhash.near_duplicates(docs)
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_one_of_each_group_of_near_copies(spark, odd, empty):
     import random
 
