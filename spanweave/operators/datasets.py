@@ -203,9 +203,11 @@ def proposed_spans(response: Column) -> Column:
     return F.from_json(F.pandas_udf(items, "string")(response), "array<struct<a:int,b:int,t:string>>")
 
 
-def parsed_spans(responses: DataFrame, docs: DataFrame, most: int = 40, prefix: int = 50_000) -> DataFrame:
+def parsed_spans(responses: DataFrame, docs: DataFrame, most: int = 40, prefix: int | None = 50_000) -> DataFrame:
     """(doc_id, i, start_offset, end_offset) from recorded answers of a model: clamped to its prompt, not blank, agreeing with their own text.
 
+    The prompt is the first ``prefix`` characters, as ``prompts`` has it, or the whole document for None.
+
     Items stand in ``chunks``, in ``chunks.chunks`` or alone as an array; their
     offsets are called start_offset and end_offset or start and end, their text
     text, chunk_text or content.  Answers without JSON have no items.
@@ -213,7 +215,8 @@ def parsed_spans(responses: DataFrame, docs: DataFrame, most: int = 40, prefix:
     from ..functions.text import token_jaccard_ok
 
     rows = responses.select("doc_id", F.slice(proposed_spans(F.col("response")), 1, most).alias("items"))
-    rows = rows.join(docs.select("doc_id", F.left("content", F.lit(prefix)).alias("content")), "doc_id")
+    read = F.col("content") if prefix is None else F.left("content", F.lit(prefix))
+    rows = rows.join(docs.select("doc_id", read.alias("content")), "doc_id")
     rows = rows.select("doc_id", "content", F.posexplode("items").alias("i", "x"))
     size = F.length("content")
     rows = rows.withColumn("start_offset", F.greatest(F.lit(0), F.least("x.a", size)))
