@@ -159,8 +159,8 @@ COMMON = 1 << 18
 SHARED = 20
 
 
-def _digested(docs: DataFrame) -> DataFrame:
-    """(node, row): a digest of the text's words in order, and all columns."""
+def _digested(docs: DataFrame, width: int) -> DataFrame:
+    """(node, fp, row): a digest of the text's words in order, its fingerprint, and all columns."""
     rows = docs.select(text_of().alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +168,25 @@ def _digested(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             nodes = [xxhash.xxh3_128_hexdigest(b" ".join(t.as_py().encode().lower().split())) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(1)], names=["node", "_row_"])
+            found = [fingerprint(t.as_py(), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.int64()), batch.column(1)], names=["node", "fp", "_row_"])
 
-    return rows.mapInArrow(run, StructType([StructField("node", StringType()), rows.schema["_row_"]]))
+    return rows.mapInArrow(run, StructType([StructField("node", StringType()), StructField("fp", LongType()), rows.schema["_row_"]]))
+
+
+def _near_prints(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (id, fp) that the range join of fingerprints proposes.
+
+    Texts with one fingerprint meet the first of them, and the first texts of
+    linked fingerprints meet, so there are few pairs in groups of any size.
+    """
+    heads = spool(texts.groupBy("fp").agg(F.min("id").alias("head")), "heads")
+    same = texts.join(by_merge(heads), "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    met = links(heads.select("fp"))
+    for side in "ab":
+        met = met.join(by_merge(heads.select(F.col("fp").alias(side), F.col("head").alias(f"its_{side}"))), side)
+    near = met.select(F.least("its_a", "its_b").alias("a"), F.greatest("its_a", "its_b").alias("b"))
+    return spool(same.union(near), "near_prints")
 
 
 def _distinct(text: str, width: int) -> np.ndarray:
@@ -327,13 +343,16 @@ def _crowd_edges(crowds: DataFrame, edges: DataFrame, sets: DataFrame, share: Fr
 
 
 def near_copies(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``texts`` (id, text) with ``similarity`` or more.
-
-    An exact prefix filter on the rows of ``_prefixes``.  Pairs that meet in
-    blocks of few members only must meet often enough and are then verified by
-    the exact Jaccard similarity of shingles; those that meet in a crowded block
-    are left to ``_crowd_edges``, however often they meet.
+    """Edges (a, b) whose components are those of all pairs of ``texts`` (id, fp, text) with ``similarity`` or more.
+
+    SimHash comes first: pairs that the range join of the fingerprints proposes
+    are verified by the exact Jaccard similarity of shingles.  Similar texts may
+    have fingerprints far apart, so an exact prefix filter on the rows of
+    ``_prefixes`` adds those pairs that are missing.  Those that meet in blocks of few members only must meet often enough and are
+    verified in the same way; those that meet in a crowded block are left to
+    ``_crowd_edges``, however often they meet.
     """
+    printed = _near_prints(texts.select("id", "fp"))
     share = Fraction(similarity).limit_denominator(10_000)
     prefixes = _prefixes(texts, width, share)
     blocks = spool(prefixes.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1"), "blocks")
@@ -353,24 +372,25 @@ def near_copies(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     crowded = blocks.where(F.col("members") > BLOCK_PAIRS)
     weights = crowded.groupBy("id").agg(F.sum("members").alias("weight"))
     crowds = spool(crowded.join(weights, "id").select("key", "id", "size", "weight"), "crowds")
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct()
+    asked = candidates.union(printed).select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct()
     sets = spool(_shingle_sets(texts.join(asked, "id", "left_semi"), width), "shingles")
-    return _crowd_edges(crowds, _verified(candidates, sets, share), sets, share)
+    return _crowd_edges(crowds, _verified(printed.union(candidates).distinct(), sets, share), sets, share)
 
 
 def first_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, whole: that with the smallest id, null ids last, any one of repeated rows.
 
     Near copies share at least ``similarity`` of their shingles of ``width``
-    words, directly or over others; no link is missed.  Rows are written
-    once with a number; winners are found on numbers alone, and only the last
-    join moves rows.
+    words, directly or over others.  SimHash finds what it can, an exact filter
+    the rest, so no link is missed.  Rows are written once with a fingerprint
+    and a number; winners are found on numbers alone, and only the last join
+    moves rows.
     """
-    each = spool(_digested(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    each = spool(_digested(docs, width).withColumn("number", F.monotonically_increasing_id()), "numbered")
     ident = F.col("_row_.doc_id").cast("long")
     order = F.struct(ident.isNull().alias("no"), ident.alias("id"), F.col("number").alias("number"))
     nodes = spool(each.groupBy("node").agg(F.min(order).alias("first")).select(F.col("first.number").alias("id"), "first"), "nodes")
-    texts = each.select(F.col("number").alias("id"), text_of("_row_.text").alias("text")).join(nodes.select("id"), "id", "left_semi")
+    texts = each.select(F.col("number").alias("id"), "fp", text_of("_row_.text").alias("text")).join(nodes.select("id"), "id", "left_semi")
     roots = components(near_copies(texts, width, similarity)).withColumnRenamed("node", "id")
     rooted = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("first"))

@@ -341,6 +341,30 @@ def test_pairs_just_over_the_similarity_are_all_found(spark):
     assert {r.doc_id for r in simhash.first_of_each(data).collect()} == want
 
 
+def test_near_copies_come_from_fingerprints_before_the_exact_filter(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    texts, near = {}, set()
+    for i in range(40):
+        base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        edited = [*base[:-1], "new"] if i % 2 else [*base[:200], "new", *base[201:]]
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(edited)}
+        a, b = (simhash.fingerprint(texts[k], 5) for k in (2 * i, 2 * i + 1))
+        if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+            near.add(2 * i + 1)
+    # Repeats give these one fingerprint, but few of their shingles are shared.
+    for k in (100, 101):
+        texts[k] = "a b c d e " * 400 + " ".join(f"own{k}x{n}" for n in range(40))
+    assert simhash.fingerprint(texts[100], 5) == simhash.fingerprint(texts[101], 5)
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.first_of_each(data).collect()} == _first_of_near(texts) == {*range(0, 80, 2), 100, 101}
+    # Without the filter that follows, near fingerprints still give their verified links, and no others.
+    monkeypatch.setattr(simhash, "_prefixes", lambda *_: spark.createDataFrame([], "key long, id long, size int"))
+    assert 5 < len(near) < 40
+    assert {r.doc_id for r in simhash.first_of_each(data).collect()} == set(texts) - near
+
+
 def test_crowded_cells_and_chains_lose_no_link(spark, monkeypatch):
     import random
 
