@@ -348,9 +348,10 @@ def near_copies(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     SimHash comes first: pairs that the range join of the fingerprints proposes
     are verified by the exact Jaccard similarity of shingles.  Similar texts may
     have fingerprints far apart, so an exact prefix filter on the rows of
-    ``_prefixes`` adds those pairs that are missing.  Those that meet in blocks of few members only must meet often enough and are
-    verified in the same way; those that meet in a crowded block are left to
-    ``_crowd_edges``, however often they meet.
+    ``_prefixes`` adds those pairs that are missing.  Those that meet in blocks
+    of few members only must meet often enough and are verified in the same way;
+    those that meet in a crowded block are left to ``_crowd_edges``, however
+    often they meet.
     """
     printed = _near_prints(texts.select("id", "fp"))
     share = Fraction(similarity).limit_denominator(10_000)
