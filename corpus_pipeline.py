@@ -25,6 +25,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents scored below this go.
 LEAST_SCORE = 0.3
+#: Values in each cache of a packing worker. Stages before leave the executor's heap grown, so there is less room than for packing alone.
+CACHED = 200_000
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in its training sequence; a null text is an end token alone, repeated rows are packed once each."""
     import public_tokenizers
 
-    return packing.digests(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digests(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), most=CACHED))
 
 
 STAGES: list[tuple[str, Stage]] = [

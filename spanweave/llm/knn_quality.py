@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import free_name, table, text_of
+from .common import free_name, lean, table, text_of
 
 #: Documents compared at once.
 BLOCK = 512
@@ -176,7 +176,7 @@ def score_documents(docs: DataFrame, model: Model | None, into: str = "score") -
                 scores[at : at + BLOCK] = np.where(block.any(axis=1), vote(fitted, block), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_row_", "score"])
 
-    found = rows.mapInArrow(run, StructType([rows.schema["_row_"], StructField("score", DoubleType())]))
+    found = rows.mapInArrow(lean(run), StructType([rows.schema["_row_"], StructField("score", DoubleType())]))
     return found.select(*(F.col(f"_row_.`{c}`").alias(c) for c in own), F.col("score").alias(into))
 
 

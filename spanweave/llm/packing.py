@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
-from .units import UnitEncoder
+from .common import lean, table, text_of
+from .units import MOST, UnitEncoder
 
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids are the partition's number times this, plus a count.
@@ -105,8 +105,8 @@ def pack(documents: Iterator[tuple[int, bytes]], window: int) -> Iterator[list[t
                 room = size = (window if left >= window else 1 << left.bit_length() - 1) if left else 0
 
 
-@lru_cache(maxsize=2)
-def _json_encoder(path: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
+@lru_cache(maxsize=1)
+def _json_encoder(path: str, most: int = MOST) -> Callable[[Iterable[str]], Iterator[bytes]]:
     """Ids of each text as the library gives them without adding any: strings of the file's added tokens become those tokens.
 
     The library cuts a text at these strings before anything else, so what
@@ -145,7 +145,7 @@ def _json_encoder(path: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
         ends = [*np.flatnonzero(found == line_end).tolist(), len(found)]
         return [found[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], ends)]
 
-    plain = UnitEncoder(lambda text: ids(text).tobytes(), many, lines)
+    plain = UnitEncoder(lambda text: ids(text).tobytes(), many, lines, most)
     marks = {x: i.to_bytes(4, "little") for x, i in added.items()}
     cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")") if marks else None
 
@@ -168,18 +168,19 @@ def _json_encoder(path: str) -> Callable[[Iterable[str]], Iterator[bytes]]:
     return each
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, most: int = MOST) -> DataFrame:
     """A row for each piece: doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     ``vocabulary`` is the path of a byte-level BPE file of the tokenizers
-    library, present on every executor.
+    library, present on every executor.  Each cache of a worker keeps ``most``
+    values; fewer take less memory and more time, the rows are the same.
     """
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = _json_encoder(vocabulary)
+        encode = _json_encoder(vocabulary, most)
         base = TaskContext.get().partitionId() * STRIDE
 
         def documents() -> Iterator[tuple[int, bytes]]:
@@ -202,7 +203,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id:
         if rows:
             yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

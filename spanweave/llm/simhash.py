@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import by_merge, spool, table, text_of
+from .common import by_merge, lean, spool, table, text_of
 from .components import components
 
 SEED = 42
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _cells(fp: Column, segment: int) -> Column:
@@ -171,7 +171,7 @@ def _digested(docs: DataFrame, width: int) -> DataFrame:
             found = [fingerprint(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.int64()), batch.column(1)], names=["node", "fp", "_row_"])
 
-    return rows.mapInArrow(run, StructType([StructField("node", StringType()), StructField("fp", LongType()), rows.schema["_row_"]]))
+    return rows.mapInArrow(lean(run), StructType([StructField("node", StringType()), StructField("fp", LongType()), rows.schema["_row_"]]))
 
 
 def _near_prints(texts: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
             sets = [_distinct(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, StructType([StructField("id", LongType()), StructField("shingles", ArrayType(LongType()))]))
+    return texts.select("id", "text").mapInArrow(lean(run), StructType([StructField("id", LongType()), StructField("shingles", ArrayType(LongType()))]))
 
 
 def _common(texts: DataFrame, width: int) -> np.ndarray:
@@ -250,7 +250,7 @@ def _prefixes(texts: DataFrame, width: int, share: Fraction) -> DataFrame:
                 names=["key", "id", "size"],
             )
 
-    return texts.select("id", "text").mapInArrow(run, "key long, id long, size int")
+    return texts.select("id", "text").mapInArrow(lean(run), "key long, id long, size int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:

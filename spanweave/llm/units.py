@@ -23,6 +23,8 @@ _WORD = re.compile(_LETTERS)
 _SHAPE = re.compile(rf"({_LETTERS})([.,;:!?#*$%&|]*)(?:\n({_LETTERS}))?")
 #: Characters of texts that are looked up together.
 GROUP = 200_000
+#: Values that each of the three caches keeps; at 200 bytes or so each they come to hundreds of MB.
+MOST = 1_500_000
 
 
 class UnitEncoder:
@@ -41,7 +43,7 @@ class UnitEncoder:
         one: Callable[[str], bytes],
         many: Callable[[list[str]], list[bytes]],
         words: Callable[[list[str]], list[bytes]],
-        most: int = 1_500_000,
+        most: int = MOST,
         longest: int = 40,
     ) -> None:
         self.one, self.many, self.words, self.most, self.longest = one, many, words, most, longest

@@ -656,3 +656,28 @@ def test_votes_of_tied_neighbours_and_odd_rows(spark, odd):
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got) and got[0].asDict().keys() == dict.fromkeys(odd.columns).keys()
     kept = knn_quality.keep_good(odd, model, 0.0)
     assert kept.columns == odd.columns and kept.count() == 6
+
+
+def test_passes_give_memory_back():
+    """What a pass has freed goes back to the system, even below something that stays."""
+    import subprocess
+    import sys
+
+    code = """
+from spanweave.llm.common import lean
+from pathlib import Path
+import re
+stays = []
+def held():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+def run(batches):
+    for batch in batches:
+        some = [bytes(2000) for _ in range(100_000)]
+        stays.append(bytes(2000))
+        yield held()
+before = held()
+most = max(lean(run)([1]))
+assert most > before + 150, (before, most)
+assert held() < before + 50, (before, most, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)

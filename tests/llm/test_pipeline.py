@@ -77,3 +77,30 @@ def test_odd_rows_and_clashing_columns_pass_through(spark, tmp_path):
     none = docs.where("doc_id = -1")
     for _, stage in P.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_packing_keeps_small_caches(spark):
+    """More different words than a cache may hold, in one task; workers tell what they keep after it."""
+    import gc
+    import time
+
+    import pyarrow as pa
+
+    from spanweave.llm.units import GROUP, UnitEncoder
+
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(5))
+
+    texts = [" ".join(word(i) for i in range(at, at + 2_000)) for at in range(0, 300_000, 2_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = P.packed(spark, docs, "").collect()
+    assert {r.doc_id for r in pieces} == set(range(len(texts)))
+
+    def kept(batches):
+        for batch in batches:
+            time.sleep(0.2)
+            sizes = [len(c) for x in gc.get_objects() if isinstance(x, UnitEncoder) for c in (x.after_space, x.spaced, x.bare)]
+            yield pa.RecordBatch.from_arrays([pa.array([max(sizes, default=0)] * batch.num_rows, pa.int64())], names=["n"])
+
+    most = max(r.n for r in spark.range(0, 16, 1, 16).mapInArrow(kept, "n long").collect())
+    assert 0 < most <= P.CACHED + GROUP // 6
